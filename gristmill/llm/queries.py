@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import media, secrets, warc
+from gristmill.llm import langid, licenses, media, secrets, warc
 from gristmill.llm.common import new_path, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = langid.identify(docs, langid.fit(docs, ~held(F.col("doc_id"))))
+    return found.select("doc_id", held(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    at = F.transform("places", lambda x: x["at"])
+    base = F.array_distinct(F.transform("places", lambda x: x["label"]))
+    more = F.array_distinct(F.transform("templates", lambda x: x["template"]))
+    joined = lambda x: F.array_join(F.array_sort(x), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).cast("long").alias("first_word"),
+        F.array_max(at).cast("long").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.array_union(base, more)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("templates", lambda x: x["containment"])), F.lit(0.0))).alias("score"),
+    )
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_as_media(table(spark, sf_dir, "documents"))).drop("height", "width", "tile")
 
@@ -31,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_media, op6_warc, op10_secrets)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op6_warc, op10_secrets)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
