@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, langid, licenses, media, secrets, warc
+from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, secrets, warc
 from gristmill.llm.common import new_path, table
 
 
@@ -40,6 +40,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.store_as_media(table(spark, sf_dir, "documents"))).drop("height", "width", "tile")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Settings(shingle=2))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -62,7 +66,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op6_warc, op8_decontamination, op10_secrets)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op5_near_duplicates, op6_warc, op8_decontamination, op10_secrets)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
