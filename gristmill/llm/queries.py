@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, secrets, substrings, warc
+from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, quality, secrets, substrings, warc
 from gristmill.llm.common import new_path, table
 
 
@@ -52,6 +52,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("uid")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
@@ -70,7 +74,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op5_near_duplicates, op6_warc, op8_decontamination, op9_substrings, op10_secrets)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op5_near_duplicates, op6_warc, op7_quality, op8_decontamination, op9_substrings, op10_secrets)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
