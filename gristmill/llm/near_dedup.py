@@ -3,7 +3,8 @@
 Documents with equal shingle sets become one class at once. A class has one signature: its shingles' hashes are dealt
 to `bands` x `rows` bins by their upper bits, a bin holds its smallest hash, and an empty bin takes over another one's,
 chosen by a hash of the bin and the attempt. Classes that agree in all bins of a band share a bucket. Candidates are
-first the edges of each bucket's members to its smallest one (a star), confirmed on full sets; then, where a bucket
+first the edges of each bucket's members to the one that has most company in all its buckets (a star), confirmed on
+full sets; then, where a bucket
 still has members of different components, the edges from one member of each component to the others' members; and
 last all pairs that remain between different components of a bucket. So no link is lost to the stars, and pairs within
 a group of copies are never formed: only pairs that share a bucket but no component are.
@@ -142,18 +143,21 @@ def linked(docs: DataFrame, classes: DataFrame, of: Settings) -> DataFrame:
     docs: doc_id, text with one row for each representative at least; classes: rep, n, keys.
     """
     buckets = stored(classes.select("rep", "n", F.explode("keys").alias("key")), "buckets")
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = stored(buckets.join(shared, "key").select("key", "rep", "n", "center"), "members")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(buckets.join(shared, "key").select("key", "rep", "n", "size"), "members")
+    # copies differ from what they were copied from, each in its own way, so that one has most company in its buckets
+    company = members.groupBy("rep").agg(F.sum("size").alias("company"))
+    members = stored(members.join(company, "rep").select("key", "rep", "n", F.struct(-F.col("company"), "rep", "n").alias("order")), "members")
     near = lambda x, y: 100 * F.least(F.col(x), F.col(y)) >= of.percent * F.greatest(F.col(x), F.col(y))
-    size = classes.select(F.col("rep").alias("center"), F.col("n").alias("n_center"))
-    stars = members.where("rep <> center").select("rep", "n", "center").distinct().join(size, "center").where(near("n", "n_center"))
-    found = _confirmed(docs, stars.select(F.col("center").alias("u"), F.col("rep").alias("v")), of)
+    centers = members.groupBy("key").agg(F.min("order").alias("c")).select("key", F.col("c.rep").alias("u"), F.col("c.n").alias("n_u"))
+    stars = members.join(centers, "key").where((F.col("rep") != F.col("u")) & near("n", "n_u"))
+    found = _confirmed(docs, stars.select("u", F.col("rep").alias("v")).distinct(), of)
     root = components(found)
     for last in (False, True):
-        now = members.join(root, members["rep"] == root["id"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("of"))
+        now = members.join(root, members["rep"] == root["id"], "left").select("key", "rep", "n", "order", F.coalesce("component", "rep").alias("of"))
         torn = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
         now = stored(now.join(torn, "key"), "torn")
-        one = now if last else now.groupBy("key", "of").agg(F.min(F.struct("rep", "n")).alias("x")).select("key", "of", "x.rep", "x.n")
+        one = now if last else now.groupBy("key", "of").agg(F.min("order").alias("x")).select("key", "of", "x.rep", "x.n")
         one = one.select("key", F.col("of").alias("of_u"), F.col("rep").alias("u"), F.col("n").alias("n_u"))
         pairs = one.join(now, "key").where((F.col("of") > F.col("of_u") if last else F.col("of") != F.col("of_u")) & near("n", "n_u"))
         more = _confirmed(docs, pairs.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct(), of)
