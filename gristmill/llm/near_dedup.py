@@ -3,11 +3,9 @@
 Documents with equal shingle sets become one class at once. A class has one signature: its shingles' hashes are dealt
 to `bands` x `rows` bins by their upper bits, a bin holds its smallest hash, and an empty bin takes over another one's,
 chosen by a hash of the bin and the attempt. Classes that agree in all bins of a band share a bucket. Candidates are
-first the edges of each bucket's members to the one that has most company in all its buckets (a star), confirmed on
-full sets; then, where a bucket
-still has members of different components, the edges from one member of each component to the others' members; and
-last all pairs that remain between different components of a bucket. So no link is lost to the stars, and pairs within
-a group of copies are never formed: only pairs that share a bucket but no component are.
+the edges of each bucket's members to the one that has most company in all its buckets (a star), confirmed on full
+sets. Only members of buckets that still hold several components then are compared further, by an exact prefix join of
+their sets: so no link is lost to the stars, and pairs within a group of copies are never formed.
 
 With 40 bands of 5 rows two sets of similarity 0.8 miss every bucket with a chance of (1 - 0.8**5)**40 = 1.3e-7.
 """
@@ -19,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import small, stored
@@ -124,13 +122,14 @@ def _sets(docs: DataFrame, ids: DataFrame, of: Settings) -> DataFrame:
     return docs.join(small(ids, IDS_AT_ONCE), "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, of: Settings) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough, stored."""
+def _confirmed(docs: DataFrame, pairs: DataFrame, of: Settings, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough, stored; sets, if given, has all that are needed."""
     pairs = stored(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    ids = stored(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
-    sets = stored(_sets(docs, ids, of), "sets")
+    if sets is None:
+        ids = stored(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
+        sets = stored(_sets(docs, ids, of), "sets")
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
     common = F.size(F.array_intersect("of_u", "of_v")).cast("long")
     both = pairs.join(a, "u").join(b, "v").select("u", "v", common.alias("common"), (F.size("of_u") + F.size("of_v")).cast("long").alias("sizes"))
@@ -153,18 +152,41 @@ def linked(docs: DataFrame, classes: DataFrame, of: Settings) -> DataFrame:
     stars = members.join(centers, "key").where((F.col("rep") != F.col("u")) & near("n", "n_u"))
     found = _confirmed(docs, stars.select("u", F.col("rep").alias("v")).distinct(), of)
     root = components(found)
-    for last in (False, True):
-        now = members.join(root, members["rep"] == root["id"], "left").select("key", "rep", "n", "order", F.coalesce("component", "rep").alias("of"))
-        torn = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
-        now = stored(now.join(torn, "key"), "torn")
-        one = now if last else now.groupBy("key", "of").agg(F.min("order").alias("x")).select("key", "of", "x.rep", "x.n")
-        one = one.select("key", F.col("of").alias("of_u"), F.col("rep").alias("u"), F.col("n").alias("n_u"))
-        pairs = one.join(now, "key").where((F.col("of") > F.col("of_u") if last else F.col("of") != F.col("of_u")) & near("n", "n_u"))
-        more = _confirmed(docs, pairs.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct(), of)
-        if not more.isEmpty():
-            found = found.union(more)
-            root = components(found)
-    return root
+    members = _torn(members, root)
+    if members.isEmpty():
+        return root
+    sets = stored(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), of), "sets")
+    more = _confirmed(docs, _left_open(sets, members.select("rep", "of").distinct(), of), of, sets)
+    return root if more.isEmpty() else components(found.union(more))
+
+
+def _left_open(sets: DataFrame, tied: DataFrame, of: Settings) -> DataFrame:
+    """Pairs (u, v) of different components that may be similar enough, by prefix, length and positional filters.
+
+    Shingles are ordered by how many sets hold them, rarest first. Two sets of n and m shingles with enough in common
+    share one of the first n - ceil(n * percent / 100) + 1, and at the first they share, the i-th and the j-th, neither
+    has fewer than percent / (100 + percent) * (n + m) left. What sets of one origin share comes late in this order, after
+    what each has of its own, so those too different to be linked share no shingle that counts.
+    """
+    flat = sets.select(F.col("id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    held = flat.groupBy("g").agg(F.count("*").alias("held"))
+    placed = flat.join(held, "g").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("held", "g")) - 1)
+    prefix = stored(placed.where((F.col("held") > 1) & (100 * (F.col("n") - F.col("i")) >= of.percent * F.col("n"))).select("rep", "n", "g", "i"), "prefix")
+    # the smallest partner a shingle offers tells which places can still count
+    low = prefix.groupBy("g").agg(F.min("n").alias("low"), F.count("*").alias("held")).where("held > 1").select("g", "low")
+    enough = lambda left, sizes: (100 + of.percent) * left >= of.percent * sizes
+    some = prefix.join(low, "g").where(enough(F.col("n") - F.col("i"), F.col("n") + F.greatest(F.col("low"), F.ceil(F.col("n") * of.percent / 100)))).join(tied, "rep").select("g", "rep", "n", "i", "of")
+    some = stored(some, "prefix")
+    a, b = some.toDF("g", "u", "n_u", "i_u", "of_u"), some.toDF("g", "v", "n_v", "i_v", "of_v")
+    can = (F.col("of_u") < F.col("of_v")) & enough(F.least(F.col("n_u") - F.col("i_u"), F.col("n_v") - F.col("i_v")), F.col("n_u") + F.col("n_v"))
+    return a.join(b, "g").where(can & (100 * F.least("n_u", "n_v") >= of.percent * F.greatest("n_u", "n_v"))).select("u", "v").distinct()
+
+
+def _torn(members: DataFrame, root: DataFrame) -> DataFrame:
+    """The members, each with its component `of`, of the buckets that still hold several components."""
+    now = members.join(root, members["rep"] == root["id"], "left").select(*members.columns, F.coalesce("component", "rep").alias("of"))
+    torn = now.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("key")
+    return stored(now.join(torn, "key").select(*now.columns), "torn")
 
 
 def near_duplicates(docs: DataFrame, of: Settings = Settings()) -> DataFrame:
