@@ -23,7 +23,7 @@ def _key() -> Column:
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose key is not in dropped (key)."""
     dropped = small(stored(dropped.select(F.col("key").alias("dropped")).distinct(), "dropped"), DROPPED_AT_ONCE)
-    return docs.join(dropped, _key() == F.col("dropped"), "left_anti")
+    return docs.join(dropped, _key() == dropped["dropped"], "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
