@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, packing, quality, secrets, substrings, warc
+from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, oracles, packing, quality, secrets, substrings, warc
 from gristmill.llm.common import new_path, table
 
 
@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql() for name, sql in oracles.ORACLES.items()}
