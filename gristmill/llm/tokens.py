@@ -8,6 +8,7 @@ have a chance near 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = (n + (1 << 18) - 1) >> 18 << 18
             self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
@@ -95,7 +96,16 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Gives freed memory back: Python workers live on after a task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `most` bytes of `column` each, or one row if that alone has more."""
     for batch in batches:
         _, offs = column_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -104,6 +114,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        batch = None
+        release()
 
 
 def scan(column: pa.Array, words: np.ndarray, fold: bool = False) -> Text:
