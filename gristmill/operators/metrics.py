@@ -80,7 +80,7 @@ def function_metrics(nodes: DataFrame) -> DataFrame:
     # names assigned to: a plain name in the node's target field, whose parent is an assignment
     target = F.lit(False)
     for kind, field in ASSIGN.items():
-        target |= (F.element_at("anc_types", -1) == kind) & (F.col("field") == field)
+        target |= (F.try_element_at("anc_types", F.lit(-1)) == kind) & (F.col("field") == field)
     named = strict & target & _in(t, ("identifier", "variable_name")) & (F.size("over") > 0) & ~_any(over, STMT_PRUNE)
     agg = body.groupBy("file_id", "fn").agg(
         F.sum((_in(t, STMT) & pure).cast("bigint")).alias("statements"),
@@ -108,7 +108,7 @@ def parameters(nodes: DataFrame, fns: DataFrame) -> DataFrame:
     rows = children.withColumn("seen", seen).withColumn("keyword", python & (F.col("seen") == 1)).withColumn("positional", (python & (F.col("seen") == 0)) | _in(F.col("type"), OTHER_PARAM))
     default = F.lit(False)
     for kind, field in BOOL_DEFAULT.items():
-        default |= (F.element_at("anc_types", -1) == kind) & (F.col("field") == field)
+        default |= (F.try_element_at("anc_types", F.lit(-1)) == kind) & (F.col("field") == field)
     flags = nodes.where(default & F.lower("text").isin("true", "false")).select("file_id", F.col("parent").alias("pre")).distinct().withColumn("flag", F.lit(1))
     rows = rows.join(flags, ["file_id", "pre"], "left")
     n = lambda c: F.sum(F.col(c).cast("bigint"))
@@ -184,7 +184,7 @@ def code_units(nodes: DataFrame) -> DataFrame:
     """Modules, and functions, methods and classes with a name, at any depth: a function whose nearest function or class
     is a class is a method."""
     name = nodes.where("field = 'name'").select("file_id", F.col("parent").alias("pre"), F.col("text").alias("name"))
-    near = F.element_at(F.filter("anc_types", lambda t: t.isin(*FUNC, *CLASS)), -1)
+    near = F.try_element_at(F.filter("anc_types", lambda t: t.isin(*FUNC, *CLASS)), F.lit(-1))
     near = F.when(F.exists("anc_types", lambda t: t.isin(*FUNC, *CLASS)), near)
     kind = F.when(_in(F.col("type"), CLASS), "class").when(near.isin(*CLASS), "method").otherwise("function")
     own = nodes.where(_in(F.col("type"), (*FUNC, *CLASS))).join(name, ["file_id", "pre"])
@@ -230,7 +230,7 @@ def definitions(nodes: DataFrame) -> DataFrame:
     up = own.select("file_id", "pre", F.explode(F.concat("anc", F.array("pre"))).alias("up")).join(abstract, ["file_id", "up"], "left_semi").select("file_id", "pre").distinct()
     own = own.join(up, ["file_id", "pre"], "left_anti")
     classes = nodes.where(_in(F.col("type"), CLASS)).join(name, ["file_id", "pre"]).select("file_id", F.col("pre").alias("class"), F.col("name").alias("containing_class"))
-    near = F.element_at(F.filter(F.arrays_zip("anc", "anc_types"), lambda x: x["anc_types"].isin(*CLASS)), -1)["anc"]
+    near = F.try_element_at(F.filter(F.arrays_zip("anc", "anc_types"), lambda x: x["anc_types"].isin(*CLASS)), F.lit(-1))["anc"]
     near = F.when(_any(F.col("anc_types"), CLASS), near)
     own = own.withColumn("class", near).join(classes, ["file_id", "class"], "left")
     is_class = _in(F.col("type"), CLASS)
