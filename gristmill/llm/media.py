@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 UNIT = 576
+#: The last bytes of a payload that a checksum of its own is taken of.
+TAIL = 32
 #: Netpbm formats: magic -> (channels, bit samples, plain text)
 _PNM = {b"P1": (1, True, True), b"P2": (1, False, True), b"P3": (3, False, True), b"P4": (1, True, False), b"P5": (1, False, False), b"P6": (3, False, False)}
 
@@ -170,7 +172,7 @@ def read_media(media: DataFrame, tile: int = 16) -> DataFrame:
                 pixels = decode(stored)
                 raw = pixels.tobytes()
                 small = np.rint(area_resize(pixels, tile, tile)).astype(np.uint8)
-                rows.append((key.as_py(), n.as_py(), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), *pixels.shape[:2], npy(small)))
+                rows.append((key.as_py(), n.as_py(), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), *pixels.shape[:2], npy(small)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
             names = [x.split()[0] for x in FEATURES.split(", ")]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)

@@ -125,7 +125,7 @@ def test_media(spark, docs):
     assert len(got) == docs.count()
     for r in got:
         raw = media.payload(texts[r["doc_id"]])
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-576:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
     rng = np.random.default_rng(1)
     for shape in ((5, 7), (5, 7, 3), (1, 1), (9, 16)):
         p = rng.integers(0, 256, shape).astype(np.uint8)
