@@ -135,7 +135,7 @@ def scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_words, places, templates array<struct<template, block, containment>>) for each row of docs.
 
     A null text counts as empty: no words, places or templates. Repeated rows are kept, each with its own result. Other
-    columns of docs are not read.
+    columns of docs are not read. docs is read three times and must give the same rows in the same places, as a table does.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("uid", F.monotonically_increasing_id())
