@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("duplication", "relational")
+PLANS = ("duplication", "relational", "code")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

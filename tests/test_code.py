@@ -6,69 +6,10 @@ from pyspark.sql import functions as F
 from gristmill import cli
 from gristmill.operators import metrics
 from gristmill.plans.analysis import Analysis
+from gristmill.plans.code import GO, JS, PHP, PY, TS
 from gristmill.sources.nodes import nodes, parse_errors
 from gristmill.sources.parsers import braces, python
 
-PY = '''import os, sys as s
-from .models import A, B
-from abc import ABC
-
-def f(a, b=True, *args, c=1):
-    x = a
-    if b:
-        y = g(x)
-    return x, y
-
-class P(ABC):
-    def m(self): pass
-
-class C:
-    @property
-    def go(self, q: int, r=False):
-        try:
-            self.z = h()
-            w = 1
-        except ValueError:
-            return None
-        def inner():
-            return 1, 2, 3
-        for i in q:
-            while i:
-                if i:
-                    return (1, 2, 3, 4)
-        return w
-'''
-JS = """import a, {b} from './x.js';
-export class A extends B { constructor(x) { super(x); this.y = 1 } async go(a, b = true) { if (a) { return f(b) } else if (b) { throw new E() } else { x = 2; } for (const k of z) { g(k) } } }
-function* gen(a) { var q = 1; switch (a) { case 1: foo(); break; default: bar() } try { h() } catch (e) { i() } }
-"""
-TS = "interface P { a: string }\nclass C { private x: number = 1; m(a: string, b?: boolean): void { return this.n(a) } }\nfunction f(a: boolean = true): string { return 'a' }\n"
-PHP = """<?php
-use A\\B\\C, D;
-interface I {}
-class T extends U { public function m($a, $b = true) { $x = 1; if ($a) { echo $b; } elseif ($c) { return $this->k($a); } else { foreach ($a as $q) { T::z(); } } throw new E('x'); } }
-function f(&$a) { return array_map(fn($x) => $x + 1, $a); }
-"""
-GO = """package m
-import (
-	"fmt"
-	q "a/b"
-)
-type S struct { a int }
-type I interface { F() }
-func (s *S) Do(a int, b string) (int, error) {
-	x := fmt.Sprint(a)
-	if x == "" {
-		return 1, nil
-	} else {
-		y = 2
-	}
-	for i := 0; i < 3; i++ {
-		fmt.Println(i)
-	}
-	return 0, err
-}
-"""
 SOURCES = [("pkg/a.py", "python", PY), ("web/a.js", "javascript", JS), ("web/b.ts", "typescript", TS), ("p/a.php", "php", PHP), ("g/a.go", "go", GO), ("bad.py", "python", "def ("), ("none.py", "python", "")]
 
 
@@ -172,3 +113,16 @@ def test_totals(spark, tree):
     got = Analysis(tree[0].where("lang = 'python'")).totals.first().asDict()
     assert (got["files"], got["code_units"], got["graph_nodes"]) == (2, 8, 3)
     assert got["statements"] == metrics.file_metrics(tree[1].where("lang = 'python'")).agg(F.sum("statements")).first()[0]
+
+
+def test_stream(spark, tmp_path):
+    """Files come twice; their nodes are written once a batch."""
+    from gristmill.streaming.incremental import new_files, node_stream
+
+    files = spark.createDataFrame([(0, "a.py", "python", "x = 1\n"), (1, "b.py", "python", "y = 2\n"), (2, "a.py", "python", "x = 1\n")], "file_id bigint, path string, lang string, source string")
+    files.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
+    node_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).where("type = 'module'").count() == 2
+    known = spark.createDataFrame([("x",)], "content string")
+    assert new_files(files, known).count() == 3
