@@ -10,7 +10,8 @@ n-grams with a table of weights, sharded by the n-gram's hash. N-grams frequent
 the most frequent ones, a fixed number, are broadcast and summed where the text is read, as is a Bloom filter of fixed
 size that keeps n-grams the model hasn't from being shuffled. Neither changes a result, only what the join has to carry.
 
-Pairs seen once count in all statistics but have no weight of their own (a count cut-off, parameter `cutoff`).
+`fit` can leave pairs seen up to `cutoff` times without a weight, though they count in all statistics: a context's
+probabilities then no longer sum to one. `classify` leaves none out.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import small, stored
+from gristmill.llm.common import delete_path, new_path, small, stored
 from gristmill.llm.tokens import SPACED, blocks, scan, signed
 
 #: The most frequent n-grams' weights are broadcast: this share of all, and no more than so many (12 bytes each).
@@ -109,12 +110,18 @@ class Model:
 
 def fit(trusted: DataFrame, cutoff: int = 1) -> Model:
     """The model of trusted texts (column text). Without any words it is empty and scores nothing."""
-    pairs = stored(counts(trusted), "pairs")
+    # a context's pairs stand in one partition: their numbers go with each, so that pairs need no join by context
+    of = Window.partitionBy("v")
+    times = lambda k: F.count(F.when(F.col("c") == k, 1)).over(of)
+    spark = trusted.sparkSession
+    path = new_path(spark, "pairs")
+    counts(trusted).select("*", times(1).alias("once"), times(2).alias("twice"), F.count("*").over(of).alias("followers")).write.option("compression", "zstd").parquet(path)
+    pairs = spark.read.schema("v long, w long, c long, once long, twice long, followers long").parquet(path)
     # statistics over all pairs
     sizes = {r["k"]: r["n"] for r in pairs.groupBy(F.least("c", F.lit(5)).alias("k")).agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     if not total:
-        return Model(pairs.selectExpr("v as key", "cast(c as double) as weight", "c as seen"), 0.0, True)
+        return Model(pairs.selectExpr("v as key", "cast(c as float) as weight", "c as seen"), 0.0, True)
     d = _discounts(sizes)
     words = pairs.groupBy("w").agg(F.count("*").alias("before"), F.sum("c").alias("seen"))
     contexts = pairs.groupBy("v").agg(F.sum("c").alias("cv"), F.sum(_by_count("c", d)).alias("mass"))
@@ -127,9 +134,12 @@ def fit(trusted: DataFrame, cutoff: int = 1) -> Model:
     unknown = float(np.log(spare))
     gamma = F.coalesce(F.log(F.col("mass") / F.col("cv")), F.lit(0.0))
     own = words.select(F.col("w").alias("key"), (F.log(p1) - unknown + gamma).alias("weight"), F.coalesce("seen", F.lit(0)).alias("seen"))
-    kept = pairs.where(F.col("c") > cutoff).join(words.select(F.col("w").alias("v"), "mass"), "v").join(words.select("w", p1.alias("p1")), "w")
-    more = kept.select(_pair_sql("v", "w").alias("key"), F.log1p((F.col("c") - _by_count("c", d)) / (F.col("mass") * F.col("p1"))).alias("weight"), F.col("c").alias("seen"))
-    return Model(stored(own.union(more), "weights"), unknown, False)
+    mass = d[0] * F.col("once") + d[1] * F.col("twice") + d[2] * (F.col("followers") - F.col("once") - F.col("twice"))
+    kept = pairs.where(F.col("c") > cutoff).select("w", _pair_sql("v", "w").alias("key"), ((F.col("c") - _by_count("c", d)) / mass).alias("ratio"), F.col("c").alias("seen"))
+    more = kept.join(words.select("w", p1.alias("p1")), "w").select("key", F.log1p(F.col("ratio") / F.col("p1")).alias("weight"), "seen")
+    weights = stored(own.union(more).select("key", F.col("weight").cast("float").alias("weight"), "seen"), "weights")
+    delete_path(spark, path)
+    return Model(weights, unknown, False)
 
 
 def _bloom_bits(x: np.ndarray) -> np.ndarray:
@@ -167,7 +177,7 @@ def _lookup(model: Model, frequent: int) -> tuple[Lookup, DataFrame]:
         if n + r["n"] > most:
             break
         least, n = r["k"], n + r["n"]
-    head = weights.where(F.col("seen") >= least).select("key", F.col("weight").cast("float").alias("weight")).toArrow()
+    head = weights.where(F.col("seen") >= least).select("key", "weight").toArrow()
     keys = head.column(0).to_numpy().view(np.uint64)
     order = np.argsort(keys)
     word = F.col("key").bitwiseAND(F.lit(BLOOM - 1))
@@ -218,7 +228,7 @@ def perplexity(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataF
     return out.select("uid", "key", "doc_id", "lang", "n_tokens", F.when(F.col("n_tokens") > 0, -(F.col("total") + F.coalesce("more", F.lit(0.0))) / (F.col("n_tokens") + 1)).alias("log_perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, cutoff: int = 1) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, cutoff: int = 0) -> DataFrame:
     """(uid, key, doc_id, lang, n_tokens, log_perplexity, threshold, kept) for every row of docs; key is xxhash64(doc_id,
     text), with null texts as empty.
 

@@ -303,6 +303,20 @@ def test_quality_model(spark, docs, frequent):
         assert (r["log_perplexity"] is None) == (want is None) and (want is None or abs(r["log_perplexity"] - want) < 1e-4 * max(1, want)), (r, want)
 
 
+def test_quality_scores_all_pairs(spark):
+    """classify() scores with pairs seen once too: the same as dictionaries without a cut-off."""
+    texts = {i: prose(60, 3000 + i) for i in range(120)}
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    last = {r["doc_id"] for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).collect()}
+    train = [texts[i] for i in range(100) if i not in last]
+    whole, cut = kneser_ney(train, 0), kneser_ney(train, 1)
+    for r in quality.classify(df, labels).collect():
+        want = whole(texts[r["doc_id"]])
+        assert abs(r["log_perplexity"] - want) < 1e-4 * want, r
+    assert any(abs(whole(t) - cut(t)) > 1e-2 for t in texts.values())
+
+
 def test_quality_classes(spark, docs):
     clean = [(i, prose(60, i), "en") for i in range(300)]
     junk = [(1000 + i, " ".join(f"{x}$$%{i}" for x in prose(60, i).split()), "en") for i in range(20)]
