@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import stored
+from gristmill.llm.common import small, stored
 from gristmill.llm.tokens import SPACED, Text, blocks, gram_rows, grams, scan, signed
 
 K, M = 20, 6
+#: Up to so many ids whose rows have different texts are broadcast (8 bytes each); beyond, the texts are shuffled.
+IDS_AT_ONCE = 1_000_000
 
 
 def _paths(text: Text, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -57,80 +59,83 @@ def _paths(text: Text, k: int, m: int) -> tuple[np.ndarray, ...]:
     return row[new], start, edges, small[place[new]], content
 
 
-def _firsts(order_keys: list[np.ndarray], same: list[np.ndarray]) -> np.ndarray:
-    """Whether each element is the first, by order_keys (least important first), of those with equal `same`."""
-    order = np.lexsort([*order_keys, *same])
-    head = np.ones(len(order), bool)
-    if len(order):
-        head[1:] = np.logical_or.reduce([s[order][1:] != s[order][:-1] for s in same])
-    out = np.empty(len(order), bool)
-    out[order] = head
-    return out
+def _firsts(place: list[np.ndarray], same: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, again): one element of each place and `same`, as an index; whether another place (least important part
+    first) comes before it among those with equal `same`. What stands in one place twice, in repeated rows, counts once."""
+    order = np.lexsort([*place, *same])
+    new = lambda keys: np.append(True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])) if len(order) else np.zeros(0, bool)
+    head = new(same)
+    once = head | new(place)
+    return order[once], ~head[once]
 
 
-PATHS = "doc_id long, at int, edges int, minimizer long, content long, again boolean"
+PATHS = "doc_id long, version long, at int, edges int, minimizer long, content long, again boolean"
 
 
 def paths(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """The compacted paths of every whole text. again: the path is not the first of its kind in its Arrow batch."""
+    """The compacted paths of every whole text, those of repeated rows once a batch. again: the path also stands in an
+    earlier place of its Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            text = scan(batch.column(1), SPACED)
+            text = scan(batch.column(2), SPACED)
             row, start, edges, minimizer, content = _paths(text, k, m)
-            ids = np.asarray(batch.column(0).fill_null(0), np.int64)[row]
+            ids, version = (np.asarray(batch.column(i), np.int64)[row] for i in (0, 1))
             at = start - text.first[row]
-            again = ~_firsts([at, ids], [content, minimizer])
-            yield pa.record_batch([pa.array(ids), pa.array(at, pa.int32()), pa.array(edges, pa.int32()), pa.array(signed(minimizer)), pa.array(signed(content)), pa.array(again)], ["doc_id", "at", "edges", "minimizer", "content", "again"])
+            one, again = _firsts([at, version, ids], [content, minimizer])
+            yield pa.record_batch([pa.array(ids[one]), pa.array(version[one]), pa.array(at[one], pa.int32()), pa.array(edges[one], pa.int32()), pa.array(signed(minimizer[one])), pa.array(signed(content[one])), pa.array(again)], ["doc_id", "version", "at", "edges", "minimizer", "content", "again"])
 
-    return docs.mapInArrow(run, PATHS)
+    return docs.select("doc_id", "version", "text").mapInArrow(run, PATHS)
 
 
-EDGES = "doc_id long, at int, edge long, again boolean"
+EDGES = "doc_id long, version long, at int, edge long, again boolean"
 
 
 def _expanded(texts: DataFrame, k: int) -> DataFrame:
-    """The single edges of some paths: doc_id, text, open array<struct<at, edges>>."""
+    """The single edges of some paths: doc_id, version, text, open array<struct<at, edges>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            text = scan(batch.column(1), SPACED)
+            text = scan(batch.column(2), SPACED)
             whole = grams(text.hashes, k)
-            spans = batch.column(2)
+            spans = batch.column(3)
             size = np.diff(np.asarray(spans.offsets))
             flat = spans.flatten()
             row = np.repeat(np.arange(batch.num_rows), size)
             start, edges = np.asarray(flat.field(0), np.int64), np.asarray(flat.field(1), np.int64)
             within = np.arange(edges.sum()) - np.repeat(np.cumsum(edges) - edges, edges)
             row, at = np.repeat(row, edges), np.repeat(start, edges) + within
-            edge, ids = whole[text.first[row] + at], np.asarray(batch.column(0), np.int64)[row]
-            again = ~_firsts([at, ids], [edge])
-            yield pa.record_batch([pa.array(ids), pa.array(at, pa.int32()), pa.array(signed(edge)), pa.array(again)], ["doc_id", "at", "edge", "again"])
+            edge = whole[text.first[row] + at]
+            ids, version = (np.asarray(batch.column(i), np.int64)[row] for i in (0, 1))
+            one, again = _firsts([at, version, ids], [edge])
+            yield pa.record_batch([pa.array(ids[one]), pa.array(version[one]), pa.array(at[one], pa.int32()), pa.array(signed(edge[one])), pa.array(again)], ["doc_id", "version", "at", "edge", "again"])
 
     return texts.mapInArrow(run, EDGES)
 
 
 def repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """(doc_id, spans array<struct<at, edges>>): runs of k-word windows whose words also start earlier, by document.
+    """(doc_id, version, spans array<struct<at, edges>>): runs of k-word windows whose words also start earlier, by document.
 
-    docs: doc_id, text without null ids, each id once. Earlier is a smaller doc_id, or the same and an earlier start.
+    docs: doc_id, version, text without null ids; rows with equal id and version have the same text and are one document.
+    Earlier is a smaller doc_id, or the same and a smaller version, or the same of both and an earlier start.
     """
     found = stored(paths(docs, k, m), "paths")
-    first = F.min(F.struct("doc_id", "at")).alias("source")
+    first = F.min(F.struct("doc_id", "version", "at")).alias("source")
+    elsewhere = "source.doc_id <> doc_id or source.version <> version or source.at <> at"
     # what an Arrow batch has twice is settled there; only its first goes through the joins, so no path is hot
     one = found.where("not again")
     kinds = one.groupBy("minimizer", "content").agg(first, F.count("*").alias("n"), F.max("edges").alias("edges"))
     # minimizers with several different paths branch
     kinds = stored(kinds.withColumn("branches", F.min("content").over(Window.partitionBy("minimizer")) != F.max("content").over(Window.partitionBy("minimizer"))).where("n > 1 or branches"), "kinds")
-    later = one.join(kinds.where("n > 1").select("minimizer", "content", "source"), ["minimizer", "content"]).where("source.doc_id <> doc_id or source.at <> at")
-    whole = found.where("again").select("doc_id", "at", "edges").union(later.select("doc_id", "at", "edges"))
-    open_ = kinds.where("branches").select("source.doc_id", "source.at", "edges").groupBy("doc_id").agg(F.collect_list(F.struct("at", "edges")).alias("open"))
-    edges = stored(_expanded(docs.join(open_, "doc_id").select("doc_id", "text", "open"), k), "edges")
+    later = one.join(kinds.where("n > 1").select("minimizer", "content", "source"), ["minimizer", "content"]).where(elsewhere)
+    whole = found.where("again").select("doc_id", "version", "at", "edges").union(later.select("doc_id", "version", "at", "edges"))
+    open_ = kinds.where("branches").select("source.doc_id", "source.version", "source.at", "edges").groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "edges")).alias("open"))
+    edges = stored(_expanded(docs.join(open_, ["doc_id", "version"]).select("doc_id", "version", "text", "open"), k), "edges")
     alone = edges.where("not again")
     sources = alone.groupBy("edge").agg(first, F.count("*").alias("n")).where("n > 1").select("edge", "source")
-    moved = alone.join(sources, "edge").where("source.doc_id <> doc_id or source.at <> at")
-    single = edges.where("again").select("doc_id", "at").union(moved.select("doc_id", "at")).select("doc_id", "at", F.lit(1).alias("edges"))
-    return whole.union(single).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "edges"))).alias("spans"))
+    moved = alone.join(sources, "edge").where(elsewhere)
+    single = edges.where("again").select("doc_id", "version", "at").union(moved.select("doc_id", "version", "at")).select("*", F.lit(1).alias("edges"))
+    return whole.union(single).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "edges"))).alias("spans"))
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
@@ -140,11 +145,15 @@ def deduplicate(docs: DataFrame, k: int = K, m: int = M, digest: bool = False) -
     """(doc_id, n_words, n_removed, kept) for every row of docs: the words of its whole text that no repeated window
     covers, joined by single spaces; with digest, kept is their SHA-256.
 
-    A null text has no words. Rows with one doc_id and different texts, or null ids, are told apart by the text alone:
-    repeated rows of one doc_id are judged as one document, and a row with a null id is left as it is. Other columns of
-    docs are not read.
+    A null text has no words. Repeated rows, equal in doc_id and text, are judged as one document: each keeps what the
+    document keeps. Rows with one doc_id and different texts are documents of their own, in the order of a hash of the
+    text. A row with a null id is left as it is. Other columns of docs are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known, text = docs.where("doc_id is not null"), F.xxhash64("text")
+    several = stored(known.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("several")), "several")
+    # all but the rows of such ids have version 0, which takes no room
+    docs = docs.join(small(several, IDS_AT_ONCE), "doc_id", "left").select("doc_id", F.when(F.col("several"), text).otherwise(F.lit(0).cast("long")).alias("version"), "text")
     spans = stored(repeats(docs.where("doc_id is not null"), k, m), "repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +178,4 @@ def deduplicate(docs: DataFrame, k: int = K, m: int = M, digest: bool = False) -
                     kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
                 yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, KEPT)
+    return docs.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans").mapInArrow(run, KEPT)
