@@ -10,6 +10,10 @@ A block is a line of a text; its set are its distinct words. A template matches
 
 What passes is counted in full, so the join is exact. The templates and their index are fixed and small: they are
 literals of the plan and nothing is shuffled but the counts of the templates' own words.
+
+Notices are wrapped, so a template is also held against runs of lines: windows of as many words as it has itself divided
+by `threshold`, in one document, from each of its words on. Only documents with enough of a template's words are cut
+into windows.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ TEMPLATES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License",
     "cc-by-notice": "This work is licensed under a Creative Commons Attribution International License",
+    "cc-by-nc-notice": "Licensed under CC BY-NC 4.0.",
 }
 
 
@@ -107,6 +112,36 @@ def match(docs: DataFrame, templates: dict[str, str] | None = None, threshold: f
     return pairs.select("doc_id", "uid", "block", "template", (F.col("common") / F.size("of")).alias("containment"))
 
 
+def passages(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, uid, block, template, containment) of every window over several lines that holds at least `threshold` of a
+    template's words; block is the line of its first one. Of windows from one line on, the best is returned.
+
+    docs: as in match().
+    """
+    bodies = templates or TEMPLATES
+    facts = []
+    for name, body in bodies.items():
+        n = len([x for x in re.split(NOT_WORD, body) if x])
+        facts.append((name, _tokens(body), math.ceil(n / threshold - 1e-9), _required(len(_tokens(body)), threshold)))
+    vocabulary = sorted({x for f in facts for x in f[1]})
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    fact = lambda name, of, width, need: F.struct(F.lit(name).alias("template"), listed(of).alias("of"), F.lit(width).alias("width"), F.lit(need).alias("need"))
+    every = F.array(*(fact(*f) for f in facts))
+    # arrays of one element and their explosion make sure that what stands in them is computed once
+    enough = F.transform(F.array(F.array_intersect(words(lowered(F.col("text"))), listed(vocabulary))), lambda have: F.filter(every, lambda t: F.size(F.array_intersect(have, t["of"])) >= t["need"]))
+    found = docs.where(F.col("text").contains("\n")).select("doc_id", "uid", "text", F.explode(F.flatten(enough)).alias("t"))
+    by_line = F.transform(F.split("text", "\n"), lambda line, i: F.transform(words(lowered(line)), lambda w: F.struct(i.alias("block"), w.alias("word"))))
+    placed = F.transform(F.flatten(by_line), lambda x, i: F.struct(i.alias("at"), x["block"].alias("block"), x["word"].alias("word")))
+    hits = found.select("doc_id", "uid", "t", F.explode(F.array(F.filter(placed, lambda x: F.array_contains(F.col("t.of"), x["word"])))).alias("hits"))
+
+    def window(x: Column, i: Column) -> Column:
+        held = F.filter(F.slice("hits", i + 1, F.col("t.width")), lambda y: y["at"] < x["at"] + F.col("t.width"))
+        return F.transform(F.array(held), lambda h: F.struct(x["block"].alias("block"), F.element_at(h, -1)["block"].alias("last"), F.size(F.array_distinct(F.transform(h, lambda y: y["word"]))).alias("common")))[0]
+
+    windows = hits.select("doc_id", "uid", "t", F.explode(F.transform("hits", window)).alias("x")).where("x.common >= t.need and x.last > x.block")
+    return windows.groupBy("doc_id", "uid", "x.block", "t.template").agg(F.max(F.col("x.common") / F.size("t.of")).alias("containment"))
+
+
 def _stands(parts: list[str]):
     return lambda x, i: F.when(functools.reduce(operator.and_, (x[f"w{k}"] == p for k, p in enumerate(parts))), i)
 
@@ -132,14 +167,15 @@ def phrase_places(text: Column, phrases: dict[str, str] | None = None) -> Column
 
 
 def scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_words, places, templates array<struct<template, block, containment>>) for each row of docs.
+    """(doc_id, n_words, places, templates array<struct<template, block, containment>>) for each row of docs: templates
+    that match a line, or a passage over several lines from that line on.
 
     A null text counts as empty: no words, places or templates. Repeated rows are kept, each with its own result. Other
-    columns of docs are not read. docs is read three times and must give the same rows in the same places, as a table does.
+    columns of docs are not read. docs is read four times and must give the same rows in the same places, as a table does.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("uid", F.monotonically_increasing_id())
-    by_doc = match(docs, threshold=threshold).groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("template", "block", "containment"))).alias("templates"))
+    by_doc = match(docs, threshold=threshold).unionByName(passages(docs, threshold=threshold)).groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("template", "block", "containment"))).alias("templates"))
     n = F.size(words(F.col("text"))).cast("long")
     facts = docs.select("uid", "doc_id", n.alias("n_words"), phrase_places(F.col("text")).alias("places"))
     none = F.array().cast("array<struct<template:string,block:int,containment:double>>")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -119,6 +120,25 @@ def test_licenses(spark, docs):
     assert licenses.scan(nothing(docs)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Each template is found however its words are wrapped, and nowhere else."""
+    fill = "\n".join(prose(9, 700 + i) for i in range(4))
+    rows, want = [], {}
+    for i, (name, body) in enumerate(licenses.TEMPLATES.items()):
+        for j, most in enumerate((16, 40, 75)):
+            lines = textwrap.wrap(body, most)
+            rows.append((10 * i + j, fill + "\n" + "\n".join(f" * {x}" for x in lines) + "\n" + fill))
+            want[10 * i + j] = (name, 4)
+    apart = licenses.TEMPLATES["gpl-grant"].split()
+    rows.append((999, "\n".join(w + " " + prose(9, 800 + i) for i, w in enumerate(apart))))
+    got = {r["doc_id"]: {(x["template"], x["block"]): x["containment"] for x in r["templates"]} for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, x in want.items():
+        assert got[i].get(x) == 1.0, (i, x, got[i])
+    assert got[999] == {}
+    (cc,) = licenses.scan(spark.createDataFrame([(1, "x\nLicensed under CC BY-NC 4.0.\ny")], "doc_id bigint, text string")).collect()
+    assert [tuple(x) for x in cc["templates"]] == [("cc-by-nc-notice", 1, 1.0)]
+
+
 def test_media(spark, docs):
     got = media.read_media(media.store_as_media(docs)).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
