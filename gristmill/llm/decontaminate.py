@@ -206,14 +206,14 @@ def _union(start: np.ndarray, end: np.ndarray) -> list[dict]:
 
 
 def _portions(items: DataFrame) -> Iterator[Items]:
-    """The test items in portions of a bounded size, read one after the other; items with null text or id have no windows."""
+    """The test items in portions of a bounded size, read one after the other; items with null text have no windows."""
     held, size = [], 0
 
     def made() -> Items:
         text = scan(pa.array([x["text"] for x in held], pa.string()), ALNUM, fold=True)
         return Items([x["item_id"] for x in held], text.hashes, text.first)
 
-    for row in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").toLocalIterator():
+    for row in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator():
         if held and (len(held) >= ITEMS_AT_ONCE or size + len(row["text"]) > ITEM_BYTES):
             yield made()
             held, size = [], 0
@@ -276,7 +276,8 @@ def _covered(spans):
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """(block, row, doc_id, n_words, n_hit, item_ids) for every row of docs: words inside any occurrence of a window, and
-    the distinct items with occurring windows. Rows without words or matches have zeros and an empty array."""
+    the distinct items with occurring windows. An item without an id counts in n_hit alone. Rows without words or matches
+    have zeros and an empty array."""
     postings = index(docs)
     words = postings.select("block", F.posexplode(F.arrays_zip("ids", F.slice("firsts", 1, F.size("ids")).alias("a"), F.slice("firsts", 2, F.size("ids")).alias("b"))).alias("row", "x"))
     words = words.select("block", "row", F.col("x.ids").alias("doc_id"), (F.col("x.b") - F.col("x.a")).alias("n_words"))

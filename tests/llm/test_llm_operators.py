@@ -400,6 +400,13 @@ def test_substrings(spark, docs):
     assert substrings.deduplicate(nothing(docs)).count() == 0
 
 
+def test_decontamination_by_items_without_id(spark):
+    df = spark.createDataFrame([(1, prose(12, 41)), (2, prose(12, 42)), (3, prose(12, 43))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, prose(12, 41)), (7, prose(12, 42)), (None, prose(12, 42)), (None, None)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in decontaminate.contamination(df, items).collect()}
+    assert got == {1: (12, []), 2: (12, [7]), 3: (0, [])}
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_substrings_of_repeated_ids(spark, docs, parts):
     """Repeated rows are one document, rows of one id with other texts their own, whatever block they are in."""
