@@ -149,7 +149,10 @@ def import_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts are definitions, a third of them methods of their brand's class; orders of one status are tests that name parts."""
+    """Parts are definitions, a third of them methods of their brand's class; tests are the orders of status 'P' and priority
+    '1-URGENT' only, and name the parts of their line items. The queries' SQL has the same filter: with all orders every
+    part would be named and none left unreferenced. So all tests are in one file, and the other orders are not read
+    as tests."""
     parts = table(spark, sf_dir, "part")
     definitions = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit("function").alias("kind"), F.concat(F.col("p_brand"), F.lit(".py")).alias("file"), F.col("p_size").alias("line"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("p"), (F.col("p_partkey") + 1).cast("string"))).alias("containing_class"))
     orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
