@@ -34,18 +34,24 @@ SPACED = _class({0x20, *range(0x09, 0x0E)})
 ALNUM = _class({*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)})
 
 
+#: Bytes, and words, whose prefix sums are taken at a time: what a scan holds beside the text doesn't grow with 8 bytes a byte.
+_AT_ONCE = 1 << 16
+
+
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, made longer when asked for more."""
+    """Powers of an odd base and of its inverse modulo 2**64; longer ones than `_AT_ONCE` are made anew when asked for."""
 
     def __init__(self, base: np.uint64):
         self.base, self.inverse = base, np.uint64(pow(int(base), -1, 2**64))
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up, self.down = self._made(_AT_ONCE)
+
+    def _made(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64) for b in (self.base, self.inverse))
+        return up, down
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = (n + (1 << 18) - 1) >> 18 << 18
-            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
+        up, down = (self.up, self.down) if n <= _AT_ONCE else self._made(n)
+        return up[:n], down[:n]
 
 
 _BASE_POWERS, _GRAM_POWERS = _Powers(_BASE), _Powers(_GRAM)
@@ -135,22 +141,35 @@ def scan(column: pa.Array, words: np.ndarray, fold: bool = False) -> Text:
     tails = offs[1:][offs[1:] > 0] - 1
     last[tails] = inside[tails]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    up, down = _BASE_POWERS.to(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Text(data, offs, starts, ends, np.searchsorted(starts, offs), hashes)
+    hashes = np.empty(len(starts), np.uint64)
+    letters = _FOLDED if fold else _BYTE
+    i = 0
+    while i < len(starts):  # words that lie in so many bytes, or one longer word
+        low = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, low + _AT_ONCE, "right")))
+        part = data[low : ends[j - 1]]
+        up, down = _BASE_POWERS.to(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(letters[part] * up, out=sums[1:])
+        hashes[i:j] = (sums[ends[i:j] - low] - sums[starts[i:j] - low]) * down[starts[i:j] - low]
+        i = j
+    return Text(data, offs, starts, ends, np.searchsorted(starts, offs), mix(hashes))
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of words i to i + k - 1, for each i; they may run from one row into the next."""
-    n = len(hashes)
-    if n < k:
+    n = len(hashes) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _GRAM_POWERS.to(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up, out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    out = np.empty(n, np.uint64)
+    step = max(1, _AT_ONCE - k)
+    for i in range(0, n, step):
+        part = hashes[i : i + step + k - 1]
+        up, down = _GRAM_POWERS.to(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up, out=sums[1:])
+        out[i : i + step] = (sums[k:] - sums[:-k]) * down[: len(part) - k + 1]
+    return mix(out)
 
 
 def gram_rows(text: Text, k: int) -> tuple[np.ndarray, np.ndarray]:
