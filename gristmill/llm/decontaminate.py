@@ -16,11 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import stored
-from gristmill.llm.tokens import ALNUM, blocks, column_bytes, scan
+from gristmill.llm.tokens import ALNUM, blocks, release, scan
 
 #: Test words are broadcast in portions of at most so many items and, unless one item is longer, so many bytes.
 ITEMS_AT_ONCE, ITEM_BYTES = 20_000, 16 << 20
@@ -34,11 +35,11 @@ def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1).astype(np.int64)
 
 
-def index(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+def index(docs: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
     """Postings of every word of every whole text, stored in the shared folder.
 
     docs: doc_id, text; other columns are not read. A null or empty text has no words and stays in the index as a row
@@ -53,8 +54,9 @@ def index(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
             terms, at = np.unique(text.hashes[order], return_index=True)
             gaps = np.diff(order, prepend=0)
             gaps[at] = order[at]
-            row = [[block], [batch.column(0).to_pylist()], [text.first], [terms.tobytes()], [_pack(np.diff(np.append(at, len(order))))], [_pack(gaps)]]
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(row, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["block", "ids", "firsts", "terms", "sizes", "places"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            packed = (pa.array([x], pa.binary()) for x in (terms.tobytes(), _pack(np.diff(np.append(at, len(order)))), _pack(gaps)))
+            yield pa.record_batch([pa.array([block]), one(batch.column(0)), one(pa.array(text.first, pa.int64())), *packed], ["block", "ids", "firsts", "terms", "sizes", "places"])
             block += 1
 
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, INDEX), "postings")
@@ -76,7 +78,7 @@ class Items:
 class Block:
     """One row of the index, with the term at each position as well: an O(1) test of any position in any list."""
 
-    ids: list
+    ids: pa.Array
     firsts: np.ndarray
     terms: np.ndarray
     starts: np.ndarray
@@ -84,15 +86,17 @@ class Block:
     at: np.ndarray
 
     @staticmethod
-    def of(row: dict) -> Block:
-        terms, sizes, gaps = np.frombuffer(row["terms"], np.uint64), _unpack(row["sizes"]), _unpack(row["places"])
+    def of(row: pa.RecordBatch, i: int) -> Block:
+        ids, firsts = (row.column(c)[i].values for c in ("ids", "firsts"))
+        terms, sizes, gaps = (row.column(c)[i].as_buffer() for c in ("terms", "sizes", "places"))
+        terms, sizes, gaps = np.frombuffer(terms, np.uint64), _unpack(sizes), _unpack(gaps)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         total = np.cumsum(gaps)
         head = starts[:-1]
         places = total - np.repeat(total[head] - gaps[head], sizes) if len(gaps) else gaps
         at = np.empty(len(places), np.int64)
         at[places] = np.repeat(np.arange(len(terms)), sizes)
-        return Block(row["ids"], np.array(row["firsts"], np.int64), terms, starts, places, at)
+        return Block(ids, firsts.to_numpy(), terms, starts, places, at)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in this block's terms, -1 if it has none."""
@@ -231,7 +235,7 @@ def matches(postings: DataFrame, items: DataFrame, n: int = 10, span: int | None
     itself. No match, no row.
     """
 
-    def search(portion: Items) -> DataFrame:
+    def search(portion: Items) -> tuple[DataFrame, Broadcast]:
         shared = postings.sparkSession.sparkContext.broadcast(portion)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +244,7 @@ def matches(postings: DataFrame, items: DataFrame, n: int = 10, span: int | None
             names = ["block", "row", "doc_id", "item_id", "spans"]
             for batch in batches:
                 for k in range(batch.num_rows):
-                    raw = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
-                    block = Block.of(raw)
+                    block = Block.of(batch, k)
                     if not len(block.at):
                         continue
                     term = block.find(test.hashes)
@@ -256,15 +259,25 @@ def matches(postings: DataFrame, items: DataFrame, n: int = 10, span: int | None
                     for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
                         o = order[i:j]
                         r = int(row[o[0]])
-                        out.append((raw["block"], r, block.ids[r], test.ids[item[o[0]]], _union(a[o] - block.firsts[r], b[o] - block.firsts[r])))
+                        out.append((batch.column("block")[k].as_py(), r, block.ids[r].as_py(), test.ids[item[o[0]]], _union(a[o] - block.firsts[r], b[o] - block.firsts[r])))
                     yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), _SPANS], strict=True)], names)
-
-        return postings.mapInArrow(run, MATCH)
-
-    out = None
-    for portion in _portions(items):
-        out = search(portion) if out is None else out.unionByName(search(portion))
-    return out if out is not None else postings.sparkSession.createDataFrame([], MATCH)
+                block = batch = None
+                release()
+
+        return postings.mapInArrow(run, MATCH), shared
+
+    # of several portions each one's matches are stored, so that one broadcast lives at a time
+    out, portions = None, _portions(items)
+    now, then = next(portions, None), next(portions, None)
+    if then is None:
+        return search(now)[0] if now else postings.sparkSession.createDataFrame([], MATCH)
+    while now:
+        found, shared = search(now)
+        found = stored(found, "matches")
+        shared.destroy()
+        out = found if out is None else out.unionByName(found)
+        now, then = then, next(portions, None)
+    return out
 
 
 def _covered(spans):
