@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import components, decontaminate, langid, licenses, media, near_dedup, packing, quality, secrets, substrings, tokens, warc
+from gristmill.llm.common import scratch
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -278,63 +279,92 @@ def test_warc_ranges_with_false_magic(spark, tmp_path):
         warc.read(spark, f"file://{tmp_path}").count()
 
 
-def kneser_ney(train, cutoff=1):
-    """The same model with dictionaries."""
-    big = defaultdict(int)
+def kneser_ney(train, order=2):
+    """The same model with dictionaries, by the recursion itself: (log perplexity of a text, probability of a word after a context, vocabulary)."""
+    grams = {order: defaultdict(int)}
     for t in train:
         w = SPACED.findall(t)
-        for p in zip([None, *w], [*w, None], strict=True) if w else ():
-            big[p] += 1
+        padded = [None] * (order - 1) + w + [None]
+        for i in range(len(padded) - order + 1) if w else ():
+            grams[order][tuple(padded[i : i + order])] += 1
+    for n in range(order - 1, 0, -1):
+        grams[n] = defaultdict(int)
+        for g in grams[n + 1]:
+            grams[n][g[1:]] += 1
     many = lambda xs: {k: sum(1 for x in xs if min(x, 5) == k) for k in range(1, 6)}
-    d = quality._discounts(many(list(big.values())))
-    before, cv, mass = defaultdict(int), defaultdict(int), defaultdict(float)
-    for (v, w), c in big.items():
-        before[w] += 1
-        cv[v] += c
-        mass[v] += d[min(c, 3) - 1]
-    e = quality._discounts(many(list(before.values())))
-    spare = sum(e[min(n, 3) - 1] for n in before.values()) / len(big) / (len(before) + 1)
-    p1 = lambda w: (before[w] - e[min(before[w], 3) - 1] if w in before else 0) / len(big) + spare
+    d = {n: quality._discounts(many(list(g.values()))) for n, g in grams.items()}
+    off = lambda n, c: d[n][min(c, 3) - 1]
+    spare = sum(off(1, c) for c in grams[1].values()) / len(grams[2]) / (len(grams[1]) + 1)
+    after = defaultdict(dict)
+    for n in range(2, order + 1):
+        for g, c in grams[n].items():
+            after[g[:-1]][g[-1]] = c
+
+    def p(w, context):
+        if not context:
+            c = grams[1].get((w,), 0)
+            return (c - off(1, c) if c else 0) / len(grams[2]) + spare
+        if not (seen := after.get(context)):
+            return p(w, context[1:])
+        n, total = len(context) + 1, sum(seen.values())
+        return (seen[w] - off(n, seen[w]) if w in seen else 0) / total + sum(off(n, c) for c in seen.values()) / total * p(w, context[1:])
 
     def score(text):
         w = SPACED.findall(text or "")
-        if not w:
-            return None
-        total = 0.0
-        for v, x in zip([None, *w], [*w, None], strict=True):
-            c = big.get((v, x), 0)
-            own = (c - d[min(c, 3) - 1]) / cv[v] if c > cutoff else 0
-            total += np.log(own + mass[v] / cv[v] * p1(x)) if v in cv else np.log(p1(x))
-        return -total / (len(w) + 1)
+        padded = [None] * (order - 1) + w + [None]
+        return -sum(np.log(p(padded[i], tuple(padded[i - order + 1 : i]))) for i in range(order - 1, len(padded))) / (len(w) + 1) if w else None
 
-    return score
+    return score, p, [w for (w,) in grams[1]], list(after)
 
 
-@pytest.mark.parametrize("frequent", [0, 1 << 21])
-def test_quality_model(spark, docs, frequent):
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(order):
+    """In every context: all words, the end and one unknown word."""
+    _, p, words, contexts = kneser_ney([prose(60, 1000 + i) for i in range(15)] + ["a b a b a b"], order)
+    for context in contexts[:200]:
+        assert abs(sum(p(w, context) for w in [*words, "nowhere"]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize(("frequent", "order", "at_once", "filtered"), [(0, 2, 0, True), (1 << 20, 2, 1 << 18, True), (50, 3, 40, True), (1 << 20, 4, 1 << 18, False)])
+def test_quality_model(spark, docs, frequent, order, at_once, filtered, monkeypatch):
+    if not filtered:
+        monkeypatch.setattr(quality, "BLOOM_FOR", 0)
     train = [prose(80, 1000 + i) for i in range(25)] + ["", "a b a b a b"]
-    model = quality.fit(spark.createDataFrame([(t,) for t in train], "text string"))
-    rows = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("bigint").alias("key"), F.monotonically_increasing_id().alias("uid"))
-    got = quality.perplexity(rows, model, frequent).collect()
-    score = kneser_ney(train)
-    texts = {r["uid"]: r["text"] for r in rows.collect()}
-    for r in got:
-        want = score(texts[r["uid"]])
-        assert (r["log_perplexity"] is None) == (want is None) and (want is None or abs(r["log_perplexity"] - want) < 1e-4 * max(1, want)), (r, want)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("of", F.xxhash64("text"))
+    with scratch(spark) as own:
+        model = quality.fit(spark.createDataFrame([(t,) for t in train], "text string"), own, order, at_once)
+        got = {r["of"]: r for r in quality.scores(rows, model, own, frequent).collect()}
+    score = kneser_ney(train, order)[0]
+    texts = {r["of"]: r["text"] for r in rows.collect()}
+    for of, text in texts.items():
+        want = score(text)
+        assert (of in got) == (want is not None)
+        if want is not None:
+            assert got[of]["n_tokens"] == len(SPACED.findall(text)) and abs(got[of]["log_perplexity"] - want) < 1e-4 * max(1, want), (text, want)
 
 
 def test_quality_scores_all_pairs(spark):
-    """classify() scores with pairs seen once too: the same as dictionaries without a cut-off."""
+    """classify() scores with pairs seen once too."""
     texts = {i: prose(60, 3000 + i) for i in range(120)}
     df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
     last = {r["doc_id"] for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).collect()}
-    train = [texts[i] for i in range(100) if i not in last]
-    whole, cut = kneser_ney(train, 0), kneser_ney(train, 1)
+    whole = kneser_ney([texts[i] for i in range(100) if i not in last])[0]
     for r in quality.classify(df, labels).collect():
         want = whole(texts[r["doc_id"]])
         assert abs(r["log_perplexity"] - want) < 1e-4 * want, r
-    assert any(abs(whole(t) - cut(t)) > 1e-2 for t in texts.values())
+
+
+def test_quality_thresholds(spark):
+    """Exact nearest-rank quantiles, of ties, one value and none."""
+    r = random.Random(6)
+    values = {"a": [r.uniform(1, 20) for _ in range(997)], "b": [3.25] * 10 + [3.250000004], "c": [7.5], "d": [r.choice([0.5, 0.25, 19.0]) for _ in range(50)]}
+    df = spark.createDataFrame([(g, x) for g, xs in values.items() for x in xs], "group string, x double")
+    for q in (0.01, 0.5, 0.995, 1.0):
+        got = dict(tuple(x) for x in quality.quantiles(df, q).collect())
+        want = {g: sorted(xs)[int(np.ceil(q * len(xs) - 1e-12)) - 1] for g, xs in values.items()}
+        assert all(abs(got[g] - want[g]) < 1e-8 for g in want) and len(got) == len(want), q
+    assert quality.quantiles(df.where("x < 0"), 0.5).count() == 0
 
 
 def test_quality_classes(spark, docs):
@@ -458,3 +488,13 @@ def test_secrets(spark):
     clean = {r["doc_id"]: r for r in secrets.redact(df.where("doc_id <> 1")).collect()}
     assert clean[7]["text"] == "token=[secret]" and clean[7]["n_chars"] == 14 and clean[3]["text"] is None and clean[5]["text"] == "passphrase: [secret] credential := correct"
     assert secrets.scan(nothing(df)).count() == 0
+
+
+def test_decontamination_in_portions(spark, docs, monkeypatch):
+    """Items that don't go out in one broadcast give the same matches."""
+    few = docs.where("doc_id < 60")
+    items = spark.createDataFrame([(i, " ".join(r["text"].split()[:25])) for i, r in enumerate(few.where("doc_id >= 30").collect())], "item_id bigint, text string")
+    found = lambda: sorted((r["doc_id"], r["n_hit"], sorted(r["item_ids"])) for r in decontaminate.contamination(few, items).collect())
+    want = found()
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 4)
+    assert found() == want and sum(n > 0 for _, n, _ in want) > 10
