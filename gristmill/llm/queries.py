@@ -51,7 +51,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    records = warc.read(spark, path)
+    records = warc.read(spark, path, payloads=False)
     number = lambda c: F.regexp_extract(F.col(c), "^urn:page:(.*)$", 1).try_cast("long")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

@@ -2,13 +2,17 @@
 
 Writing. A member's last byte is the top byte of its length, 0 below 16 MiB; longer records get an empty member after
 them, which ends in 0 as well. So a row is a member without its last byte, and the sink's "line separator", one zero
-byte, completes it: each part file is a plain .warc.gz, in whatever store Spark can write to.
+byte, completes it: each part file is a plain .warc.gz, in whatever store Spark can write to, and is named so in the end.
 
 Reading. The source splits files into byte ranges with the gzip magic as separator: a task scans its range, owns the
 pieces that start inside and reads the last one to its end beyond. A piece is the start of a record only if it decodes
 to a member with a WARC header. The magic may also occur by chance inside compressed bytes; a piece that doesn't
 complete a member is joined with the next one. Where a range ends within such a member, its pieces and the orphans at
-the start of the next range are put together by file and range in a small second step.
+the start of the next range are put together by file and range in a small second step. Archives are read once.
+
+Hadoop's readers would unpack files named .gz themselves, and in one piece. Which codec unpacks a file they tell by the
+last registered extension that comes before its reversed name; `_raw` registers one that no file has right after .gz, so
+that no codec is found and the file is read as it is, in ranges.
 """
 
 from __future__ import annotations
@@ -22,6 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import small, stored
+
+#: Up to so many revisits are broadcast to the pages (some 60 bytes each); beyond, the pages are shuffled to them.
+REVISITS_AT_ONCE = 200_000
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 _PIECE = RECORD + ", file string, block long, seq long, piece binary"
@@ -109,41 +117,60 @@ def _is_start(piece: bytes) -> bool:
 
 
 def write(pages: DataFrame, path: str, at_least: int = 0) -> None:
-    """Writes each row (page_id, url, html) as a record to .warc.gz parts under `path`.
+    """Writes each row (page_id, url, html) as a record to parts named *.warc.gz under `path`.
 
     The payload is html in UTF-8, null as empty. Of records with equal payloads of at least `at_least` bytes the one
     with the smallest page_id is a response and the others are revisits of it, with no payload; smaller ones are all
     responses. A repeated row of that smallest page_id is a response again. A null page_id counts as larger than all.
-    Other columns are not read; an empty table makes an archive without records.
+    Other columns are not read; an empty table makes an archive without records. Revisits are found by digests and ids
+    alone; payloads are not shuffled for it unless there are very many revisits.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("body"))
-    rows = rows.withColumn("sha", F.sha1("body"))
-    shared = rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("of"), "first_id")
-    rows = rows.join(shared, F.col("sha") == F.col("of"), "left")
-    rows = rows.withColumn("refers", F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.octet_length("body") >= at_least), F.col("first_id")))
+    rows = rows.withColumn("sha", F.unhex(F.sha1("body")))
+    ids = rows.where(F.octet_length("body") >= at_least).select(F.col("sha").alias("of"), F.col("page_id").alias("who"))
+    shared = ids.groupBy("of").agg(F.min("who").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
+    revisits = stored(ids.join(shared, "of").where(~F.col("who").eqNullSafe(F.col("refers"))).distinct(), "revisits")
+    rows = rows.join(small(revisits, REVISITS_AT_ONCE), (F.col("sha") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("who")), "left")
     rows = rows.select("page_id", "url", "sha", "refers", F.octet_length("body").alias("size"), F.when(F.col("refers").isNull(), F.col("body")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for at in range(0, batch.num_rows, 100):
                 out = []
-                for row in batch.slice(at, 500).to_pylist():
-                    digest = base64.b32encode(bytes.fromhex(row["sha"])).decode()
+                for row in batch.slice(at, 100).to_pylist():
+                    digest = base64.b32encode(row["sha"]).decode()
                     key, refers = (f"urn:page:{'' if x is None else x}" for x in (row["page_id"], row["refers"]))
                     kind = "response" if row["refers"] is None else "revisit"
                     out.append(_member(build(key, kind, row["url"], row["body"] or b"", refers, digest, row["size"]))[:-1])
                 yield pa.record_batch([pa.array(out, pa.binary())], ["member"])
 
     rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    _named(pages.sparkSession, path)
+
+
+def _named(spark: SparkSession, path: str) -> None:
+    """Gives the sink's parts their suffix."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.listStatus(top):
+        name = found.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            fs.rename(found.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, name.removesuffix(".txt") + ".warc.gz"))
+
+
+def _raw(spark: SparkSession) -> dict[str, str]:
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    return {"io.compression.codecs": codec.CLASSNAME, codec.OPT_EXTENSION: ".\u0001.gz"}
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of all archives under `path`: id, type, target URI, refers_to, payload digest as written, payload.
 
-    Bytes that belong to no member are an error: an archive that is cut off is never read as if it were whole. File
-    names must not end in .gz, as Hadoop's readers would unpack such files themselves and in one piece.
+    Files may have any name, *.warc.gz among them, and other members than `write` makes. Bytes that belong to no member
+    are an error: an archive that is cut off is never read as if it were whole. Records are stored in the shared folder;
+    without `payloads` only their lengths and digests are, and payload is null.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+    lines = spark.read.options(**_raw(spark)).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     lines = lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     names = [x.split()[0] for x in _PIECE.split(", ")]
     kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
@@ -151,50 +178,50 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 
-    def scan(torn: bool):
-        """Records that lie whole in a range; or, with torn, the pieces that don't: there only the open member at a range's end is decoded in full."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            here: tuple | None = None
-            state: list[bytes] = []
-            rows: list[tuple] = []
-            size = orphans = 0
-
-            def finish(at_end: bool) -> None:
-                if not state or torn and not at_end:
-                    return
-                raw = _inflate(b"".join(MAGIC + x for x in state))
-                if raw is None and torn:
-                    rows.extend((None,) * 7 + (*here, seq, x) for seq, x in enumerate(state, OPEN))
-                elif raw is None and not at_end:
-                    raise ValueError("an archive holds bytes that are no whole gzip member")
-                elif raw and not torn:
-                    rows.append((*_whole(raw), None, None, None, None))
-
-            for batch in batches:
-                for piece, file, block in zip(*batch.columns, strict=True):
-                    at, piece = (file.as_py(), block.as_py()), piece.as_py()
-                    if at != here:
-                        finish(True)
-                        here, state, orphans = at, [], 0
-                        if at[1] == 0 and not piece:
-                            continue  # nothing stands before the first magic of a file
-                    if _is_start(piece):
-                        finish(False)
-                        state = [piece]
-                    elif state:
-                        state.append(piece)
-                    elif torn:
-                        rows.append((None,) * 7 + (*here, orphans, piece))
-                        orphans += 1
-                    size += len(piece)
-                    if rows and (len(rows) >= 500 or size > 8 << 20):
-                        yield out(rows)
-                        rows, size = [], 0
-            finish(True)
-            yield out(rows)
-
-        return lines.mapInArrow(run, _PIECE)
+    def record(raw: bytes) -> tuple:
+        found = _whole(raw)
+        return (*(found if payloads else (*found[:-1], None)), None, None, None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records that lie whole in a range, and the pieces of those that don't."""
+        here: tuple | None = None
+        state: list[bytes] = []
+        rows: list[tuple] = []
+        size = orphans = 0
+
+        def finish(at_end: bool) -> None:
+            if not state:
+                return
+            raw = _inflate(b"".join(MAGIC + x for x in state))
+            if raw is None and at_end:
+                rows.extend((None,) * 7 + (*here, seq, x) for seq, x in enumerate(state, OPEN))
+            elif raw is None:
+                raise ValueError("an archive holds bytes that are no whole gzip member")
+            elif raw:
+                rows.append(record(raw))
+
+        for batch in batches:
+            for piece, file, block in zip(*batch.columns, strict=True):
+                at, piece = (file.as_py(), block.as_py()), piece.as_py()
+                if at != here:
+                    finish(True)
+                    here, state, orphans = at, [], 0
+                    if at[1] == 0 and not piece:
+                        continue  # nothing stands before the first magic of a file
+                if _is_start(piece):
+                    finish(False)
+                    state = [piece]
+                elif state:
+                    state.append(piece)
+                else:
+                    rows.append((None,) * 7 + (*here, orphans, piece))
+                    orphans += 1
+                size += len(piece)
+                if rows and (len(rows) >= 500 or size > 4 << 20):
+                    yield out(rows)
+                    rows, size = [], 0
+        finish(True)
+        yield out(rows)
 
     def stitch(table: pa.Table) -> pa.Table:
         """Pieces of one file in the order of their ranges; those of a range that ends a member have the higher numbers."""
@@ -206,7 +233,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if raw is None:
                     raise ValueError("an archive holds bytes that are no whole gzip member")
                 if raw:
-                    rows.append((*_whole(raw), None, None, None, None))
+                    rows.append(record(raw))
                 held.clear()
 
         for row in table.sort_by([("block", "ascending"), ("seq", "ascending")]).to_pylist():
@@ -217,5 +244,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return pa.Table.from_batches([out(rows)])
 
     fields = [x.split()[0] for x in RECORD.split(", ")]
-    torn = scan(True).groupBy("file").applyInArrow(stitch, _PIECE)
-    return scan(False).select(fields).unionByName(torn.select(fields))
+    found = stored(lines.mapInArrow(run, _PIECE), "records")
+    torn = found.where("file is not null").groupBy("file").applyInArrow(stitch, _PIECE)
+    return found.where("file is null").select(fields).unionByName(torn.select(fields))

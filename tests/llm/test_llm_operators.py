@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small fixture with nulls, empty, long, repeated and tied rows."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -241,6 +242,9 @@ def test_components(spark):
 def test_warc(spark, tmp_path):
     rows = [(i, None if i % 7 == 0 else f"u\n{i}", None if i % 5 == 0 else "x" * (i % 3) + ("é" if i % 2 else "")) for i in range(60)] + [(5, "u", None), (900, "big", "y" * 17_000_000)]
     warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("sha", F.lit("clash")), f"file://{tmp_path}/a")
+    assert all(x.name.startswith(("part-", ".", "_")) and not x.name.endswith(".txt") for x in (tmp_path / "a").iterdir())
+    for one in (tmp_path / "a").glob("part-*.warc.gz"):
+        assert gzip.decompress(one.read_bytes())[:5] == b"WARC/"
     got = warc.read(spark, f"file://{tmp_path}/a").collect()
     first = {}
     for i, _, h in sorted(rows, key=lambda r: r[0]):
@@ -256,11 +260,12 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
-def test_warc_ranges_with_false_magic(spark, tmp_path):
-    """Stored members that hold the magic, read in ranges of any size."""
+@pytest.mark.parametrize("name", ["a.warc", "a.warc.gz"])
+def test_warc_ranges_with_false_magic(spark, tmp_path, name):
+    """Stored members that hold the magic, read in ranges of any size, whatever the file is called."""
     r = random.Random(1)
     want = []
-    with open(tmp_path / "a.warc", "wb") as f:
+    with open(tmp_path / name, "wb") as f:
         for i in range(60):
             body = b"\x1f\x8b\x08abc" * (i % 9) + r.randbytes(200)
             want.append((f"urn:page:{i}", body))
@@ -271,9 +276,11 @@ def test_warc_ranges_with_false_magic(spark, tmp_path):
         for size in ("128m", "3k", "700"):
             spark.conf.set("spark.sql.files.maxPartitionBytes", size)
             assert sorted((x["record_id"], bytes(x["payload"])) for x in warc.read(spark, f"file://{tmp_path}").collect()) == sorted(want)
+            bare = warc.read(spark, f"file://{tmp_path}", payloads=False).collect()
+            assert sorted((x["record_id"], x["payload_bytes"]) for x in bare) == sorted((i, len(x)) for i, x in want) and {x["payload"] for x in bare} == {None}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    with open(tmp_path / "a.warc", "r+b") as f:
+    with open(tmp_path / name, "r+b") as f:
         f.truncate(9000)
     with pytest.raises(Exception, match="no whole gzip member"):
         warc.read(spark, f"file://{tmp_path}").count()
