@@ -11,6 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gristmill.llm.common import stored
+from gristmill.llm.tokens import blocks
 
 UNIT = 576
 #: The last bytes of a payload that a checksum of its own is taken of.
@@ -46,6 +50,8 @@ def _header(data: bytes, numbers: int) -> tuple[list[int], int]:
 
 def decode_pnm(data: bytes) -> np.ndarray:
     """P1 to P6 as uint8 samples scaled to 0..255 (P1, P4: 1 is black), shape (h, w) or (h, w, 3)."""
+    if data[:2] not in _PNM:
+        raise ValueError("neither Netpbm nor BMP")
     channels, bits, plain = _PNM[data[:2]]
     numbers, at = _header(data, 2 if bits else 3)
     w, h = numbers[:2]
@@ -103,21 +109,32 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_pnm(data)
+    pixels = decode_bmp(data) if data[:2] == b"BM" else decode_pnm(data)
+    if not pixels.size:
+        raise ValueError("an image without pixels")
+    return pixels
+
+
+#: Rows of an image whose integral image is held at a time.
+BAND = 512
+
+
+def _shrunk(values: np.ndarray, n: int) -> np.ndarray:
+    """Along the first axis: the mean of the (fractional) piece of each of n equal parts, from the running sums."""
+    size = len(values)
+    total = np.concatenate([np.zeros_like(values[:1], np.float64), np.cumsum(values, 0, dtype=np.float64)])
+    edge = np.arange(n + 1) * (size / n)
+    low = np.minimum(edge.astype(np.int64), size - 1)
+    part = (edge - low).reshape([-1] + [1] * (values.ndim - 1))
+    return np.diff(total[low] * (1 - part) + total[low + 1] * part, axis=0) / (size / n)
 
 
 def area_resize(pixels: np.ndarray, h: int, w: int) -> np.ndarray:
-    """The mean of the (fractional) source area of each target pixel, from the integral image; float64."""
-    sums = pixels.astype(np.float64)
-    for axis, n in ((0, h), (1, w)):
-        size = sums.shape[axis]
-        total = np.concatenate([np.zeros_like(np.take(sums, [0], axis)), np.cumsum(sums, axis)], axis)
-        edge = np.arange(n + 1) * (size / n)
-        low = np.minimum(edge.astype(np.int64), size - 1)
-        part = (edge - low).reshape([-1 if a == axis else 1 for a in range(sums.ndim)])
-        at = np.take(total, low, axis) * (1 - part) + np.take(total, low + 1, axis) * part
-        sums = np.diff(at, axis=axis) / (size / n)
-    return sums
+    """The mean of the (fractional) source area of each target pixel, from the integral image; float64.
+
+    Rows are shrunk first, a band at a time, so that large images need little more than h x w columns of numbers."""
+    bands = [_shrunk(pixels[i : i + BAND].swapaxes(0, 1), w).swapaxes(0, 1) for i in range(0, len(pixels), BAND)]
+    return _shrunk(np.concatenate(bands), h)
 
 
 def npy(tile: np.ndarray) -> bytes:
@@ -139,42 +156,58 @@ def payload(text: bytes, unit: int = UNIT) -> bytes:
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, tile binary"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, tile binary, error string"
 
 
-def store_as_media(docs: DataFrame, width: int = UNIT, form: str = "pgm") -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text (null: empty) as an image of `width` samples a row; form pgm or bmp.
+def encode(raw: bytes, width: int, form: str) -> bytes:
+    """A payload as an image of `width` samples a row; form either is bmp or pgm, by the lowest bit of the payload's CRC."""
+    pixels = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return encode_bmp(pixels) if form == "bmp" or form == "either" and zlib.crc32(raw) & 1 else encode_pnm(pixels)
+
+
+def store_as_media(docs: DataFrame, width: int = UNIT, form: str = "either") -> DataFrame:
+    """(doc_id, n_bytes, media): each whole text (null: empty) as an image of `width` samples a row; form pgm, bmp or either,
+    which makes a table of both kinds. It is stored in the shared folder.
 
     An empty text is one row of 255s. Texts of any length become images of as many rows as they need. Rows with equal
     texts get equal media. Other columns of `docs` are not read.
     """
-    encode = encode_pnm if form == "pgm" else encode_bmp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.columns
-            for at in range(0, batch.num_rows, 256):
-                raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts.slice(at, 256)]
-                media = [encode(np.frombuffer(payload(x), np.uint8).reshape(-1, width)) for x in raw]
-                yield pa.record_batch([ids.slice(at, 256), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        for batch in blocks(batches):
+            raw = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
+            media = [encode(payload(x), width, form) for x in raw]
+            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    return stored(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, MEDIA), "media")
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, MEDIA)
+
+def features(data: bytes, tile: int = 16) -> tuple:
+    """What read_media gives of one medium, from payload_bytes on."""
+    pixels = decode(data)
+    raw = pixels.tobytes()
+    small = np.rint(area_resize(pixels, tile, tile)).astype(np.uint8)
+    return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(pixels), *pixels.shape[:2], npy(small), None
 
 
 def read_media(media: DataFrame, tile: int = 16) -> DataFrame:
-    """Decodes each medium and gives its samples' digests, an NPY tile of tile x tile samples and its difference hash."""
+    """Decodes each medium and gives its samples' digests, an NPY tile of tile x tile samples and its difference hash.
+
+    A medium that is null or can't be decoded gives nulls and the reason as error; it doesn't end the job. An image
+    without pixels is such a one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "media"):
             rows = []
-            for key, n, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                stored = data.as_buffer().to_pybytes()
-                pixels = decode(stored)
-                raw = pixels.tobytes()
-                small = np.rint(area_resize(pixels, tile, tile)).astype(np.uint8)
-                rows.append((key.as_py(), n.as_py(), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), *pixels.shape[:2], npy(small)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
+            for key, n, data in zip(*batch.columns, strict=True):
+                try:
+                    found = features(data.as_buffer().to_pybytes(), tile) if data.is_valid else (None,) * 9 + ("no medium",)
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
+                    found = (None,) * 9 + (f"{type(e).__name__}: {e}",)
+                rows.append((key.as_py(), n.as_py(), *found))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
             names = [x.split()[0] for x in FEATURES.split(", ")]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 
-    return media.mapInArrow(run, FEATURES)
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(run, FEATURES)

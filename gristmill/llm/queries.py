@@ -37,7 +37,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.store_as_media(table(spark, sf_dir, "documents"))).drop("height", "width", "tile")
+    return media.read_media(media.store_as_media(table(spark, sf_dir, "documents")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,8 +145,11 @@ def test_media(spark, docs):
     got = media.read_media(media.store_as_media(docs)).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     assert len(got) == docs.count()
+    forms = {bytes(r["media"][:2]) for r in media.store_as_media(docs).collect()}
+    assert forms == {b"P5", b"BM"}
     for r in got:
         raw = media.payload(texts[r["doc_id"]])
+        assert r["error"] is None and r["media_sha256"] == hashlib.sha256(media.encode(raw, 576, "either")).hexdigest()
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
     rng = np.random.default_rng(1)
     for shape in ((5, 7), (5, 7, 3), (1, 1), (9, 16)):
@@ -155,9 +158,46 @@ def test_media(spark, docs):
     assert (media.decode(b"P1\n# c\n3 2\n101\n010\n") == [[0, 255, 0], [255, 0, 255]]).all()
     assert (media.decode(b"P4\n3 2\n\xa0\x40") == [[0, 255, 0], [255, 0, 255]]).all()
     assert (media.decode(b"P3 1 1 15 15 0 5") == [[[255, 0, 85]]]).all()
-    p = rng.integers(0, 256, (12, 18)).astype(np.uint8)
-    assert np.allclose(media.area_resize(p, 4, 6), p.reshape(4, 3, 6, 3).mean((1, 3)))
-    assert media.store_as_media(nothing(docs)).count() == 0
+    assert media.store_as_media(nothing(docs)).count() == 0 and media.read_media(media.store_as_media(nothing(docs))).count() == 0
+
+
+def plain_resize(p, h, w):
+    """Each target pixel as the sum of its share of every source pixel, in fractions."""
+    from fractions import Fraction as Q
+
+    def share(size, n, i, k):  # of source cell k in target cell i
+        return max(Q(0), min(Q(k + 1), Q(size * (i + 1), n)) - max(Q(k), Q(size * i, n)))
+
+    rows, cols = p.shape
+    return [[sum(share(rows, h, i, y) * share(cols, w, j, x) * int(p[y, x]) for y in range(rows) for x in range(cols)) * h * w / Q(rows * cols) for j in range(w)] for i in range(h)]
+
+
+def test_media_features():
+    """Area resize, difference hash and tile against plain loops over pixels."""
+    rng = np.random.default_rng(2)
+    for shape in ((1, 9), (7, 23), (16, 16), (21, 10)):
+        p = rng.integers(0, 256, shape).astype(np.uint8)
+        for h, w in ((8, 9), (16, 16), (3, 2)):
+            assert np.allclose(media.area_resize(p, h, w), np.array(plain_resize(p, h, w), float), atol=1e-9)
+        cells = plain_resize(p, 8, 9)
+        bits = "".join("1" if round(row[x + 1] * 256) > round(row[x] * 256) else "0" for row in cells for x in range(8))
+        got = media.features(media.encode_pnm(p), 4)
+        assert int(got[5], 16) == int(bits, 2) and got[6:8] == shape
+        tile = got[8]
+        assert tile[:6] == b"\x93NUMPY" and b"(4, 4)" in tile[:128] and b"'|u1'" in tile[:128]
+        assert tile[-16:] == bytes(round(float(x)) for row in plain_resize(p, 4, 4) for x in row)
+        assert media.features(media.encode_bmp(p), 4)[:3] == got[:3] and media.features(media.encode_bmp(p), 4)[5:] == got[5:]
+    tall = rng.integers(0, 256, (2000, 18)).astype(np.uint8)  # several bands
+    assert np.allclose(media.area_resize(tall, 4, 6), tall.reshape(4, 500, 6, 3).mean((1, 3)))
+
+
+def test_media_that_is_bad(spark):
+    """A bad medium is reported in its row."""
+    good = media.encode_bmp(np.zeros((2, 3), np.uint8))
+    rows = [(1, good), (2, None), (3, b""), (4, b"GIF89a"), (5, good[:70]), (6, b"P5\n4 4\n255\nshort"), (7, b"P5 x"), (8, b"P5 0 0 255 "), (9, b"P3 1 1 255 1 2 x"), (10, b"BM"), (11, b"P6 # no end")]
+    got = {r["doc_id"]: r for r in media.read_media(spark.createDataFrame([(i, 0, x) for i, x in rows], "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert len(got) == len(rows) and got[1]["error"] is None and got[1]["feature"] == "0" * 16
+    assert all(got[i]["error"] and got[i]["feature"] is None for i in range(2, 12))
 
 
 def test_packing(spark, docs):
