@@ -22,8 +22,6 @@ WINDOW, DIM, FILTERS = 256, 6, {2: 8, 3: 12, 4: 12}
 WIDEST = max(FILTERS)
 #: At most so many rows of each language are learned from, those with the smallest hash of doc_id.
 PER_LANGUAGE = 240
-#: And at most so many windows of a row.
-PER_ROW = 12
 _SPAN = WINDOW - WIDEST + 1
 
 
@@ -93,7 +91,6 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, at_once: int =
     # every third text also in capitals, so that case doesn't tell languages apart
     texts, labels = texts + [x.decode("utf-8", "replace").upper().encode() for x in texts[::3]], labels + labels[::3]
     cut = [windows(x) for x in texts]
-    cut = [x[np.sort(rng.permutation(len(x))[:PER_ROW])] for x in cut]
     x = np.concatenate(cut)
     y = np.repeat([languages.index(v) for v in labels], [len(c) for c in cut])
     # each language weighs the same, however many windows it has
@@ -131,8 +128,9 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, at_once: int =
 def fit(docs: DataFrame, of: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from text and lang of the rows where `of` holds and neither is null or doc_id null.
 
-    A bounded sample: for each language the `per_language` rows with the smallest hash of doc_id. Ids are chosen in a
-    pass over doc_id and lang alone (each task keeps its own smallest before the shuffle); only the chosen texts are read.
+    A bounded sample of rows: for each language the `per_language` ones with the smallest hash of doc_id, their whole texts.
+    Ids are chosen in a pass over doc_id and lang alone (each task keeps its own smallest before the shuffle); only the
+    chosen texts are read. Of rows with one doc_id and language the smallest text counts. Other columns are not read.
     """
     known = docs.where(of & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id"))
@@ -140,7 +138,7 @@ def fit(docs: DataFrame, of: Column, per_language: int = PER_LANGUAGE) -> Model:
     chosen = [r[0] for r in ids.select("doc_id").distinct().collect()]
     if not chosen:
         return train([], [])
-    rows = sorted(known.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", F.encode("text", "utf-8").alias("raw")).dropDuplicates(["doc_id", "lang"]).collect())
+    rows = sorted(known.where(F.col("doc_id").isin(chosen)).groupBy("doc_id", "lang").agg(F.min(F.encode("text", "utf-8")).alias("raw")).collect())
     return train([bytes(r["raw"]) for r in rows], [r["lang"] for r in rows])
 
 
@@ -154,7 +152,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of each row's whole text.
 
     `und` with score 0 where the text is null or has no letter, or where nothing was learned. A model of one language
-    gives that one with score 1. Equal texts get equal answers; ties go to the first language in order.
+    gives that one with score 1. Equal texts get equal answers, whatever rows they stand in; ties go to the first language
+    in order. Texts of any length are read in full; a null doc_id stays null. Other columns of docs are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 

@@ -88,6 +88,50 @@ def test_language(spark, docs):
     assert langid.identify(nothing(df), model).count() == 0
 
 
+def plain_network(model, data):
+    """Probabilities of a whole text: every filter at every place of every window, byte by byte."""
+    total = np.zeros(len(model.languages))
+    cuts = [data[i : i + langid.WINDOW] for i in range(0, len(data), langid.WINDOW)]
+    for cut in cuts:
+        seen = model.vectors[np.frombuffer(cut.ljust(langid.WINDOW, b"\0"), np.uint8)].astype(np.float64)
+        kept = []
+        for f, width in enumerate(w for w, n in langid.FILTERS.items() for _ in range(n)):
+            best = -np.inf
+            for at in range(langid.WINDOW - langid.WIDEST + 1):
+                best = max(best, sum(seen[at + i, c] * model.filters[i * langid.DIM + c, f] for i in range(width) for c in range(langid.DIM)))
+            kept.append(max(0.0, best + model.bias[f]))
+        out = np.exp(np.array(kept) @ model.weights + model.prior)
+        total += out / out.sum() * len(cut)
+    return total / len(data)
+
+
+def test_language_by_plain_loops(spark, docs):
+    """Whole texts, among them repeated rows, ties, a short and a long one, against plain loops; the very long ones by windows of the network."""
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.where("doc_id not in (20, 50)").collect()}
+    model = langid.train([t.encode() for t in texts.values() if 0 < len(t) < 2000], ["x" if i % 2 else "y" for i, t in texts.items() if 0 < len(t) < 2000], epochs=1)
+    rows = langid.identify(docs, model).collect()
+    assert len(rows) == docs.count()
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+    assert {(r["lang_pred"], r["score"]) for r in rows if r["doc_id"] in (20, 21, 22, 23)} == {got[21]}
+    for i in (3, 21, 30, 51, 64, 68):
+        want = plain_network(model, texts[i].encode())
+        assert got[i][0] == model.languages[int(want.argmax())] and abs(got[i][1] - want.max()) < 2e-5, i
+    for i in (66, 67):
+        raw = texts[i].encode()
+        cut = langid.windows(raw)
+        each = np.minimum(len(raw) - np.arange(len(cut)) * langid.WINDOW, langid.WINDOW)
+        want = (langid.predict(model, cut) * each[:, None]).sum(0) / len(raw)
+        assert got[i][0] == model.languages[int(want.argmax())] and abs(got[i][1] - want.max()) < 2e-5, i
+    assert all(got[i] == ("und", 0.0) for i in (60, 61, 62))
+
+
+def test_language_training_fits():
+    r = random.Random(2)
+    texts = [bytes(r.choice(b"abc" if i % 2 else b"xyz") for _ in range(700)) for i in range(12)]
+    model = langid.train(texts, ["p" if i % 2 else "q" for i in range(12)], epochs=20)
+    assert all(langid.predict(model, langid.windows(t))[:, int(i % 2 == 0)].min() > 0.9 for i, t in enumerate(texts))
+
+
 def brute_places(text):
     w = ALNUM.findall(low(text or ""))
     return len(w), sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
