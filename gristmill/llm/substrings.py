@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import small, stored
@@ -30,6 +30,8 @@ from gristmill.llm.tokens import SPACED, Text, blocks, gram_rows, grams, scan, s
 K, M = 20, 6
 #: Up to so many ids whose rows have different texts are broadcast (8 bytes each); beyond, the texts are shuffled.
 IDS_AT_ONCE = 1_000_000
+#: Minimizers with several paths are broadcast up to so many (8 bytes each); beyond, the paths are shuffled to them.
+MINIMIZERS_AT_ONCE = 500_000
 
 
 def _paths(text: Text, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -124,9 +126,11 @@ def repeats(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     elsewhere = "source.doc_id <> doc_id or source.version <> version or source.at <> at"
     # what an Arrow batch has twice is settled there; only its first goes through the joins, so no path is hot
     one = found.where("not again")
-    kinds = one.groupBy("minimizer", "content").agg(first, F.count("*").alias("n"), F.max("edges").alias("edges"))
-    # minimizers with several different paths branch
-    kinds = stored(kinds.withColumn("branches", F.min("content").over(Window.partitionBy("minimizer")) != F.max("content").over(Window.partitionBy("minimizer"))).where("n > 1 or branches"), "kinds")
+    # minimizers with several different paths branch; a frequent one is two numbers a task here, not rows of one task
+    branching = one.groupBy("minimizer").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("minimizer", F.lit(True).alias("branches"))
+    branching = small(stored(branching, "branching"), MINIMIZERS_AT_ONCE)
+    kinds = one.groupBy("minimizer", "content").agg(first, F.count("*").alias("n"), F.max("edges").alias("edges")).join(branching, "minimizer", "left")
+    kinds = stored(kinds.withColumn("branches", F.coalesce("branches", F.lit(False))).where("n > 1 or branches"), "kinds")
     later = one.join(kinds.where("n > 1").select("minimizer", "content", "source"), ["minimizer", "content"]).where(elsewhere)
     whole = found.where("again").select("doc_id", "version", "at", "edges").union(later.select("doc_id", "version", "at", "edges"))
     open_ = kinds.where("branches").select("source.doc_id", "source.version", "source.at", "edges").groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "edges")).alias("open"))
