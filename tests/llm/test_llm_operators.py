@@ -570,6 +570,11 @@ def test_secrets(spark):
     kinds = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in got}
     assert kinds[5] == ["guess"] and kinds[3] == kinds[4] == []
     assert secrets.guess_bits("password123")[0] < 20 < 60 < secrets.guess_bits("x9$Kq2vL7pWz")[0]
+    ranks = secrets.dictionary()
+    assert ranks["password"] == 1 and len(secrets.dictionary(None)) == len(set(secrets.WORDS))
+    if len(ranks) > 10_000:  # ordinary words in a row are no secret if the vocabulary is there, but a random value is one
+        assert secrets.guess_bits("guitarmountain", ranks)[0] < 40 < secrets.guess_bits("guitarmountain")[0]
+        assert [x[0] for x in secrets.Finder(ranks)("passphrase: guitarmountain auth=x9$Kq2vL7pWzRt")] == ["guess"]
     # against all segmentations of short values
     for value in ("qwe123", "aaaa", "2024", "monkeyq", "P@ssword"):
         n, found, each = len(value), secrets.segments(value), secrets._class_bits(value)
