@@ -266,6 +266,90 @@ def test_packing(spark, docs):
     assert sum(c[np.unique(b, return_index=True)[1]]) <= 4 * 64
 
 
+def plain_pack(lengths, capacities):
+    """The rule of packing.pack spelled out over lists: all bins and all pieces to come are looked at each time."""
+    sizes, cost = sorted(capacities), packing.step_cost
+    bins, where = [], {}
+    todo = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for n, i in enumerate(todo):
+        x = lengths[i]
+        fits = [b for b in bins if b["room"] >= x]
+        if fits:
+            least = min(b["room"] for b in fits)
+            b = max((b for b in fits if b["room"] == least), key=lambda b: b["touched"])  # the last one to come to this room
+        else:
+            value = {}
+            for c in [c for c in sizes if c >= x]:
+                room = c
+                for y in (lengths[j] for j in todo[n:]):  # longest first, what fits
+                    room -= y if y <= room else 0
+                filled = c - room
+                value[c] = cost(next(s for s in sizes if s >= filled)) / filled
+            c = min(value, key=lambda c: (value[c], c))
+            b = {"room": c, "used": 0, "id": len(bins)}
+            bins.append(b)
+        where[i] = (b["id"], b["used"])
+        b["room"], b["used"], b["touched"] = b["room"] - x, b["used"] + x, n
+    return [(*where[i], next(s for s in sizes if s >= bins[where[i][0]]["used"])) for i in range(len(lengths))]
+
+
+def least_cost(lengths, capacities):
+    """The cheapest way to pack: every partition of the pieces."""
+    top = max(capacities)
+
+    def go(left, bins):
+        if not left:
+            return sum(packing.step_cost(next(s for s in sorted(capacities) if s >= b)) for b in bins)
+        x, rest = left[0], left[1:]
+        ways = [go(rest, [*bins[:i], b + x, *bins[i + 1 :]]) for i, b in enumerate(bins) if b + x <= top]
+        return min([*ways, go(rest, [*bins, x])])
+
+    return go(list(lengths), [])
+
+
+def test_packing_by_plain_rule():
+    r = random.Random(9)
+    for trial in range(120):
+        capacities = r.choice([(8, 16, 32), (64,), (10, 15, 40), (512, 1024, 2048, 4096)])
+        top = max(capacities)
+        lengths = [min(top, int(r.choice([r.uniform(1, top), r.uniform(1, top / 4), top, top / 2, 1, 3]))) for _ in range(r.randint(1, 60))]
+        got = packing.pack(np.array(lengths, np.int64), capacities)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == plain_pack(lengths, capacities), (trial, lengths, capacities)
+
+
+def test_packing_near_the_best():
+    """No more than a third above the cheapest of all packings."""
+    r = random.Random(10)
+    worst = 1.0
+    for _ in range(60):
+        capacities = r.choice([(8, 16, 32), (10, 15, 40)])
+        lengths = [r.randint(1, max(capacities)) for _ in range(r.randint(1, 7))]
+        bins, _, final = packing.pack(np.array(lengths, np.int64), capacities)
+        got = sum(packing.step_cost(int(c)) for c in final[np.unique(bins, return_index=True)[1]])
+        best = least_cost(lengths, capacities)
+        assert got >= best - 1e-9
+        worst = max(worst, got / best)
+    assert worst < 4 / 3, worst
+
+
+def test_packing_query_by_plain_rule(spark, docs):
+    """The whole query in one shard: each row's pieces where the plain rule has them, very long texts cut."""
+    capacities = (64, 128, 256)
+    pieces = []
+    for r in docs.collect():
+        n = len(SPACED.findall(r["text"] or ""))
+        pieces += [(r["doc_id"], k, min(256, n - 256 * k)) for k in range(max(1, -(-n // 256)))]
+    full = sorted((i, k, n) for i, k, n in pieces if n)
+    got = packing.best_fit(docs, capacities, shard=10**6).collect()
+    assert sorted((r["doc_id"], r["piece"], r["length"]) for r in got) == sorted(pieces)
+    # repeated rows have equal pieces, so which of them stands where doesn't show
+    want = [(i, k, n, *at) for (i, k, n), at in zip(full, plain_pack([n for *_, n in full], capacities), strict=True)]
+    shape = lambda rows: sorted((i, k, n, at, c) for i, k, n, _, at, c in rows)
+    mine = [(r["doc_id"], r["piece"], r["length"], r["bin_id"], r["offset"], r["capacity"]) for r in got if r["length"]]
+    together = lambda rows: sorted(sorted((i, k) for i, k, _, c, *_ in rows if c == b) for b in {x[3] for x in rows})
+    assert shape(mine) == shape(want) and together(mine) == together(want)
+
+
 def shingles(text, k):
     w = SPACED.findall(low(text or ""))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
