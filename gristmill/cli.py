@@ -127,7 +127,7 @@ def _check(args: argparse.Namespace, a: Analysis) -> int:
         failed = True
     if a.gate.duplication_enabled:
         members = a.clusters.join(a.chunks, a.clusters["id"] == a.chunks["chunk_id"]).select("cluster_id", "file", "start_line", "name")
-        for row in report.duplication_lines(members, duplication.cluster_summary(a.pairs, a.clusters)).toLocalIterator():
+        for row in report.duplication_lines(members, a.cluster_summary).toLocalIterator():
             print(row["line"])
             failed = True
     total, covered, pct = a.coverage.first()

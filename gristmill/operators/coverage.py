@@ -5,7 +5,7 @@ definitions(name, kind, file, line, containing_class), refs(test_file, test_name
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,11 +43,15 @@ def show_tests(definitions: DataFrame, refs: DataFrame, untested: bool = True, m
     """(file, line, name, containing_class, n_tests, tests): the first tests by name, and how many more there are."""
     key = ["file", "name", "containing_class", "line"]
     test = F.concat_ws("::", "test_file", "test_name")
-    by = covering(definitions, refs).groupBy(*key).agg(F.sort_array(F.collect_set(test)).alias("all"))
-    by = by.select(*(F.col(k).alias(f"of_{k}") for k in key), "all")
+    found = covering(definitions, refs).select(*key, test.alias("test")).distinct()
+    # the number, and the first few: Spark keeps that many of a definition's tests a task before it shuffles
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("test"))
+    head = found.withColumn("rank", rank).where(F.col("rank") <= most).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("test")), ", ").alias("head"))
+    number = found.groupBy(*key).agg(F.count("*").alias("n"))
+    both = number.alias("a").join(head.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
+    by = both.select(*(F.col(f"a.{k}").alias(f"of_{k}") for k in key), "n", "head")
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
     out = definitions.join(by, same, "left" if untested else "inner")
-    n = F.when(F.col("all").isNull(), 0).otherwise(F.size("all"))
-    head = F.array_join(F.slice("all", 1, most), ", ")
-    tests = F.when(n == 0, "UNTESTED").when(n > most, F.concat(head, F.format_string(" (+%d more)", n - most))).otherwise(head)
+    n = F.coalesce("n", F.lit(0))
+    tests = F.when(n == 0, "UNTESTED").when(n > most, F.concat("head", F.format_string(", +%d more", n - most))).otherwise(F.col("head"))
     return out.select("file", "line", "name", "containing_class", n.cast("bigint").alias("n_tests"), tests.alias("tests"))

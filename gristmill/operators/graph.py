@@ -6,6 +6,8 @@ new, and ends the plan's lineage with a checkpoint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,12 +84,53 @@ def indirect_dependencies(modules: DataFrame, edges: DataFrame, reached: DataFra
     return out.select("module", n.cast("long").alias("reach"), (n - F.col("fan_out")).cast("long").alias("indirect"), F.coalesce("eccentricity", F.lit(0)).cast("long").alias("eccentricity"))
 
 
-def cycles(reached: DataFrame) -> DataFrame:
-    """(module, component, size): modules of strongly connected components of two or more; the id is the smallest member."""
-    back = reached.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = reached.select("src", "dst").join(back, ["src", "dst"], "left_semi")
-    named = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("component"), (F.count("*") + 1).alias("size"))
-    return named.select(F.col("src").alias("module"), "component", "size")
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without edges that lead from a node nothing leads to, or to one that leads nowhere: they are in no cycle."""
+    n = edges.count()
+    while n:
+        src, dst = edges.select("src").distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        inner = cut(edges.join(dst, "src", "left_semi").join(src.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        left = inner.count()
+        if left == n:
+            break
+        edges, n = inner, left
+    return edges
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(module, component, size): modules of strongly connected components of two or more; the id is the smallest member.
+
+    No closure is made, so there never are more rows than edges. Each round trims what is in no cycle; every node takes the
+    smallest of those that lead to it as its color; back from that node along edges of one color its component is found,
+    and leaves. Every color gives one component a round.
+    """
+    left = _trimmed(cut(edges.where("src <> dst").select("src", "dst").distinct()))
+    found = []
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        color = cut(nodes.withColumn("color", F.col("node")))
+        while True:
+            over = left.join(color, left["src"] == color["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("near"))
+            new = cut(color.join(over, "node", "left").select("node", F.least("color", "near").alias("color"), F.col("color").alias("was")))
+            color = new.select("node", "color")
+            if new.where("color <> was").isEmpty():
+                break
+        a, b = color.select(F.col("node").alias("src"), "color"), color.select(F.col("node").alias("dst"), F.col("color").alias("of"))
+        same = cut(left.join(a, "src").join(b, "dst").where("color = of").select("src", "dst", "color"))
+        members = frontier = cut(color.where("node = color"))
+        while not frontier.isEmpty():
+            back = same.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "color").distinct()
+            frontier = cut(back.join(members, "node", "left_anti"))
+            members = cut(members.unionByName(frontier))
+        found.append(members)
+        gone = members.select("node")
+        rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _trimmed(cut(rest.select("src", "dst")))
+    if not found:
+        return left.select(F.col("src").alias("module"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size"))
+    members = reduce(DataFrame.unionByName, found)
+    size = members.groupBy("color").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(size, "color").select(F.col("node").alias("module"), F.col("color").alias("component"), "size")
 
 
 def longest_path(edges: DataFrame) -> int | None:

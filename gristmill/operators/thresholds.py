@@ -70,14 +70,13 @@ def class_violations(classes: DataFrame, thresholds: DataFrame) -> DataFrame:
 def graph_violations(modules: DataFrame, edges: DataFrame, limits: dict[str, int | None], reached: DataFrame | None = None) -> DataFrame:
     """Cycles larger than cycle_size, modules with more indirect dependencies than the limit, and, if the graph has no
     cycle, its longest path. Limits are one language's."""
-    reached = graph.reach(edges) if reached is None else reached
     at = lambda unit, metric, value, limit, message, hint: (F.lit("(graph)").alias("file"), F.lit(0).alias("line"), unit.alias("unit_name"), F.lit(metric).alias("metric"), value.cast("bigint").alias("value"), F.lit(limit).cast("bigint").alias("threshold"), message.alias("message"), F.lit(hint).alias("suggestion"))
     spark, found = modules.sparkSession, []
     if (limit := limits.get("cycle_size")) is not None:
-        rings = graph.cycles(reached).where(F.col("size") > limit).groupBy("component", "size").agg(F.array_join(F.sort_array(F.collect_list("module")), " -> ").alias("unit"))
+        rings = graph.cycles(edges).where(F.col("size") > limit).groupBy("component", "size").agg(F.array_join(F.sort_array(F.collect_list("module")), " -> ").alias("unit"))
         found.append(rings.select(*at(F.col("unit"), "cycle_size", F.col("size"), limit, F.format_string("%d modules import each other.", "size"), "Break the cycle.")))
     if (limit := limits.get("indirect_dependencies")) is not None:
-        many = graph.indirect_dependencies(modules, edges, reached).where(F.col("indirect") > limit)
+        many = graph.indirect_dependencies(modules, edges, graph.reach(edges) if reached is None else reached).where(F.col("indirect") > limit)
         found.append(many.select(*at(F.col("module"), "indirect_dependencies", F.col("indirect"), limit, F.format_string("Module '%s' depends on %d modules indirectly.", "module", "indirect"), "Depend on less.")))
     if (limit := limits.get("dependency_depth")) is not None and (longest := graph.longest_path(edges)) is not None and longest > limit:
         found.append(spark.range(1).select(*at(F.lit("graph"), "dependency_depth", F.lit(longest), limit, F.format_string("The longest chain of imports has %d steps.", F.lit(longest)), "Shorten the chain.")))

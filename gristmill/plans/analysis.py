@@ -69,13 +69,26 @@ class Analysis:
     def chunks(self) -> DataFrame:
         return cut(metrics.chunks(self.nodes, self.files))
 
+    @cached_property
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        return duplication.classes(cut(duplication.signatures(self.chunks)))
+
+    @cached_property
+    def class_pairs(self) -> DataFrame:
+        return cut(duplication.class_pairs(self.classes[1], min_similarity=self.gate.min_similarity))
+
     @cached_property
     def pairs(self) -> DataFrame:
-        return cut(duplication.duplicate_pairs(cut(duplication.signatures(self.chunks)), min_similarity=self.gate.min_similarity))
+        """All pairs of copies, for a report of them."""
+        return duplication.duplicate_pairs(cut(duplication.signatures(self.chunks)), min_similarity=self.gate.min_similarity)
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return cut(duplication.clusters(self.pairs))
+        return cut(duplication.clusters(self.classes[0], self.class_pairs))
+
+    @cached_property
+    def cluster_summary(self) -> DataFrame:
+        return duplication.cluster_summary(self.classes[0], self.class_pairs, self.clusters)
 
     @cached_property
     def tests(self) -> tuple[DataFrame, DataFrame, DataFrame]:

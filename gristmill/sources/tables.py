@@ -12,8 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir, which driver and executors share; a folder of its own where that is unset."""
+    """A checkpoint in spark.checkpoint.dir, which driver and executors share. Where that is unset, a local master has a
+    temporary folder; any other master is an error, as its machines would not see each other's files."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gristmill-"))
+        top = context.getConf().get("spark.checkpoint.dir")
+        if not top and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(top or tempfile.mkdtemp(prefix="gristmill-"))
     return df.checkpoint()

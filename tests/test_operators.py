@@ -19,7 +19,7 @@ def test_text(spark):
     assert one(spark, text.normalize_code(F.lit(" Foo  12\n\tBAR34x "))) == "foo n barnx"
     assert one(spark, text.line_count(F.lit("a\nb\n"))) == 3
     assert one(spark, text.slug(F.lit("9a.B"))) == "n9a_b" and one(spark, text.escape_html(F.lit('<a&"b">'))) == "&lt;a&amp;&quot;b&quot;&gt;"
-    assert one(spark, text.candidate_list(F.array(*map(F.lit, "abcde")))) == "a, b, c (+2 more)"
+    assert one(spark, text.candidate_list(F.array(*map(F.lit, "abcde")))) == "a, b, c, +2 more"
 
 
 def test_hash_values():
@@ -40,9 +40,73 @@ def test_duplicates(spark):
     with pytest.raises(ValueError):
         duplication.candidates(sigs, bands=200)
     pairs = spark.createDataFrame([(1, 2, 0.8), (2, 3, 0.9)], "i bigint, j bigint, similarity double")
-    members = duplication.clusters(pairs)
-    assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 1), (3, 1)}
-    assert abs(duplication.cluster_summary(pairs, members).first()["similarity"] - 1.7 / 3) < 1e-12
+    alone = spark.createDataFrame([(1, 1, 1), (2, 2, 1), (3, 3, 1), (9, 9, 1)], "id bigint, rep bigint, n bigint")
+    members = duplication.clusters(alone, pairs)
+    assert {tuple(r)[:2] for r in members.collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert abs(duplication.cluster_summary(alone, pairs, members).first()["similarity"] - 1.7 / 3) < 1e-12
+
+
+def test_duplicates_by_class(spark):
+    """Pairs, clusters and means from classes are those of all pairs of signatures."""
+    r = random.Random(8)
+    bases = ["\n".join("".join(r.choice("abcd ") for _ in range(20)) for _ in range(8)) for _ in range(4)]
+    texts = []
+    for i in range(60):
+        t = list(bases[i % 4])
+        for _ in range(r.choice([0, 0, 2, 6, 30])):
+            t[r.randrange(len(t))] = r.choice("wxyz")
+        texts.append((i, "".join(t)))
+    sigs = duplication.signatures(spark.createDataFrame(texts, "chunk_id bigint, source string")).cache()
+    rows = {x["chunk_id"]: x["sig"] for x in sigs.collect()}
+    alike = {(i, j): sum(a == b for a, b in zip(rows[i], rows[j], strict=True)) / 128 for i in rows for j in rows if i < j and any(rows[i][k : k + 8] == rows[j][k : k + 8] for k in range(0, 128, 8))}
+    assert {tuple(x) for x in duplication.candidates(sigs).collect()} == set(alike)
+    want = {p: s for p, s in alike.items() if s >= 0.7}
+    assert {(x["i"], x["j"]): x["similarity"] for x in duplication.duplicate_pairs(sigs).collect()} == want and len(want) > 50
+    root = {i: i for p in want for i in p}
+    for _ in range(60):
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    members, reps = duplication.classes(sigs)
+    pairs = duplication.class_pairs(reps)
+    found = duplication.clusters(members, pairs)
+    assert {x["id"]: x["cluster_id"] for x in found.collect()} == root
+    for x in duplication.cluster_summary(members, pairs, found).collect():
+        inside = [i for i, c in root.items() if c == x["cluster_id"]]
+        assert x["n"] == len(inside)
+        assert abs(x["similarity"] - sum(s for (i, _), s in want.items() if root[i] == x["cluster_id"]) / (len(inside) * (len(inside) - 1) / 2)) < 1e-9
+    own = spark.createDataFrame([(i, "f" if i % 3 == 0 else "g") for i in range(60)], "chunk_id bigint, file string")
+    assert {tuple(x)[:2] for x in duplication.about_file(duplication.duplicate_pairs(sigs), own, "f").collect()} == {p for p in want if p[0] % 3 == 0 or p[1] % 3 == 0}
+
+
+def test_signatures_in_pieces(monkeypatch):
+    """Long texts and many shingles, in pieces of any size."""
+    r = random.Random(4)
+    sets = [np.unique(np.array([r.randrange(10**6) for _ in range(n)], np.uint64)) for n in (0, 1, 700, 50, 3000)]
+    seed = minhash.seeds(16)
+    want = [minhash.hash64(s, seed).min(0).tolist() if len(s) else [2**64 - 1] * 16 for s in sets]
+    for most in (1 << 15, 600, 7):
+        monkeypatch.setattr(minhash, "VALUES", most)
+        assert minhash.signatures(sets, seed).tolist() == want
+
+
+def test_cycles(spark):
+    """Components of random graphs against mutual reachability."""
+    r = random.Random(12)
+    for nodes, n in ((12, 14), (30, 45), (25, 90)):
+        edges = {(f"m{r.randrange(nodes):02}", f"m{r.randrange(nodes):02}") for _ in range(n)}
+        reach = {a: {a} for e in edges for a in e}
+        for _ in range(nodes):
+            for a, b in edges:
+                for k in reach:
+                    if a in reach[k]:
+                        reach[k].add(b)
+        want = set()
+        for a in reach:
+            ring = sorted(b for b in reach[a] if a in reach[b])
+            if len(ring) > 1:
+                want.add((a, ring[0], len(ring)))
+        assert {tuple(x) for x in graph.cycles(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()} == want
+    assert graph.cycles(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
 def test_percentiles(spark):
@@ -66,7 +130,7 @@ def test_graph(spark, small_graph):
     reached = graph.reach(edges).cache()
     far = {r["module"]: (r["reach"], r["indirect"], r["eccentricity"]) for r in graph.indirect_dependencies(modules, edges, reached).collect()}
     assert far == {"a": (4, 3, 4), "b": (4, 3, 3), "c": (4, 2, 2), "d": (1, 0, 1), "e": (0, 0, 0), "f": (0, 0, 0), "main": (0, 0, 0)}
-    assert {tuple(r) for r in graph.cycles(reached).collect()} == {("a", "a", 3), ("b", "a", 3), ("c", "a", 3)}
+    assert {tuple(r) for r in graph.cycles(edges).collect()} == {("a", "a", 3), ("b", "a", 3), ("c", "a", 3)}
     assert graph.longest_path(edges) is None and graph.longest_path(edges.where("not (src = 'c' and dst = 'a')")) == 4 and graph.longest_path(edges.where("src = 'z'")) == 0
     assert [r[0] for r in graph.orphans(modules, edges).collect()] == ["f"]
     assert {tuple(r) for r in graph.degrees(modules, edges).where("module in ('c', 'f')").collect()} == {("c", 1, 2), ("f", 0, 0)}
