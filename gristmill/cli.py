@@ -52,15 +52,20 @@ def main(argv: list[str] | None = None) -> int:
     found = config.config_files(args.path, args.config)
     limits = config.load_thresholds(found, (args.lang,) if args.lang else config.LANGUAGES)
     if args.command == "rules":
-        print("\n".join(line for lang in limits for line in config.rules(limits, lang)))
+        gate = config.load_gate(found)
+        print("\n".join([*config.DEFINITIONS, *(line for lang in limits for line in config.rules(limits, lang, gate))]))
         return 0
     if args.command == "config":
-        print("\n".join(f"[{lang}]\n" + "\n".join(f"{m} = {v}" for m, v in x.items() if v is not None) for lang, x in limits.items()))
+        gate = config.load_gate(found)
+        print("# Effective configuration\n\n[gate]")
+        print(f"test_coverage_threshold = {gate.coverage}\nmin_similarity = {gate.min_similarity:.2f}\nduplication_enabled = {str(gate.duplication_enabled).lower()}")
+        for lang, x in limits.items():
+            print("\n".join(["", f"[{lang}]", *(f"{m} = {v}" for m, v in x.items() if v is not None)]))
         return 0
     spark = session()
     table = files(spark, args.path, tuple(args.ignore), args.lang)
     if table.isEmpty():
-        print("no source files")
+        print("No source files found.")
         return 0
     a = Analysis(table, limits, config.load_gate(found))
     code = _run(args, a)
@@ -82,10 +87,15 @@ def _run(args: argparse.Namespace, a: Analysis) -> int:
         elif args.top or args.all:
             _show(stats.top(a.values.withColumn("key", a.values["value"]), args.top or 10, "key").select("metric", "rank", "value"))
         else:
-            _show(stats.percentiles(a.values).orderBy("metric"))
+            print("\n".join(report.stats_lines([r.asDict() for r in stats.percentiles(a.values).collect()])))
     elif args.command == "dry":
         pairs = a.pairs if not args.filter else duplication.about_file(a.pairs, a.chunks, args.filter)
-        _show(pairs.select("i", "j", duplication.percent(pairs["similarity"]).alias("pct")))
+        found = False
+        for row in report.pair_lines(pairs, a.chunks).toLocalIterator():
+            print(row["line"])
+            found = True
+        if not found:
+            print("No duplicates found.")
     elif args.command in ("mimic", "clamp"):
         values = {r["metric"]: r["threshold"] for r in stats.mimic(a.values).collect()}
         text = config.to_toml({k: v for k, v in sorted(values.items())})
@@ -102,20 +112,24 @@ def _run(args: argparse.Namespace, a: Analysis) -> int:
     elif args.command == "viz":
         report.write_graph(args.out or "modules.mmd", a.modules, a.edges, args.zoom)
     else:
-        _show(coverage.show_tests(a.tests[0], a.tests[1], args.untested).orderBy("file", "line"))
+        shown = coverage.show_tests(a.tests[0], a.tests[1], True, with_file=False)
+        for row in report.test_lines(shown, coverage.covered(a.tests[0], a.tests[2]), args.untested).orderBy("file", "line").toLocalIterator():
+            print(row["text"])
     return 0
 
 
 def _shrink(args: argparse.Namespace, a: Analysis) -> int:
     state = snapshot.load(args.out or Path(args.path, STATE))
     if state is None:
-        print("no snapshot")
+        print("Error: No shrink session found.")
         return 1
     metric, target, before = state
     baseline = a.files.sparkSession.createDataFrame(list(before.items()), "metric string, value bigint")
     rows = snapshot.check(baseline, snapshot.long(a.totals), metric, target).collect()
     for r in rows:
         print(report.shrink_line(*r))
+    if not rows:
+        print("Shrink constraints satisfied.")
     return int(bool(rows))
 
 
@@ -132,7 +146,7 @@ def _check(args: argparse.Namespace, a: Analysis) -> int:
             failed = True
     total, covered, pct = a.coverage.first()
     if pct < a.gate.coverage and not args.all:
-        print(report.coverage_line(pct, a.gate.coverage, total - covered))
+        print(report.coverage_line(pct, a.gate.coverage, total - covered, total))
         failed = True
     print(report.summary_line(_totals(a)))
     if not failed:

@@ -39,13 +39,13 @@ def coverage_pct(definitions: DataFrame, refs: DataFrame) -> DataFrame:
     return n.select("total", "covered", F.when(F.col("total") == 0, 100).otherwise(F.floor(F.col("covered") * 100 / F.col("total"))).cast("bigint").alias("pct"))
 
 
-def show_tests(definitions: DataFrame, refs: DataFrame, untested: bool = True, most: int = 3) -> DataFrame:
+def show_tests(definitions: DataFrame, refs: DataFrame, untested: bool = True, most: int = 3, with_file: bool = True) -> DataFrame:
     """(file, line, name, containing_class, n_tests, tests): the first tests by name, and how many more there are."""
     key = ["file", "name", "containing_class", "line"]
-    test = F.concat_ws("::", "test_file", "test_name")
-    found = covering(definitions, refs).select(*key, test.alias("test")).distinct()
+    test = F.concat_ws("::", "test_file", "test_name") if with_file else F.col("test_name")
+    found = covering(definitions, refs).select(*key, "test_file", test.alias("test")).distinct()
     # the number, and the first few: Spark keeps that many of a definition's tests a task before it shuffles
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("test"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("test", "test_file"))
     head = found.withColumn("rank", rank).where(F.col("rank") <= most).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("test")), ", ").alias("head"))
     number = found.groupBy(*key).agg(F.count("*").alias("n"))
     both = number.alias("a").join(head.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key])
@@ -53,5 +53,5 @@ def show_tests(definitions: DataFrame, refs: DataFrame, untested: bool = True, m
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
     out = definitions.join(by, same, "left" if untested else "inner")
     n = F.coalesce("n", F.lit(0))
-    tests = F.when(n == 0, "UNTESTED").when(n > most, F.concat("head", F.format_string(", +%d more", n - most))).otherwise(F.col("head"))
+    tests = F.when(n == 0, "UNTESTED").when(n > most, F.concat("head", F.format_string(" +%d more", n - most))).otherwise(F.col("head"))
     return out.select("file", "line", "name", "containing_class", n.cast("bigint").alias("n_tests"), tests.alias("tests"))

@@ -102,7 +102,7 @@ def parameters(nodes: DataFrame, fns: DataFrame) -> DataFrame:
     and after a * Python's parameters are keyword-only."""
     lists = nodes.where("field = 'parameters'").select("file_id", F.col("parent").alias("fn"), F.col("pre").alias("list")).join(fns.select("file_id", "fn"), ["file_id", "fn"])
     children = nodes.select("file_id", F.col("parent").alias("list"), "pre", "type", "text").join(lists, ["file_id", "list"])
-    star = (F.col("type") == "list_splat_pattern") | (F.col("text") == "*") | (F.col("type") == "keyword_separator")
+    star = F.col("type").isin("list_splat_pattern", "keyword_separator") | F.coalesce(F.col("text") == "*", F.lit(False))
     seen = F.max(star.cast("int")).over(Window.partitionBy("file_id", "fn").orderBy("pre"))
     python = _in(F.col("type"), PYTHON_PARAM) & ~((F.col("type") == "identifier") & (F.col("text") == "self"))
     rows = children.withColumn("seen", seen).withColumn("keyword", python & (F.col("seen") == 1)).withColumn("positional", (python & (F.col("seen") == 0)) | _in(F.col("type"), OTHER_PARAM))
@@ -244,6 +244,17 @@ def references(nodes: DataFrame) -> DataFrame:
     return nodes.where("type = 'identifier' or field = 'attribute'").select("path", F.col("text").alias("ref")).distinct()
 
 
+def test_files(nodes: DataFrame) -> DataFrame:
+    """(file_id) of Python files that are tests by what is in them: an import at the top names a test framework anywhere in its
+    text, and a function at any depth is called test_ something."""
+    top = nodes.where("lang = 'python' and type in ('import_statement', 'import_from_statement') and parent = 0").select("file_id", F.col("pre").alias("at"))
+    named = nodes.where(F.col("text").rlike("pytest|unittest")).select("file_id", F.explode(F.concat("anc", F.array("pre"))).alias("at"))
+    imported = named.join(top, ["file_id", "at"], "left_semi").select("file_id").distinct()
+    tests = nodes.where("field = 'name' and text like 'test\\_%'").select("file_id", F.col("parent").alias("pre"))
+    functions = nodes.where("type in ('function_definition', 'async_function_definition')").select("file_id", "pre")
+    return imported.join(functions.join(tests, ["file_id", "pre"]).select("file_id").distinct(), "file_id")
+
+
 def test_references(nodes: DataFrame) -> DataFrame:
     """(test_file, test_name, ref) of test functions at the top of a file and of test methods of Test classes there."""
     name = nodes.where("field = 'name'").select("file_id", F.col("parent").alias("pre"), F.col("text").alias("name"))

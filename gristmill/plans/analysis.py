@@ -93,9 +93,7 @@ class Analysis:
     @cached_property
     def tests(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(definitions outside tests, references of test files by test, all references of test files)."""
-        imported = metrics.imports(self.nodes).where(F.col("name").rlike("pytest|unittest")).select("file_id").distinct()
-        named = self.nodes.where("field = 'name' and text like 'test\\_%'").select("file_id").distinct()
-        by_use = imported.join(named, "file_id").withColumn("by_use", F.lit(True))
+        by_use = metrics.test_files(self.nodes).withColumn("by_use", F.lit(True))
         path = F.col("path")
         marked = self.files.select("file_id", "path").join(by_use, "file_id", "left")
         test_paths = marked.where(discovery.is_test_file(path) | discovery.in_test_folder(path) | F.coalesce("by_use", F.lit(False))).select("path")

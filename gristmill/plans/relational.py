@@ -288,7 +288,7 @@ UNION ALL SELECT 'graph', 'dependency_depth', max(level), 1 FROM walk WHERE NOT
     "coverage_unreferenced": _TESTS + " SELECT file, name, line FROM u WHERE NOT covered",
     "coverage_pct": _TESTS + " SELECT count(*) AS total, count(*) FILTER (WHERE covered) AS covered, floor(count(*) FILTER (WHERE covered) * 100 / count(*))::BIGINT AS pct FROM u",
     "coverage_report": _TESTS + """, g AS (SELECT file, name, list(test_file || '::' || test_name ORDER BY test_file || '::' || test_name) AS t FROM m GROUP BY ALL)
-SELECT d.file, d.name, coalesce(len(t), 0)::BIGINT AS n_tests, CASE WHEN t IS NULL THEN 'UNTESTED' WHEN len(t) > 3 THEN array_to_string(t[:3], ', ') || ', +' || (len(t) - 3) || ' more' ELSE array_to_string(t, ', ') END AS tests FROM d LEFT JOIN g USING (file, name)""",
+SELECT d.file, d.name, coalesce(len(t), 0)::BIGINT AS n_tests, CASE WHEN t IS NULL THEN 'UNTESTED' WHEN len(t) > 3 THEN array_to_string(t[:3], ', ') || ' +' || (len(t) - 3) || ' more' ELSE array_to_string(t, ', ') END AS tests FROM d LEFT JOIN g USING (file, name)""",
     "shrink_check": """WITH h AS (SELECT event_id * 2 < (SELECT count(*) FROM events) AS early, count(*) AS files, count(DISTINCT user_id) AS code_units, sum(len(props))::BIGINT AS statements, count(DISTINCT event_type) AS graph_nodes,
   count(*) FILTER (WHERE event_type = 'click') AS graph_edges FROM events GROUP BY ALL), l AS (UNPIVOT h ON files, code_units, statements, graph_nodes, graph_edges INTO NAME metric VALUE value)
 SELECT metric, CASE WHEN metric = 'code_units' THEN 100 ELSE b.value END::BIGINT AS "limit", c.value, metric = 'code_units' AS is_target FROM (SELECT * FROM l WHERE early) b JOIN (SELECT * FROM l WHERE NOT early) c USING (metric) WHERE c.value > CASE WHEN metric = 'code_units' THEN 100 ELSE b.value END""",

@@ -49,6 +49,12 @@ ALIASES = {
     "classes_per_file": "concrete_types_per_file",
     "types_per_file": "concrete_types_per_file",
 }
+#: Keys that the shared section may have, and names that the thresholds section takes besides the metrics.
+SHARED_KEYS = (
+    "statements_per_file", "functions_per_file", "interface_types_per_file", "concrete_types_per_file", "types_per_file", "imported_names_per_file",
+    "cycle_size", "indirect_dependencies", "dependency_depth",
+)
+THRESHOLD_ALIASES = ("classes_per_file",)
 _SECTIONS = {"shared", "thresholds", "gate", *LANGUAGES}
 
 
@@ -68,12 +74,12 @@ def _parsed(path: Path) -> dict:
         return {}
 
 
-def _settings(section: object) -> dict[str, int]:
-    """Known metrics with whole numbers from 0 on; all else is passed over."""
+def _settings(section: object, keys: tuple[str, ...] | None = None) -> dict[str, int]:
+    """Known metrics, of `keys` if given, with whole numbers from 0 on; all else is passed over."""
     found = {}
     for key, value in section.items() if isinstance(section, dict) else ():
         name = ALIASES.get(key, key)
-        if name in DEFAULTS and isinstance(value, int) and value >= 0:
+        if (keys is None or key in keys) and name in DEFAULTS and isinstance(value, int) and value >= 0:
             found[name] = int(value)
     return found
 
@@ -88,14 +94,15 @@ def config_files(target: str | Path | None = None, explicit: str | Path | None =
 
 def load_thresholds(files: list[Path], languages: tuple[str, ...] = LANGUAGES) -> dict[str, dict[str, int | None]]:
     """lang -> metric -> threshold. In a file, shared goes before thresholds, and both before the language's own
-    section; a file with an unknown section is left out as a whole."""
+    section; a file with an unknown section is left out as a whole. A language's section takes all metrics and aliases,
+    the others their own keys."""
     out = {lang: {m: v[LANGUAGES.index(lang)] for m, v in DEFAULTS.items()} for lang in languages}
     for data in map(_parsed, files):
         if not set(data) <= _SECTIONS:
             continue
         for lang in languages:
-            for section in ("shared", "thresholds", lang):
-                out[lang] |= _settings(data.get(section))
+            for section, keys in (("shared", SHARED_KEYS), ("thresholds", (*DEFAULTS, *THRESHOLD_ALIASES)), (lang, None)):
+                out[lang] |= _settings(data.get(section), keys)
     return out
 
 
@@ -105,7 +112,7 @@ def load_gate(files: list[Path]) -> Gate:
     for data in map(_parsed, files):
         section = data.get("gate")
         for key, value in section.items() if isinstance(section, dict) else ():
-            if key == "coverage" and isinstance(value, int) and not isinstance(value, bool) and 0 <= value <= 100:
+            if key in ("coverage", "test_coverage_threshold") and isinstance(value, int) and not isinstance(value, bool) and 0 <= value <= 100:
                 gate = replace(gate, coverage=value)
             elif key == "min_similarity" and isinstance(value, int | float) and not isinstance(value, bool) and 0 <= value <= 1:
                 gate = replace(gate, min_similarity=float(value))
@@ -121,14 +128,58 @@ def threshold_table(spark: SparkSession, loaded: dict[str, dict[str, int | None]
     return spark.createDataFrame(rows, "lang string, metric string, threshold bigint")
 
 
-def rules(loaded: dict[str, dict[str, int | None]], lang: str) -> list[str]:
-    """One line for each rule that applies to a language, in the order of the metrics."""
-    return [f"RULE: [{m} <= {v}] {lang} {m.replace('_', ' ')}" for m, v in loaded[lang].items() if v is not None]
+#: What rules say. {} is the language; the operator is < but for the gates'.
+DEFINITIONS = (
+    "DEFINITION: [file] A source file included in analysis.",
+    "DEFINITION: [code_unit] A named unit of code within a file (module, class/type, function, or method) that metrics/violations attach to.",
+    "DEFINITION: [statement] A statement inside a function/method body (not an import or a class/function signature).",
+    "DEFINITION: [graph_node] A module (file) in the dependency graph.",
+    "DEFINITION: [graph_edge] A dependency between two modules (file A depends on file B via imports/uses/mod declarations).",
+)
+RULES = {
+    "statements_per_function": ("statements_per_function", "the maximum number of statements in a {} function/method body."),
+    "positional_args": ("arguments_positional", "the maximum number of positional parameters in a {} function definition."),
+    "keyword_only_args": ("arguments_keyword_only", "the maximum number of keyword-only parameters in a {} function definition."),
+    "arguments_per_function": ("arguments_per_function", "the maximum number of parameters in a {} function."),
+    "max_indentation_depth": ("max_indentation_depth", "the maximum indentation depth within a {} function/method body."),
+    "branches_per_function": ("branches_per_function", "the number of branch statements in a {} function."),
+    "local_variables_per_function": ("local_variables_per_function", "the number of distinct local variables in a {} function."),
+    "returns_per_function": ("returns_per_function", "the number of return statements in a {} function."),
+    "nested_function_depth": ("nested_function_depth", "the maximum nesting depth of function definitions inside a {} function."),
+    "boolean_parameters": ("boolean_parameters", "the maximum number of boolean default parameters in a {} function."),
+    "calls_per_function": ("calls_per_function", "the maximum number of function/method calls in a {} function."),
+    "methods_per_class": ("methods_per_class", "the maximum number of methods defined on a {} class."),
+    "statements_per_file": ("statements_per_file", "the maximum number of statements inside function/method bodies in a {} file."),
+    "functions_per_file": ("functions_per_file", "the maximum number of functions/methods defined in a {} file."),
+    "interface_types_per_file": ("interface_types_per_file", "the maximum number of interface types defined in a {} file."),
+    "concrete_types_per_file": ("concrete_types_per_file", "the maximum number of concrete types defined in a {} file."),
+    "imported_names_per_file": ("imported_names_per_file", "the maximum number of imported names in a {} file."),
+    "cycle_size": ("cycle_size", "the maximum allowed number of modules participating in an import cycle."),
+    "indirect_dependencies": ("indirect_dependencies", "the number of modules reachable only through other modules."),
+    "dependency_depth": ("dependency_depth", "the maximum length of an import chain in the dependency graph."),
+    "test_coverage_threshold": ("coverage", "the minimum percent of code units whose names must appear in a test file."),
+    "min_similarity": ("min_similarity", "the minimum similarity required to report duplicate code."),
+    "return_values_per_function": ("return_values_per_function", "the maximum number of values returned by a single return in a {} function."),
+    "statements_per_try_block": ("statements_per_try_block", "the maximum number of statements inside any try block in a {} function."),
+    "decorators_per_function": ("annotations_per_function", "the maximum number of decorators applied to a {} function."),
+}
+PYTHON_RULES = ("positional_args", "keyword_only_args", "return_values_per_function", "statements_per_try_block", "decorators_per_function")
 
 
-def to_toml(values: dict[str, int], section: str = "thresholds") -> str:
-    return "\n".join([f"[{section}]", *(f"{k} = {v}" for k, v in values.items())]) + "\n"
+def rules(loaded: dict[str, dict[str, int | None]], lang: str, gate: Gate = Gate()) -> list[str]:
+    """One line for each rule of a language: Python has its own ones, and PHP, JavaScript and TypeScript count all arguments."""
+    out, name = [], lang.capitalize()
+    for rule, (metric, text) in RULES.items():
+        if rule in PYTHON_RULES and lang != "python" or rule == "arguments_per_function" and lang in ("python", "go"):
+            continue
+        value = getattr(gate, metric) if hasattr(gate, metric) else loaded[lang][metric]
+        if value is None:
+            continue
+        shown = f"{value:.2f}" if isinstance(value, float) else str(value)
+        spoken = "JavaScript" if rule == "arguments_per_function" and lang == "javascript" else name
+        out.append(f"RULE: [{name}] [{rule} {'>=' if hasattr(gate, metric) else '<'} {shown}] {rule} is {text.format(spoken)}")
+    return out
 
 
-def write_toml(path: str | Path, values: dict[str, int], section: str = "thresholds") -> None:
-    Path(path).write_text(to_toml(values, section), "utf-8")
+def to_toml(values: dict[str, int], section: str = "thresholds") -> str:
+    return "\n".join([f"[{section}]", *(f"{k} = {v}" for k, v in values.items())]) + "\n"

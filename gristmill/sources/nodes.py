@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gristmill.sources.parsers.tree import COLUMNS
 
@@ -62,7 +61,3 @@ def parse_errors(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=["file_id", "path", "lang", "error"])
 
     return files.select("file_id", "path", "lang", "source").mapInPandas(run, _ERRORS)
-
-
-def known_languages(files: DataFrame) -> DataFrame:
-    return files.where(F.col("lang").isin("python", "php", "javascript", "typescript", "go"))

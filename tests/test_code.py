@@ -45,6 +45,22 @@ def test_class_and_file_metrics(tree):
     assert got == {"pkg/a.py": (3, 1, 1, 4), "web/a.js": (3, 0, 1, 1), "web/b.ts": (2, 1, 1, 0), "p/a.php": (2, 1, 1, 2), "g/a.go": (1, 1, 1, 1), "none.py": (0, 0, 0, 0)}
 
 
+def test_first_parameter_with_a_type(spark):
+    files = spark.createDataFrame([(0, "a.py", "python", "def f(a: int, b: str = 'x', *, c: bool = True): pass\ndef g(q: int = 3): pass\n")], "file_id bigint, path string, lang string, source string")
+    got = {r["name"]: (r["arguments"], r["arguments_positional"], r["arguments_keyword_only"], r["boolean_parameters"]) for r in metrics.function_metrics(nodes(files)).collect()}
+    assert got == {"f": (3, 2, 1, 1), "g": (1, 1, 0, 0)}
+
+
+def test_tests_by_content(spark):
+    """Python alone, an import at the top, a function at any depth."""
+    sources = [
+        ("a.py", "python", "import pytest\nclass A:\n    def test_x(self): pass\n"), ("b.py", "python", "def f():\n    import unittest\n    def test_x(): pass\n"), ("c.py", "python", "from unittest import mock\nx = 1\n"),
+        ("d.py", "python", "from my import pytest_tools\ndef test_y(): pass\n"), ("e.js", "javascript", "import x from 'pytest';\nfunction test_x() {}\n"), ("f.py", "python", "import pytest\nclass test_z: pass\n"),
+    ]
+    files = spark.createDataFrame([(i, *s) for i, s in enumerate(sources)], "file_id bigint, path string, lang string, source string")
+    assert sorted(r["file_id"] for r in metrics.test_files(nodes(files)).collect()) == [0, 3]
+
+
 def test_errors_are_kept_apart(tree):
     assert [r["path"] for r in parse_errors(tree[0]).collect()] == ["bad.py"]
     assert tree[1].where("path = 'bad.py'").count() == 0
@@ -96,7 +112,10 @@ def test_folder(spark, tmp_path, capsys):
     assert "5 files" in out
     assert cli.main(["show-tests", str(tmp_path), "--untested"]) == 0
     out = capsys.readouterr().out
-    assert "first" in out and "pkg/test_a.py::test_first" in out and "UNTESTED" in out
+    assert "TESTED:pkg/a.py:first <- [test_first]" in out.splitlines() and "UNTESTED:pkg/b.py:9:lost" in out.splitlines()
+    assert "TESTED:pkg/b.py:second <- [test_first]" in out
+    assert cli.main(["dry", str(tmp_path)]) == 0 and "pkg/a.py:4 <-> pkg/b.py:1 (" in capsys.readouterr().out
+    assert cli.main(["stats", str(tmp_path)]) == 0 and "Statements per function" in capsys.readouterr().out
     assert cli.main(["viz", str(tmp_path), "--out", str(tmp_path / "g.dot")]) == 0
     assert '"pkg.a" -> "pkg.b"' in (tmp_path / "g.dot").read_text()
 
@@ -105,7 +124,7 @@ def test_snapshot_of_folder(spark, tmp_path, capsys):
     (tmp_path / "a.py").write_text("def f():\n    return 1\n")
     assert cli.main(["shrink-start", str(tmp_path), "--target", "statements=0"]) == 0
     assert cli.main(["shrink-check", str(tmp_path)]) == 1
-    assert "GATE_FAILED:shrink: statements is 1, target 0" in capsys.readouterr().out
+    assert "GATE_FAILED:shrink: statements 1 > 0 (target not met)" in capsys.readouterr().out
     assert cli.main(["mimic", str(tmp_path)]) == 0 and "[thresholds]" in capsys.readouterr().out
 
 

@@ -181,7 +181,19 @@ def test_config(spark, tmp_path):
     got = config.load_thresholds([a, b, bad, tmp_path / "missing.toml"])
     assert (got["python"]["statements_per_file"], got["go"]["statements_per_file"], got["python"]["arguments_positional"], got["python"]["calls_per_function"], got["php"]["arguments_positional"]) == (6, 7, 9, 50, None)
     assert config.load_gate([a, bad]) == config.Gate(70, 0.7, False, True)
-    assert any("statements_per_file <= 6" in x for x in config.rules(got, "python")) and config.threshold_table(spark, got).where("threshold is null").count() == 15
+    assert any("[Python] [statements_per_file < 6]" in x for x in config.rules(got, "python")) and config.threshold_table(spark, got).where("threshold is null").count() == 15
+
+
+def test_config_keys_by_section(tmp_path):
+    """shared and thresholds take their own keys alone, a language's section any metric or alias."""
+    f = tmp_path / "a.toml"
+    f.write_text("[shared]\ncalls_per_function = 1\ntypes_per_file = 2\n[thresholds]\npositional_args = 3\narguments_positional = 4\nclasses_per_file = 5\nmax_indentation = 6\n[php]\nmax_indentation = 7\n[gate]\ntest_coverage_threshold = 11\n")
+    got = config.load_thresholds([f])
+    assert (got["python"]["calls_per_function"], got["python"]["concrete_types_per_file"], got["python"]["arguments_positional"], got["python"]["max_indentation_depth"], got["php"]["max_indentation_depth"]) == (50, 5, 4, 4, 7)
+    assert config.load_gate([f]).coverage == 11
+    python, php, go = (config.rules(got, x) for x in ("python", "php", "go"))
+    assert python[1].startswith("RULE: [Python] [positional_args < 4] positional_args is the maximum number") and php[1].startswith("RULE: [Php] [arguments_per_function < 7]")
+    assert "RULE: [Go] [min_similarity >= 0.70] min_similarity is the minimum similarity required to report duplicate code." in go and not any("try_block" in x for x in go + php)
 
 
 def test_paths(spark):
@@ -197,8 +209,17 @@ def test_paths(spark):
 def test_reports(spark, small_graph, tmp_path):
     v = spark.createDataFrame([("a.py", 3, "f", "calls", "too many.", "Split.")], "file string, line int, unit_name string, metric string, message string, suggestion string")
     assert report.violation_lines(v).first()[0] == "VIOLATION:calls:a.py:3:f: too many. Split."
-    assert report.mermaid(*small_graph).splitlines()[:2] == ["graph TD", '    a["a"]'] and '"c" -> "a";' in report.dot(*small_graph)
-    report.write_graph(tmp_path / "g.md", *small_graph)
+    assert report.mermaid(*small_graph).splitlines()[:2] == ["graph LR", '  a["a"]'] and "  c --> a" in report.mermaid(*small_graph).splitlines()
+    assert report.dot(*small_graph).splitlines()[1:4] == ["  rankdir=LR;", "  node [shape=box];", '  "a";'] and '  "c" -> "a";' in report.dot(*small_graph)
+    report.write_graph(tmp_path / "g.MD", *small_graph)
+    assert (tmp_path / "g.MD").read_text() == "```mermaid\n" + report.mermaid(*small_graph) + "```\n"
+    members = spark.createDataFrame([(1, "b.py", 9, "g"), (1, "a.py", 3, "f"), (1, "c.py", 1, "h")], "cluster_id bigint, file string, start_line int, name string")
+    summary = spark.createDataFrame([(1, 3, 0.857)], "cluster_id bigint, n bigint, similarity double")
+    assert [r[0] for r in report.duplication_lines(members, summary).collect()] == ["VIOLATION:duplication:a.py:3:f: 85% similar, 3 copies: [a.py:3, b.py:9, c.py:1]. Factor out repeated patterns into shared functions."]
+    assert "[a.py:3, b.py:9, +1 more]" in report.duplication_lines(members, summary, 2).first()[0]
+    assert report.coverage_line(50, 90, 2, 4) == "GATE_FAILED:test_coverage: 50% (threshold: 90%). 2 of 4 definitions lack test references."
+    assert report.summary_line({"files": 2, "code_units": 3}) == "Analyzed: 2 files, 3 code_units"
+    assert report.shrink_line("files", 3, 4, True) == "GATE_FAILED:shrink: files 4 > 3 (target not met)" and report.shrink_line("files", 3, 4, False).endswith("(constraint exceeded baseline)")
     with pytest.raises(ValueError):
         report.write_graph(tmp_path / "g.png", *small_graph)
 
