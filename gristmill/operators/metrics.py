@@ -69,10 +69,19 @@ def _below(nodes: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
     return inside.join(owners, ["file_id", owner]).withColumn("over", over).withColumn("is_owner", F.col("pre") == F.col(owner))
 
 
+def _in_functions(nodes: DataFrame, fns: DataFrame) -> DataFrame:
+    """As _below for the bodies of functions(): a node is in one of them at most, that on its path after the outermost function,
+    so there is a row a node to be joined and not one for each ancestor."""
+    at = F.array_position(F.transform(F.concat("anc_types", F.array("type")), lambda t: t.isin(*FUNC)), True).cast("int")
+    inside = nodes.withColumn("depth", at).where("depth > 0").withColumn("body", F.get(F.concat("anc", F.array("pre")), F.col("depth")))
+    over = F.slice("anc_types", F.col("depth") + 2, F.greatest(F.size("anc") - F.col("depth") - 1, F.lit(0)))
+    return inside.join(fns.select("file_id", "body", "fn"), ["file_id", "body"]).withColumn("over", over).withColumn("is_owner", F.col("pre") == F.col("body"))
+
+
 def function_metrics(nodes: DataFrame) -> DataFrame:
     """One row a function with all its metrics, of one aggregation over the nodes below the function."""
     fns = functions(nodes)
-    body = _below(nodes, fns.select("file_id", "body", "fn"), "body")
+    body = _in_functions(nodes, fns)
     t, over = F.col("type"), F.col("over")
     pure = ~_any(over, STMT_PRUNE)
     strict = ~F.col("is_owner")
@@ -125,7 +134,7 @@ def decorators(nodes: DataFrame, fns: DataFrame) -> DataFrame:
 
 def return_values(nodes: DataFrame, fns: DataFrame) -> DataFrame:
     """The most values that a return outside nested functions has: those of a tuple or list of expressions, else one."""
-    own = _below(nodes.where("type = 'return_statement'"), fns.select("file_id", "body", "fn"), "body").where(~_any(F.col("over"), RETURN_PRUNE)).select("file_id", "fn", F.col("pre").alias("ret"))
+    own = _in_functions(nodes.where("type = 'return_statement'"), fns).where(~_any(F.col("over"), RETURN_PRUNE)).select("file_id", "fn", F.col("pre").alias("ret"))
     value = nodes.where("is_named").select("file_id", F.col("parent").alias("ret"), F.col("pre").alias("value"), "type").join(own, ["file_id", "ret"]).where("type <> 'comment'")
     parts = nodes.where("is_named").groupBy("file_id", F.col("parent").alias("value")).agg(F.count("*").alias("parts"))
     sized = value.join(parts, ["file_id", "value"], "left").select("file_id", "fn", F.when(_in(F.col("type"), ("tuple", "expression_list")), F.coalesce("parts", F.lit(0))).otherwise(1).alias("n"))
@@ -134,9 +143,10 @@ def return_values(nodes: DataFrame, fns: DataFrame) -> DataFrame:
 
 def try_statements(nodes: DataFrame, fns: DataFrame) -> DataFrame:
     """The most statements in the body of a try outside nested functions."""
-    tries = _below(nodes.where("type = 'try_statement'"), fns.select("file_id", "body", "fn"), "body").where(~_any(F.col("over"), TRY_PRUNE)).select("file_id", "fn", F.col("pre").alias("try"))
+    tries = _in_functions(nodes.where("type = 'try_statement'"), fns).where(~_any(F.col("over"), TRY_PRUNE)).select("file_id", "fn", F.col("pre").alias("try"))
     bodies = nodes.where("field = 'body'").select("file_id", F.col("parent").alias("try"), F.col("pre").alias("block")).join(tries, ["file_id", "try"])
-    inside = _below(nodes, bodies.select("file_id", "block", "fn"), "block").where(_in(F.col("type"), STMT) & ~_any(F.col("over"), STMT_PRUNE))
+    statements = nodes.where(_in(F.col("type"), STMT) & F.array_contains("anc_types", "try_statement"))
+    inside = _below(statements, bodies.select("file_id", "block", "fn"), "block").where(~_any(F.col("over"), STMT_PRUNE))
     return inside.groupBy("file_id", "fn", "block").agg(F.count("*").alias("n")).groupBy("file_id", "fn").agg(F.max("n").alias("max_try_block_statements"))
 
 
@@ -176,7 +186,7 @@ def file_metrics(nodes: DataFrame) -> DataFrame:
 
 
 def function_statements(nodes: DataFrame) -> DataFrame:
-    body = _below(nodes.where(_in(F.col("type"), STMT)), functions(nodes).select("file_id", "body", "fn"), "body")
+    body = _in_functions(nodes.where(_in(F.col("type"), STMT)), functions(nodes))
     return body.where(~_any(F.col("over"), STMT_PRUNE)).groupBy("file_id", "fn").agg(F.count("*").alias("statements"))
 
 
