@@ -136,10 +136,11 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, of: Settings, sets: DataFrame
     return stored(both.where(100 * F.col("common") >= of.percent * (F.col("sizes") - F.col("common"))).select("u", "v").distinct(), "links")
 
 
-def linked(docs: DataFrame, classes: DataFrame, of: Settings) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, known: DataFrame, of: Settings) -> DataFrame:
     """(id, component) of the classes that links tie to a smaller one, by their representatives.
 
-    docs: doc_id, text with one row for each representative at least; classes: rep, n, keys.
+    docs: doc_id, text with one row for each representative at least; classes: rep, n, keys; known: links (u, v) that need
+    no confirmation.
     """
     buckets = stored(classes.select("rep", "n", F.explode("keys").alias("key")), "buckets")
     shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -150,12 +151,14 @@ def linked(docs: DataFrame, classes: DataFrame, of: Settings) -> DataFrame:
     near = lambda x, y: 100 * F.least(F.col(x), F.col(y)) >= of.percent * F.greatest(F.col(x), F.col(y))
     centers = members.groupBy("key").agg(F.min("order").alias("c")).select("key", F.col("c.rep").alias("u"), F.col("c.n").alias("n_u"))
     stars = members.join(centers, "key").where((F.col("rep") != F.col("u")) & near("n", "n_u"))
-    found = _confirmed(docs, stars.select("u", F.col("rep").alias("v")).distinct(), of)
+    found = _confirmed(docs, stars.select("u", F.col("rep").alias("v")).distinct(), of).union(known)
     root = components(found)
     members = _torn(members, root)
     if members.isEmpty():
         return root
     sets = stored(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), of), "sets")
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():  # repeated rows
+        sets = stored(sets.dropDuplicates(["id", "shingles"]), "sets")
     more = _confirmed(docs, _left_open(sets, members.select("rep", "of").distinct(), of), of, sets)
     return root if more.isEmpty() else components(found.union(more))
 
@@ -168,9 +171,10 @@ def _left_open(sets: DataFrame, tied: DataFrame, of: Settings) -> DataFrame:
     has fewer than percent / (100 + percent) * (n + m) left. What sets of one origin share comes late in this order, after
     what each has of its own, so those too different to be linked share no shingle that counts.
     """
-    flat = sets.select(F.col("id").alias("rep"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    # rows of one id may have several sets
+    flat = sets.select(F.col("id").alias("rep"), F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
     held = flat.groupBy("g").agg(F.count("*").alias("held"))
-    placed = flat.join(held, "g").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("held", "g")) - 1)
+    placed = flat.join(held, "g").withColumn("i", F.row_number().over(Window.partitionBy("rep", "set").orderBy("held", "g")) - 1)
     prefix = stored(placed.where((F.col("held") > 1) & (100 * (F.col("n") - F.col("i")) >= of.percent * F.col("n"))).select("rep", "n", "g", "i"), "prefix")
     # the smallest partner a shingle offers tells which places can still count
     low = prefix.groupBy("g").agg(F.min("n").alias("low"), F.count("*").alias("held")).where("held > 1").select("g", "low")
@@ -200,11 +204,16 @@ def near_duplicates(docs: DataFrame, of: Settings = Settings()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = stored(sketch(docs, of), "sketches")
     full = rows.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.withColumnRenamed("n", "size"), ["s1", "s2"]).where("doc_id = rep and n = size").select("rep", "n", "keys").dropDuplicates(["rep", "n"])
-    reps = stored(reps, "classes")
-    root = linked(docs, reps, of)
-    ties = classes.join(root, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    # classes and ties are stored: a class with very many copies then is one side of a join, which Spark splits
+    classes = stored(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    own = ["doc_id", "s1", "s2", "n"]
+    reps = full.dropDuplicates(own).join(classes.withColumnRenamed("rep", "doc_id"), own).select(F.col("doc_id").alias("rep"), "n", "keys")
+    # a document whose rows have different texts ties their classes
+    several = stored(full.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("doc_id"), "several")
+    both = full.join(small(several, IDS_AT_ONCE), "doc_id", "left_semi").join(classes, ["s1", "s2", "n"]).select("doc_id", "rep")
+    known = both.join(both.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    root = linked(docs, stored(reps, "representatives"), stored(known, "known"), of)
+    ties = stored(classes.join(root, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component")), "ties")
     out = rows.select("doc_id", "s1", "s2", "n").join(ties, ["s1", "s2", "n"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
