@@ -32,14 +32,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id; of rows with one id, one row. Rows with a null id stay."""
+    """One document of each group of near duplicates stays, that with the smallest id; of rows with one id, the one with the
+    smallest text, and of equal texts that with the smallest hash of all columns. Rows with a null id stay."""
     found = stored(near_dedup.near_duplicates(docs).select("doc_id", "kept"), "groups")
     gone = small(stored(found.where("not kept").select("doc_id").distinct(), "gone"), DROPPED_AT_ONCE)
     docs = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return docs
-    return docs.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(docs.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = F.min_by(rows, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
+    one = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    return docs.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
