@@ -1,11 +1,16 @@
 """The stages in order, each against what it should keep of a small fixture."""
 
 import random
+import re
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gristmill.llm import quality
 from gristmill.llm.common import stored
+from tests.llm.test_llm_operators import brute_hits, kneser_ney, plain_pack, shingles
 
 R = random.Random(8)
 WORDS = ["".join(R.choice("abcdefgh") for _ in range(R.randint(2, 6))) for _ in range(300)]
@@ -59,3 +64,105 @@ def test_empty_and_missing(spark, sf_dir):
 def test_run_is_the_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).where("doc_id = 600").count() == 1
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.fixture(scope="module")
+def rough(spark, sf_dir):
+    """documents with what tables may have: a very long text, nulls in each column, repeated rows, texts that share an id."""
+    more = [(800, prose(20_000, 4000), "en", "s", 0), (800, prose(20_000, 4000), "en", "s", 0), (801, "a" * 60_000, None, None, None), (802, prose(60, 7), "xx", None, 0), (802, prose(55, 4001), "en", None, 0), (803, " \t", "en", "s", 3), (None, None, None, None, None), (804, prose(9, 4002) + " " + prose(30, 2000), "en", "s", 0)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return stored(docs.unionByName(spark.createDataFrame(more, docs.schema)).repartition(5), "rough")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_quality_stage_by_dictionaries(spark, rough, sf_dir):
+    """What the model with dictionaries and sorted lists would keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r["doc_id"]: r["last"] for r in labels.where("quality = 1 and toxic = 0").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4).alias("last")).collect()}
+    rows = rows_of(rough)
+    score = kneser_ney([r[1] or "" for r in rows if good.get(r[0]) is False])[0]
+    value = {r[1]: score(r[1]) for r in rows}
+    held = defaultdict(list)
+    for r in rows:
+        if good.get(r[0]) and value[r[1]] is not None:
+            for lang in {None, r[2]}:
+                held[lang].append(value[r[1]])
+    cut = {lang: sorted(x)[-(-995 * len(x) // 1000) - 1] for lang, x in held.items()}
+    want = [r for r in rows if value[r[1]] is not None and value[r[1]] <= cut.get(r[2], cut[None]) + 1e-4]
+    assert rows_of(corpus_pipeline.quality_classifier(spark, rough, sf_dir)) == want and 150 < len(want) < len(rows)
+
+
+def test_near_duplicate_stage_by_all_pairs(spark, rough, sf_dir):
+    rows = rows_of(rough)
+    sets = defaultdict(list)
+    for r in rows:
+        if r[0] is not None:
+            sets[r[0]].append(shingles(r[1], 5))
+    root = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and any(x and y and len(x & y) * 100 >= 80 * len(x | y) for x in sets[a] for y in sets[b])]
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = rows_of(corpus_pipeline.near_duplicates(spark, rough, sf_dir))
+    assert sorted((r[0] for r in got if r[0] is not None)) == sorted(i for i, c in root.items() if i == c)
+    assert [r for r in got if r[0] is None] == [r for r in rows if r[0] is None]
+    for r in got:  # of rows with one id the smallest text
+        if r[0] is not None:
+            assert (r[1] or "") == min(x[1] or "" for x in rows if x[0] == r[0])
+    assert rows_of(corpus_pipeline.near_duplicates(spark, rough.repartition(2), sf_dir)) == got
+
+
+def test_decontamination_stage_by_windows(spark, rough, sf_dir):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    grams = {tuple(t.split()[s : s + 10]) for _, t in items for s in range(len(t.split()) - 9)}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    hit = lambda t: any(tuple((w := words(t))[i : i + 10]) in grams for i in range(len(words(t)) - 9)) if len(words(t)) < 1000 else brute_long(words(t), grams)
+    rows = rows_of(rough)
+    want = [r for r in rows if not hit(r[1])]
+    assert rows_of(corpus_pipeline.benchmark_decontamination(spark, rough, sf_dir)) == want and {r[0] for r in rows if r not in want} == {500, 804}
+    assert brute_hits("x " + items[0][1], items)[1] == 30
+
+
+def brute_long(words, grams):
+    return any(tuple(words[i : i + 10]) in grams for i in range(len(words) - 9))
+
+
+def test_secret_stage_by_spans(spark, rough, sf_dir):
+    from gristmill.llm import secrets
+
+    ranks = secrets.dictionary()
+    want = []
+    for r in rows_of(rough):
+        text = r[1]
+        if text and (spans := secrets.Finder(ranks)(text)):
+            gone = [False] * len(text)
+            for kind, a, b in spans:
+                if kind == "assign":
+                    a = secrets.ASSIGN.match(text, a).start(2)
+                gone[a:b] = [True] * (b - a)
+            text = "".join(c if not g else "[secret]" if not i or not gone[i - 1] else "" for i, (c, g) in enumerate(zip(text, gone, strict=True)))
+            r = (r[0], text, *r[2:4], len(text))
+        want.append(r)
+    assert rows_of(corpus_pipeline.secret_scans(spark, rough, sf_dir)) == sorted(want, key=str) and want != rows_of(rough)
+
+
+def test_packing_stage_by_plain_rule(spark, rough, sf_dir):
+    got = corpus_pipeline.best_fit_packing(spark, rough, sf_dir).collect()
+    pieces = []
+    for r in rows_of(rough):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+        pieces += [(r[0], k, min(4096, n - 4096 * k)) for k in range(max(1, -(-n // 4096)))]
+    assert sorted(((r["doc_id"], r["piece"], r["length"]) for r in got), key=str) == sorted(pieces, key=str)
+    lengths = sorted((n for *_, n in pieces if n), reverse=True)
+    want = plain_pack(lengths, (512, 1024, 2048, 4096))
+    bins = lambda rows: sorted((c, len(x)) for (_, c), x in rows.items())
+    mine, plain = defaultdict(list), defaultdict(list)
+    for r in got:
+        if r["length"]:
+            mine[r["bin_id"], r["capacity"]].append(r["length"])
+    for n, (b, _, c) in zip(lengths, want, strict=True):
+        plain[b, c].append(n)
+    assert bins(mine) == bins(plain) and sorted(map(sorted, mine.values())) == sorted(map(sorted, plain.values()))
