@@ -26,7 +26,9 @@ from gristmill.llm.tokens import ALNUM, blocks, release, scan
 #: Test words are broadcast in portions of at most so many items and, unless one item is longer, so many bytes.
 ITEMS_AT_ONCE, ITEM_BYTES = 20_000, 16 << 20
 INDEX = "block long, ids array<long>, firsts array<long>, terms binary, sizes binary, places binary"
-MATCH = "block long, row int, doc_id long, item_id long, spans array<struct<start long, end long>>"
+MATCH = "block long, row int, doc_id long, item_id long, near boolean, spans array<struct<start long, end long>>"
+#: Words that may stand between those of a window for a proximity match.
+SLACK = 5
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -209,6 +211,23 @@ def _union(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(start[cut], end[np.append(cut[1:], len(end)) - 1], strict=True)]
 
 
+def _rows(test: Items, block: Block, number: int, near: bool, runs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """One batch of the matches in a block: (item word, start, end) of several window sizes."""
+    p, a, b = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 3
+    if not len(p):
+        return
+    item, row = np.searchsorted(test.first, p, "right") - 1, np.searchsorted(block.firsts, a, "right") - 1
+    order = np.lexsort((item, row))
+    cut = np.flatnonzero(np.append(True, np.diff(row[order]).astype(bool) | np.diff(item[order]).astype(bool)))
+    out = []
+    for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        o = order[i:j]
+        r = int(row[o[0]])
+        out.append((number, r, block.ids[r].as_py(), test.ids[item[o[0]]], near, _union(a[o] - block.firsts[r], b[o] - block.firsts[r])))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), _SPANS]
+    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in MATCH.split(", ", 5)])
+
+
 def _portions(items: DataFrame) -> Iterator[Items]:
     """The test items in portions of a bounded size, read one after the other; items with null text have no windows."""
     held, size = [], 0
@@ -227,12 +246,12 @@ def _portions(items: DataFrame) -> Iterator[Items]:
         yield made()
 
 
-def matches(postings: DataFrame, items: DataFrame, n: int = 10, span: int | None = None) -> DataFrame:
+def matches(postings: DataFrame, items: DataFrame, n: int = 10, slack: int | None = None) -> DataFrame:
     """A row for each document row and item with matches: block and row tell document rows apart; spans are in words from 0.
 
-    Without span: exact occurrences of an item's windows of `n` words, overlapping ones joined. With it: the shortest
-    stretches of at most `span` words that hold all of a window's words, in any order. Repeated items match each for
-    itself. No match, no row.
+    Rows that are not near have the exact occurrences of an item's windows of `n` words, overlapping ones joined. With
+    slack there are rows that are near, too: the shortest stretches of at most a window's words and `slack` more that hold all
+    of its words, in any order; an exact occurrence is one of them. Repeated items match each for itself. No match, no row.
     """
 
     def search(portion: Items) -> tuple[DataFrame, Broadcast]:
@@ -241,26 +260,15 @@ def matches(postings: DataFrame, items: DataFrame, n: int = 10, span: int | None
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test = shared.value
             by_size = _windows(test, n)
-            names = ["block", "row", "doc_id", "item_id", "spans"]
             for batch in batches:
                 for k in range(batch.num_rows):
                     block = Block.of(batch, k)
                     if not len(block.at):
                         continue
-                    term = block.find(test.hashes)
-                    found = [_phrases(block, test, term, s, m) if span is None else _near(block, test, term, s, m, span) for m, s in by_size.items()]
-                    p, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-                    if not len(p):
-                        continue
-                    item, row = np.searchsorted(test.first, p, "right") - 1, np.searchsorted(block.firsts, a, "right") - 1
-                    order = np.lexsort((item, row))
-                    cut = np.flatnonzero(np.append(True, np.diff(row[order]).astype(bool) | np.diff(item[order]).astype(bool)))
-                    out = []
-                    for i, j in zip(cut, np.append(cut[1:], len(order)), strict=True):
-                        o = order[i:j]
-                        r = int(row[o[0]])
-                        out.append((batch.column("block")[k].as_py(), r, block.ids[r].as_py(), test.ids[item[o[0]]], _union(a[o] - block.firsts[r], b[o] - block.firsts[r])))
-                    yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), _SPANS], strict=True)], names)
+                    number, term = batch.column("block")[k].as_py(), block.find(test.hashes)
+                    yield from _rows(test, block, number, False, [_phrases(block, test, term, s, m) for m, s in by_size.items()])
+                    if slack is not None:
+                        yield from _rows(test, block, number, True, [_near(block, test, term, s, m, m + slack) for m, s in by_size.items()])
                 block = batch = None
                 release()
 
@@ -287,13 +295,19 @@ def _covered(spans):
     return F.aggregate(F.array_sort(spans), zero, step, lambda s: s["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """(block, row, doc_id, n_words, n_hit, item_ids) for every row of docs: words inside any occurrence of a window, and
-    the distinct items with occurring windows. An item without an id counts in n_hit alone. Rows without words or matches
-    have zeros and an empty array."""
+def contamination(docs: DataFrame, items: DataFrame, n: int = 10, slack: int | None = SLACK) -> DataFrame:
+    """(block, row, doc_id, n_words, n_hit, item_ids, near_ids) for every row of docs: words inside any occurrence of a window,
+    the distinct items with occurring windows, and those with a window whose words stand near each other (see matches). An
+    item without an id counts in n_hit alone. Rows without words or matches have zeros and empty arrays."""
     postings = index(docs)
     words = postings.select("block", F.posexplode(F.arrays_zip("ids", F.slice("firsts", 1, F.size("ids")).alias("a"), F.slice("firsts", 2, F.size("ids")).alias("b"))).alias("row", "x"))
     words = words.select("block", "row", F.col("x.ids").alias("doc_id"), (F.col("x.b") - F.col("x.a")).alias("n_words"))
-    hits = matches(postings, items, n).groupBy("block", "row").agg(F.collect_set("item_id").alias("item_ids"), _covered(F.flatten(F.collect_list("spans"))).alias("n_hit"))
+    exact = ~F.col("near")
+    hits = matches(postings, items, n, slack).groupBy("block", "row").agg(
+        F.collect_set(F.when(exact, F.col("item_id"))).alias("item_ids"),
+        F.collect_set(F.when(F.col("near"), F.col("item_id"))).alias("near_ids"),
+        _covered(F.flatten(F.collect_list(F.when(exact, F.col("spans"))))).alias("n_hit"),
+    )
+    none = F.array().cast("array<long>")
     out = words.join(hits, ["block", "row"], "left")
-    return out.select("block", "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"))
+    return out.select("block", "row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("near_ids", none).alias("near_ids"))

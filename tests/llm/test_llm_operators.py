@@ -581,12 +581,14 @@ def test_quality_classes(spark, docs):
 
 def brute_hits(text, items, n=10):
     w = ALNUM.findall(low(text or ""))
-    hit, ids = set(), set()
+    hit, ids, at = set(), set(), defaultdict(list)
+    for a, word in enumerate(w):
+        at[word].append(a)
     for i, t in items:
         x = ALNUM.findall(low(t or ""))
         m = min(n, len(x))
         for s in range(len(x) - m + 1) if m else ():
-            for a in range(len(w) - m + 1):
+            for a in at[x[s]]:
                 if w[a : a + m] == x[s : s + m]:
                     hit |= set(range(a, a + m))
                     ids.add(i)
@@ -597,8 +599,8 @@ def test_decontamination(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     items = [(1, texts[52]), (2, "Ein WORT"), (3, None), (4, "..."), (5, " ".join(texts[20].split()[30:55])), (6, " ".join(texts[20].split()[50:60]) + " zzz " + " ".join(texts[20].split()[60:66])), (7, "a a a"), (7, "wort")]
     df = spark.createDataFrame(items, "item_id bigint, text string").withColumn("spans", F.lit(1))
-    got = decontaminate.contamination(docs.where("doc_id not in (66, 67)"), df).collect()
-    assert len(got) == docs.count() - 2
+    got = decontaminate.contamination(docs, df).collect()
+    assert len(got) == docs.count()
     for r in got:
         assert any((r["n_words"], r["n_hit"], set(r["item_ids"])) == brute_hits(t, items) for t in {texts[r["doc_id"]]}), r
     assert decontaminate.contamination(docs.where("doc_id < 30"), nothing(docs).select(F.col("doc_id").alias("item_id"), "text")).where("n_hit > 0").count() == 0
@@ -606,8 +608,42 @@ def test_decontamination(spark, docs):
     # proximity: the window's words within a span, in any order
     near = spark.createDataFrame([(1, "q w e r t y u"), (2, "y u q x t r e w"), (3, "q w e r x x x x x x x x t y u")], "doc_id bigint, text string")
     item = spark.createDataFrame([(9, "q w e r t y u")], "item_id bigint, text string")
-    found = decontaminate.matches(decontaminate.index(near), item, 7, span=9).collect()
-    assert sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found) == [(1, [(0, 7)]), (2, [(0, 8)])]
+    found = decontaminate.matches(decontaminate.index(near), item, 7, slack=2).collect()
+    assert sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found if r["near"]) == [(1, [(0, 7)]), (2, [(0, 8)])]
+    assert [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found if not r["near"]] == [(1, [(0, 7)])]
+
+
+def test_proximity_by_all_stretches(spark, docs):
+    """Items with a window all of whose words stand in some stretch: every stretch of every text is looked at."""
+    r = random.Random(21)
+    long = docs.where("doc_id = 66").first()["text"].split()
+    base = docs.where("doc_id = 20").first()["text"].split()
+    items = []
+    for k in range(12):
+        words = base[10 * k : 10 * k + 14]
+        r.shuffle(words) if k % 3 == 0 else words.insert(5, "zzz") if k % 3 == 1 else words.extend(["a", "a"])
+        items.append((k, " ".join(words)))
+    items += [(20, " ".join(reversed(long[20_000:20_012]))), (21, " ".join(long[i] for i in range(9_000, 9_020, 2))), (22, "wort ein"), (23, base[0]), (None, " ".join(base[3:12]))]
+    wanted, slack = defaultdict(set), 5
+    windows = []
+    for i, t in items:
+        x = ALNUM.findall(low(t))
+        m = min(10, len(x))
+        windows += [(i, frozenset(x[s : s + m]), m + slack) for s in range(len(x) - m + 1)]
+    for row in docs.collect():
+        w = ALNUM.findall(low(row["text"] or ""))
+        for i, words, span in windows:
+            places = [p for p, x in enumerate(w) if x in words]
+            if i is not None and any(words <= set(w[p : p + span]) for p in places):
+                wanted[row["doc_id"]].add(i)
+    got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len(got) == docs.count()
+    for row in got:
+        assert set(row["near_ids"]) >= set(row["item_ids"])
+    mine = defaultdict(set)
+    for row in got:
+        mine[row["doc_id"]] |= set(row["near_ids"])
+    assert {i: s for i, s in mine.items() if s} == {i: s for i, s in wanted.items() if s} and {20, 21} & mine[66] and 22 in mine[63]
 
 
 def test_substrings(spark, docs):
