@@ -30,6 +30,13 @@ def _tried(lang: str | None, source: str | None) -> tuple[list[dict], str | None
         return [], f"{type(e).__name__}: {e}"
 
 
+def _error(lang: str | None, source: str | None) -> str | None:
+    rows, error = _tried(lang, source)
+    if error is None and (broken := [r["start_row"] + 1 for r in rows if r["type"] == "ERROR"]):
+        return "lines that don't parse: " + ", ".join(map(str, broken))
+    return error
+
+
 def nodes(files: DataFrame) -> DataFrame:
     """All nodes of the files that parse, at most some files' at a time in memory. Filter files by lang before."""
 
@@ -53,11 +60,11 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def parse_errors(files: DataFrame) -> DataFrame:
-    """(file_id, path, lang, error) of the files without nodes."""
+    """(file_id, path, lang, error) of the files without nodes, and of those that parse but for some lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(r.file_id, r.path, r.lang, e) for r in batch.itertuples(index=False) if (e := _tried(r.lang, r.source)[1])]
+            found = [(r.file_id, r.path, r.lang, e) for r in batch.itertuples(index=False) if (e := _error(r.lang, r.source))]
             yield pd.DataFrame(found, columns=["file_id", "path", "lang", "error"])
 
     return files.select("file_id", "path", "lang", "source").mapInPandas(run, _ERRORS)

@@ -13,8 +13,8 @@ _LOOPS = {ast.For: "for_statement", ast.AsyncFor: "for_statement", ast.While: "w
 
 
 class _Walk:
-    def __init__(self, source: bytes):
-        self.tree, self.source = Tree(source), source
+    def __init__(self, source: bytes, broken: set[int] = frozenset()):
+        self.tree, self.source, self.broken = Tree(source), source, broken
 
     def span(self, n: ast.AST) -> tuple[int, int]:
         lines = self.tree.lines
@@ -106,6 +106,8 @@ class _Walk:
         start, end = self.span(s)
         if isinstance(s, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
             self.definition(s)
+        elif isinstance(s, ast.Pass) and s.lineno in self.broken:
+            self.tree.leaf("ERROR", start, end)
         elif type(s) in _SIMPLE:
             with self.tree.node(_SIMPLE[type(s)], start, end):
                 for child in ast.iter_child_nodes(s):
@@ -256,12 +258,40 @@ def _snake(n: ast.AST) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", type(n).__name__).lower()
 
 
+#: So many lines of a file may be broken; each costs a parse.
+MOST_BROKEN = 200
+
+
+def _mended(raw: bytes) -> tuple[ast.Module, set[int]]:
+    """The module without the lines that keep it from parsing, and their numbers. Such a line gives way to a pass statement as
+    far indented, or, if that doesn't help, to blanks, and last the line before it goes; every byte keeps its place."""
+    lines, tried = raw.split(b"\n"), {}
+    for _ in range(2 * MOST_BROKEN):
+        try:
+            return ast.parse(b"\n".join(lines)), set(tried)
+        except SyntaxError as e:
+            error, at = e, min(max(1, e.lineno or 1), len(lines))
+        while at and (tried.get(at) == 2 or not lines[at - 1].strip()):
+            at -= 1
+        if not at:
+            raise error
+        line = lines[at - 1]
+        indent = len(line) - len(line.lstrip())
+        mark = b"pass" if at not in tried and len(line) - indent >= 4 else b""
+        tried[at] = 1 if mark else 2
+        lines[at - 1] = (line[:indent] + mark).ljust(len(line))
+    raise error
+
+
 def parse(source: str) -> list[dict]:
-    """The nodes of a module; SyntaxError if it isn't one. parse() takes no null characters, as Python doesn't."""
-    raw = source.encode("utf-8", "surrogatepass").removeprefix(b"\xef\xbb\xbf").replace(b"\r\n", b"\n").replace(b"\r", b"\n")
-    module = ast.parse(raw)
-    walk = _Walk(raw)
+    """The nodes of a module. Lines that don't parse are nodes of type ERROR and no statements; SyntaxError if there are too many."""
+    raw = source.encode("utf-8", "surrogatepass").removeprefix(b"\xef\xbb\xbf").replace(b"\r\n", b"\n").replace(b"\r", b"\n").replace(b"\0", b" ")
+    module, broken = _mended(raw)
+    walk = _Walk(raw, broken)
     with walk.tree.node("module", 0, len(raw)):
         for s in module.body:
             walk.statement(s)
+        if broken and not any(r["type"] == "ERROR" for r in walk.tree.rows):
+            start = walk.tree.lines[min(broken) - 1]
+            walk.tree.leaf("ERROR", start, start)
     return walk.tree.rows

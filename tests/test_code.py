@@ -42,7 +42,7 @@ def test_class_and_file_metrics(tree):
     assert classes == {("pkg/a.py", "P"): 1, ("pkg/a.py", "C"): 0, ("web/a.js", "A"): 2, ("web/b.ts", "C"): 1, ("p/a.php", "T"): 1}
     got = {r["file"]: (r["functions"], r["interface_types"], r["concrete_types"], r["imports"]) for r in metrics.file_metrics(tree[1]).collect()}
     # a relative import counts its names less one
-    assert got == {"pkg/a.py": (3, 1, 1, 4), "web/a.js": (3, 0, 1, 1), "web/b.ts": (2, 1, 1, 0), "p/a.php": (2, 1, 1, 2), "g/a.go": (1, 1, 1, 1), "none.py": (0, 0, 0, 0)}
+    assert got == {"pkg/a.py": (3, 1, 1, 4), "web/a.js": (3, 0, 1, 1), "web/b.ts": (2, 1, 1, 0), "p/a.php": (2, 1, 1, 2), "g/a.go": (1, 1, 1, 1), "none.py": (0, 0, 0, 0), "bad.py": (0, 0, 0, 0)}
 
 
 def test_first_parameter_with_a_type(spark):
@@ -63,7 +63,22 @@ def test_tests_by_content(spark):
 
 def test_errors_are_kept_apart(tree):
     assert [r["path"] for r in parse_errors(tree[0]).collect()] == ["bad.py"]
-    assert tree[1].where("path = 'bad.py'").count() == 0
+    assert [r["type"] for r in tree[1].where("path = 'bad.py'").orderBy("pre").collect()] == ["module", "ERROR"]
+
+
+def test_python_parses_on():
+    """A broken line takes nothing else with it; every other node keeps its place."""
+    whole = "import os\n\ndef f(a):\n    x = 1\n    return x\n\nclass C:\n    def m(self):\n        return 2\n\ndef g():\n    return f(3)\n"
+    for broken in ("    x = = 1", "    x = (1", "    for in y:", "    x = 'open", "    ) ]", "    print 'a'", "  x = 1"):
+        rows = python.parse(whole.replace("    x = 1", broken))
+        at = {r["text"]: r["start_byte"] for r in rows if r["field"] == "name"}
+        assert {"f", "C", "m", "g"} <= set(at) and any(r["type"] == "ERROR" for r in rows), broken
+        assert whole.replace("    x = 1", broken).encode()[at["g"] : at["g"] + 1] == b"g"
+    assert not any(r["type"] == "ERROR" for r in python.parse(whole))
+    rows = python.parse("def f(:\n    return 1\n\ndef g():\n    return 2\n")
+    assert "g" in {r["text"] for r in rows if r["field"] == "name"}
+    for bad in ("(", "def (", "\0", '"' * 3, "x\n  y\n z", "if", ")" * 50, "    a", "\\"):
+        assert python.parse(bad)[0]["type"] == "module"
 
 
 def test_units_imports_definitions(tree):
@@ -130,7 +145,7 @@ def test_snapshot_of_folder(spark, tmp_path, capsys):
 
 def test_totals(spark, tree):
     got = Analysis(tree[0].where("lang = 'python'")).totals.first().asDict()
-    assert (got["files"], got["code_units"], got["graph_nodes"]) == (2, 8, 3)
+    assert (got["files"], got["code_units"], got["graph_nodes"]) == (3, 9, 3)
     assert got["statements"] == metrics.file_metrics(tree[1].where("lang = 'python'")).agg(F.sum("statements")).first()[0]
 
 
