@@ -173,11 +173,12 @@ def _left_open(sets: DataFrame, tied: DataFrame, of: Settings) -> DataFrame:
     """
     # rows of one id may have several sets
     flat = sets.select(F.col("id").alias("rep"), F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
-    held = flat.groupBy("g").agg(F.count("*").alias("held"))
-    placed = flat.join(held, "g").withColumn("i", F.row_number().over(Window.partitionBy("rep", "set").orderBy("held", "g")) - 1)
+    # counts are stored before they are joined, so that Spark can split the rows of a shingle that very many sets hold
+    held = stored(flat.groupBy("g").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    placed = flat.join(held, "g", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("i", F.row_number().over(Window.partitionBy("rep", "set").orderBy("held", "g")) - 1)
     prefix = stored(placed.where((F.col("held") > 1) & (100 * (F.col("n") - F.col("i")) >= of.percent * F.col("n"))).select("rep", "n", "g", "i"), "prefix")
     # the smallest partner a shingle offers tells which places can still count
-    low = prefix.groupBy("g").agg(F.min("n").alias("low"), F.count("*").alias("held")).where("held > 1").select("g", "low")
+    low = stored(prefix.groupBy("g").agg(F.min("n").alias("low"), F.count("*").alias("held")).where("held > 1").select("g", "low"), "low")
     enough = lambda left, sizes: (100 + of.percent) * left >= of.percent * sizes
     some = prefix.join(low, "g").where(enough(F.col("n") - F.col("i"), F.col("n") + F.greatest(F.col("low"), F.ceil(F.col("n") * of.percent / 100)))).join(tied, "rep").select("g", "rep", "n", "i", "of")
     some = stored(some, "prefix")
