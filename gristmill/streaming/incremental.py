@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gristmill.sources.nodes import nodes
+from gristmill.sources.tables import cut
 
 
 def content_hash(files: DataFrame) -> DataFrame:
@@ -19,9 +20,17 @@ def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def node_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends each micro-batch's nodes to a Parquet table, repeated files of a batch once; stops when all there is has been read."""
+    """Appends the nodes of files with new content to a Parquet table; stops when all there is has been read.
+
+    Contents are kept beside it, in `out`-contents: what stood in a batch or an earlier one is not parsed again. A batch that
+    is run again replaces what it wrote.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        nodes(content_hash(batch).dropDuplicates(["content"])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        earlier = batch.sparkSession.read.schema("content string, batch bigint").parquet(f"{out}-contents").where(F.col("batch") < number) if number else None
+        new = (new_files(batch, earlier) if number else content_hash(batch)).dropDuplicates(["content"])
+        new = cut(new)
+        new.select("content").write.mode("overwrite").parquet(f"{out}-contents/batch={number}")
+        nodes(new).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

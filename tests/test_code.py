@@ -158,5 +158,11 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
     node_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).where("type = 'module'").count() == 2
+    # a later batch with a file that is known, one that has changed and a new one
+    more = spark.createDataFrame([(3, "a.py", "python", "x = 1\n"), (4, "b.py", "python", "y = 3\n"), (5, "c.py", "python", "z = 1\n")], files.schema)
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    node_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).where("type = 'module'").groupBy("path").count().collect()
+    assert sorted(map(tuple, got)) == [("a.py", 1), ("b.py", 2), ("c.py", 1)]
     known = spark.createDataFrame([("x",)], "content string")
     assert new_files(files, known).count() == 3
