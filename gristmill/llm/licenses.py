@@ -26,6 +26,10 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import small, stored
+
+#: Texts with matches are broadcast up to so many (some 100 bytes each); beyond, rows are shuffled to them.
+TEXTS_AT_ONCE = 200_000
 #: Java's regex for what is between words; words themselves are compared after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,52 +72,54 @@ def _required(n: int, threshold: float) -> int:
 
 
 def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, uid, block, tokens): of each line the distinct words that are in `vocabulary`, if there are any."""
+    """(of, block, tokens): of each line the distinct words that are in `vocabulary`, if there are any."""
     known = F.array(*map(F.lit, vocabulary))
-    lines = docs.select("doc_id", "uid", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    return lines.select("doc_id", "uid", "block", F.array_intersect(words(lowered(F.col("line"))), known).alias("tokens")).where(F.size("tokens") > 0)
+    lines = docs.select("of", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    return lines.select("of", "block", F.array_intersect(words(lowered(F.col("line"))), known).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+def frequencies(found: DataFrame) -> dict[str, int]:
     """In how many blocks of all documents each word of the vocabulary occurs: at most as many rows as that has words."""
-    rows = blocks(docs.select("doc_id", F.lit(0).alias("uid"), "text"), vocabulary).select(F.explode("tokens").alias("token")).groupBy("token").count().collect()
+    rows = found.select(F.explode("tokens").alias("token")).groupBy("token").count().collect()
     return {r["token"]: r["count"] for r in rows}
 
 
 def match(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, uid, block, template, containment) of every line that holds at least `threshold` of a template's words.
+    """(of, block, template, containment) of every line that holds at least `threshold` of a template's words.
 
-    docs: doc_id, text and uid, which tells repeated rows apart. A null or empty text has no block; so has an empty
-    table. Ties need no order: each pair of block and template that reaches the threshold is returned once.
+    docs: text and of, the text's hash, by which results are told apart: equal texts have equal ones. A null or empty text
+    has no block; so has an empty table. Ties need no order: each pair of block and template that reaches the threshold is
+    returned once for each row. Blocks, which are a fraction of the text, are stored once, counted and matched.
     """
     sets = {k: _tokens(v) for k, v in (templates or TEMPLATES).items()}
     vocabulary = sorted({x for v in sets.values() for x in v})
-    count = frequencies(docs, vocabulary)
+    every = stored(blocks(docs, vocabulary), "blocks")
+    count = frequencies(every)
     rank = {x: i for i, x in enumerate(sorted(vocabulary, key=lambda x: (count.get(x, 0), x)))}
     entries = []
     for name, tokens in sets.items():
         order = sorted(tokens, key=rank.__getitem__)
         need = _required(len(order), threshold)
         entries += [(x, name, i, order, need) for i, x in enumerate(order[: len(order) - need + 1])]
-    index = docs.sparkSession.createDataFrame(entries, "token string, template string, i int, of array<string>, need int")
+    index = docs.sparkSession.createDataFrame(entries, "token string, template string, i int, body array<string>, need int")
     least = min(e[4] for e in entries)
     # only lines with a prefix token and enough words of the vocabulary go on
     prefix = F.array(*(F.lit(x) for x in sorted({e[0] for e in entries})))
-    found = blocks(docs, vocabulary).where((F.size("tokens") >= least) & F.arrays_overlap("tokens", prefix))
+    found = every.where((F.size("tokens") >= least) & F.arrays_overlap("tokens", prefix))
     ranks = F.create_map(*(F.lit(x) for kv in rank.items() for x in kv))
     by_rank = F.transform(F.array_sort(F.transform("tokens", lambda x: F.struct(F.element_at(ranks, x).alias("r"), x.alias("token")))), lambda x: x["token"])
     found = found.withColumn("tokens", by_rank).select("*", F.posexplode("tokens").alias("j", "token"))
     pairs = found.join(F.broadcast(index), "token").where(
         (F.size("tokens") >= F.col("need"))
-        & (F.least(F.size("of") - F.col("i"), F.size("tokens") - F.col("j")) >= F.col("need"))
-        & (F.size(F.array_intersect(F.slice("of", 1, F.col("i")), "tokens")) == 0)
+        & (F.least(F.size("body") - F.col("i"), F.size("tokens") - F.col("j")) >= F.col("need"))
+        & (F.size(F.array_intersect(F.slice("body", 1, F.col("i")), "tokens")) == 0)
     )
-    pairs = pairs.withColumn("common", F.size(F.array_intersect("of", "tokens"))).where("common >= need")
-    return pairs.select("doc_id", "uid", "block", "template", (F.col("common") / F.size("of")).alias("containment"))
+    pairs = pairs.withColumn("common", F.size(F.array_intersect("body", "tokens"))).where("common >= need")
+    return pairs.select("of", "block", "template", (F.col("common") / F.size("body")).alias("containment"))
 
 
 def passages(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, uid, block, template, containment) of every window over several lines that holds at least `threshold` of a
+    """(of, block, template, containment) of every window over several lines that holds at least `threshold` of a
     template's words; block is the line of its first one. Of windows from one line on, the best is returned.
 
     docs: as in match().
@@ -125,21 +131,21 @@ def passages(docs: DataFrame, templates: dict[str, str] | None = None, threshold
         facts.append((name, _tokens(body), math.ceil(n / threshold - 1e-9), _required(len(_tokens(body)), threshold)))
     vocabulary = sorted({x for f in facts for x in f[1]})
     listed = lambda xs: F.array(*map(F.lit, xs))
-    fact = lambda name, of, width, need: F.struct(F.lit(name).alias("template"), listed(of).alias("of"), F.lit(width).alias("width"), F.lit(need).alias("need"))
+    fact = lambda name, of, width, need: F.struct(F.lit(name).alias("template"), listed(of).alias("body"), F.lit(width).alias("width"), F.lit(need).alias("need"))
     every = F.array(*(fact(*f) for f in facts))
     # arrays of one element and their explosion make sure that what stands in them is computed once
-    enough = F.transform(F.array(F.array_intersect(words(lowered(F.col("text"))), listed(vocabulary))), lambda have: F.filter(every, lambda t: F.size(F.array_intersect(have, t["of"])) >= t["need"]))
-    found = docs.where(F.col("text").contains("\n")).select("doc_id", "uid", "text", F.explode(F.flatten(enough)).alias("t"))
+    enough = F.transform(F.array(F.array_intersect(words(lowered(F.col("text"))), listed(vocabulary))), lambda have: F.filter(every, lambda t: F.size(F.array_intersect(have, t["body"])) >= t["need"]))
+    found = docs.where(F.col("text").contains("\n")).select("of", "text", F.explode(F.flatten(enough)).alias("t"))
     by_line = F.transform(F.split("text", "\n"), lambda line, i: F.transform(words(lowered(line)), lambda w: F.struct(i.alias("block"), w.alias("word"))))
     placed = F.transform(F.flatten(by_line), lambda x, i: F.struct(i.alias("at"), x["block"].alias("block"), x["word"].alias("word")))
-    hits = found.select("doc_id", "uid", "t", F.explode(F.array(F.filter(placed, lambda x: F.array_contains(F.col("t.of"), x["word"])))).alias("hits"))
+    hits = found.select("of", "t", F.explode(F.array(F.filter(placed, lambda x: F.array_contains(F.col("t.body"), x["word"])))).alias("hits"))
 
     def window(x: Column, i: Column) -> Column:
         held = F.filter(F.slice("hits", i + 1, F.col("t.width")), lambda y: y["at"] < x["at"] + F.col("t.width"))
         return F.transform(F.array(held), lambda h: F.struct(x["block"].alias("block"), F.element_at(h, -1)["block"].alias("last"), F.size(F.array_distinct(F.transform(h, lambda y: y["word"]))).alias("common")))[0]
 
-    windows = hits.select("doc_id", "uid", "t", F.explode(F.transform("hits", window)).alias("x")).where("x.common >= t.need and x.last > x.block")
-    return windows.groupBy("doc_id", "uid", "x.block", "t.template").agg(F.max(F.col("x.common") / F.size("t.of")).alias("containment"))
+    windows = hits.select("of", "t", F.explode(F.transform("hits", window)).alias("x")).where("x.common >= t.need and x.last > x.block")
+    return windows.groupBy("of", "x.block", "t.template").agg(F.max(F.col("x.common") / F.size("t.body")).alias("containment"))
 
 
 def _stands(parts: list[str]):
@@ -170,13 +176,14 @@ def scan(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_words, places, templates array<struct<template, block, containment>>) for each row of docs: templates
     that match a line, or a passage over several lines from that line on.
 
-    A null text counts as empty: no words, places or templates. Repeated rows are kept, each with its own result. Other
-    columns of docs are not read. docs is read four times and must give the same rows in the same places, as a table does.
+    A null text counts as empty: no words, places or templates. Repeated rows are kept, each with its own result, and equal
+    texts have equal ones. Texts of any length are read in full; other columns of docs are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("uid", F.monotonically_increasing_id())
-    by_doc = match(docs, threshold=threshold).unionByName(passages(docs, threshold=threshold)).groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("template", "block", "containment"))).alias("templates"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("of", F.xxhash64("text"))
+    found = match(docs, threshold=threshold).unionByName(passages(docs, threshold=threshold))
+    by_text = stored(found.groupBy("of").agg(F.sort_array(F.collect_set(F.struct("template", "block", "containment"))).alias("templates")), "matches")
     n = F.size(words(F.col("text"))).cast("long")
-    facts = docs.select("uid", "doc_id", n.alias("n_words"), phrase_places(F.col("text")).alias("places"))
+    facts = docs.select("of", "doc_id", n.alias("n_words"), phrase_places(F.col("text")).alias("places"))
     none = F.array().cast("array<struct<template:string,block:int,containment:double>>")
-    return facts.join(by_doc, "uid", "left").select("doc_id", "n_words", "places", F.coalesce("templates", none).alias("templates"))
+    return facts.join(small(by_text, TEXTS_AT_ONCE), "of", "left").select("doc_id", "n_words", "places", F.coalesce("templates", none).alias("templates"))
