@@ -64,10 +64,11 @@ def decontamination_sql() -> str:
     return f"""WITH d AS MATERIALIZED (SELECT doc_id, {_words(_ALNUM, "coalesce(text, '')")} AS ws FROM documents), b AS (SELECT item_id, {_words(_ALNUM, "coalesce(text, '')")} AS ws FROM benchmark),
 i AS MATERIALIZED (SELECT item_id, least(10, len(ws)) AS m, ws FROM b WHERE len(ws) > 0),
 sets AS MATERIALIZED (SELECT row_number() OVER () AS win, item_id, m, s AS words FROM (SELECT DISTINCT item_id, m, list_sort(list_distinct(ws[s:s + m - 1])) AS s FROM i, unnest(range(1, len(ws) - m + 2)) r(s))),
-seen AS MATERIALIZED (SELECT doc_id, win, p, w FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d) JOIN (SELECT win, unnest(words) AS w FROM sets) USING (w)),
-full_ AS MATERIALIZED (SELECT doc_id, win FROM seen JOIN sets USING (win) GROUP BY doc_id, win, len(words) HAVING count(DISTINCT w) = len(words)),
-maybe AS MATERIALIZED (SELECT seen.*, m, len(words) AS need FROM seen JOIN full_ USING (doc_id, win) JOIN sets USING (win)),
-near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM (SELECT a.doc_id, a.win, a.p FROM maybe a JOIN maybe b ON a.doc_id = b.doc_id AND a.win = b.win AND b.p >= a.p AND b.p < a.p + a.m + {SLACK} GROUP BY a.doc_id, a.win, a.p, a.need HAVING count(DISTINCT b.w) = a.need) JOIN sets USING (win) GROUP BY doc_id),
+said AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+rare AS (SELECT win, arg_min(w, (c, w)) AS w FROM (SELECT win, unnest(words) AS w FROM sets) JOIN (SELECT w, count(*) AS c FROM said GROUP BY w) USING (w) GROUP BY win),
+around AS MATERIALIZED (SELECT doc_id, win, p FROM said JOIN rare USING (w)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM (SELECT doc_id, item_id, words, m + {SLACK} - 1 AS far, p, ws FROM around JOIN sets USING (win) JOIN d USING (doc_id))
+  WHERE list_has_all(ws[greatest(1, p - far):p + far], words) AND len(list_filter(range(greatest(1, p - far), p + 1), lambda a: list_has_all(ws[a:a + far], words))) > 0 GROUP BY doc_id),
 iw AS MATERIALIZED (SELECT DISTINCT item_id, m, array_to_string(ws[s:s + m - 1], ' ') AS k FROM i, unnest(range(1, len(ws) - m + 2)) r(s)),
 dw AS (SELECT doc_id, s, m, array_to_string(ws[s:s + m - 1], ' ') AS k FROM d, (SELECT DISTINCT m FROM i), unnest(range(1, len(ws) - m + 2)) r(s)),
 h AS MATERIALIZED (SELECT doc_id, s, m, item_id FROM dw JOIN iw USING (m, k)),
