@@ -8,8 +8,8 @@ one weight for each n-gram it has,
     of a word: log p1(w), the interpolated continuation probability; of a context: log g(h); of an n-gram: the last term,
 
 and what trusted text hasn't weighs nothing (a word: a constant). Scoring is one join of the documents' n-grams with the
-table of weights, sharded by the n-gram's hash. It is done in `ROUNDS` rounds, each for its share of all hashes: the texts
-are read again in each, and no more than that share is ever shuffled or on disk at a time. N-grams frequent in trusted text
+table of weights, sharded by the n-gram's hash. A large model is scored in rounds, each for its share of all hashes: the
+texts are read again in each, and no more than that share is ever shuffled or on disk at a time. N-grams frequent in trusted text
 would make hot shards; the most frequent ones, a fixed number, are broadcast and summed where the text is read. So is, as
 long as it can sift, a Bloom filter of fixed size that keeps n-grams the model hasn't from being shuffled. Neither changes a
 result, only what the join has to carry.
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import Scratch, scratch, small, stored
 from gristmill.llm.tokens import SPACED, blocks, scan, signed
 
-#: Shares of all n-grams that are scored one after the other; a power of two.
-ROUNDS = 4
+#: Most shares of all n-grams that are scored one after the other, a power of two; and so many n-grams are scored at once in
+#: any case, as reading texts again would cost more than it saves.
+ROUNDS, ONE_ROUND = 4, 1 << 22
 #: The most frequent n-grams' weights are broadcast: this part of a round's, and no more than so many (12 bytes each).
 SHARE, FREQUENT = 0.4, 1 << 20
 #: 64-bit words of a round's Bloom filter, and for how many n-grams it is made.
@@ -171,11 +172,11 @@ def _looked_up(rows: DataFrame, table: DataFrame, key: str, uses: str, most: int
 
 @dataclass
 class Model:
-    """weights (key, weight, seen) of n-grams; unknown: log p1 of a word that trusted text hasn't."""
+    """weights (key, weight, seen) of n-grams; unknown: log p1 of a word that trusted text hasn't; rounds: shares to score in."""
 
     weights: DataFrame
     unknown: float
-    empty: bool
+    rounds: int  # 0: an empty model
     order: int
 
 
@@ -194,7 +195,7 @@ def fit(trusted: DataFrame, own: Scratch, order: int = 2, at_once: int = WORDS_A
         sizes = {n: _sizes(grams[n]) for n in grams}
         total = sum(sizes[2].values())
         if not total:
-            return Model(own.stored(grams[1].selectExpr("w0 as key", "cast(c as float) as weight", "seen", "0 as round"), "weights"), 0.0, True, order)
+            return Model(own.stored(grams[1].selectExpr("w0 as key", "cast(c as float) as weight", "seen"), "weights"), 0.0, 0, order)
         d = {n: _discounts(sizes[n]) for n in grams}
         spare = sum(d[1][min(k, 3) - 1] * v for k, v in sizes[1].items()) / total / (sum(sizes[1].values()) + 1)
         unknown = float(np.log(spare))
@@ -214,12 +215,15 @@ def fit(trusted: DataFrame, own: Scratch, order: int = 2, at_once: int = WORDS_A
                 parts.append(last)
         # a key is that of a word or shorter n-gram and of a context; the longest n-grams are no contexts
         short = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.sum("weight").alias("weight"), F.max("seen").alias("seen"))
-        weights = short.unionByName(last).select("key", F.col("weight").cast("float").alias("weight"), "seen", _round("key").alias("round"))
-        return Model(own.stored(weights, "weights"), unknown, False, order)
+        weights = own.stored(short.unionByName(last).select("key", F.col("weight").cast("float").alias("weight"), "seen"), "weights")
+        n, rounds = weights.count(), 1
+        while rounds < ROUNDS and n > rounds * ONE_ROUND:
+            rounds *= 2
+        return Model(weights, unknown, rounds, order)
 
 
-def _round(key: str) -> Column:
-    return F.shiftrightunsigned(key, 30).bitwiseAND(F.lit(ROUNDS - 1)).cast("int")
+def _round(key: str, rounds: int) -> Column:
+    return F.shiftrightunsigned(key, 30).bitwiseAND(F.lit(rounds - 1).cast("long"))
 
 
 def _bloom_bits(x: np.ndarray) -> np.ndarray:
@@ -278,10 +282,10 @@ def scores(docs: DataFrame, model: Model, own: Scratch, frequent: int = FREQUENT
     docs: of, text without nulls. What is stored of each round is one of `own`'s. Copies are scored once an Arrow batch, and as often as batches have them; the mean of
     these equal sums is taken, so neither places nor orders of rows count.
     """
-    order, unknown = model.order, model.unknown
+    order, unknown, rounds = model.order, model.unknown, model.rounds
     done = []
-    for k in range(1 if model.empty else ROUNDS):
-        lookup, rest = (None, model.weights.select("key", "weight").limit(0)) if model.empty else _lookup(model.weights.where(F.col("round") == k), frequent)
+    for k in range(max(1, rounds)):
+        lookup, rest = _lookup(model.weights.where(_round("key", rounds) == k), frequent) if rounds else (None, model.weights.select("key", "weight").limit(0))
         shared = docs.sparkSession.sparkContext.broadcast(lookup)
 
         def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
@@ -295,7 +299,7 @@ def scores(docs: DataFrame, model: Model, own: Scratch, frequent: int = FREQUENT
                     row, key, known = none, none.view(np.uint64), np.zeros(n)
                 else:
                     row, key = _keys(text, order)
-                    here = ((key >> np.uint64(30)) & np.uint64(ROUNDS - 1)) == np.uint64(k)
+                    here = ((key >> np.uint64(30)) & np.uint64(rounds - 1)) == np.uint64(k)
                     row, key = row[here], key[here]
                     weight, open_ = shared.value.of(key)
                     known = np.bincount(row, weight, n)
@@ -316,7 +320,7 @@ def scores(docs: DataFrame, model: Model, own: Scratch, frequent: int = FREQUENT
         done.append(own.stored(found.select("of", (F.col("total") / F.col("copies")).alias("total"), "n"), "round"))
         shared.destroy()
     out = reduce(DataFrame.unionByName, done).groupBy("of").agg(F.sum("total").alias("total"), F.max("n").alias("n_tokens"))
-    if model.empty:
+    if not rounds:
         return out.select("of", "n_tokens", F.lit(None).cast("double").alias("log_perplexity"))
     return out.select("of", "n_tokens", (-(F.col("total") + unknown * (F.col("n_tokens") + 1)) / (F.col("n_tokens") + 1)).alias("log_perplexity"))
 

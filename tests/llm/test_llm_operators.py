@@ -144,9 +144,11 @@ def test_licenses(spark, docs):
         (3, "the Apache License; Version 2, GNU general  public\nlicense"),
         (4, None), (5, ""), (6, "mİt license K"), (1, "mit license"),
     ]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(docs.select("doc_id", "text").where("doc_id between 20 and 40"))
-    got = licenses.scan(df).collect()
-    assert len(got) == df.count()
+    notice = "\n".join(textwrap.wrap(licenses.TEMPLATES["gpl-grant"], 40))
+    rows += [(70, prose(20_000, 51) + "\n" + notice + "\nMIT License\n" + prose(20_000, 52))] * 2 + [(71, "apache " * 3000 + "License")]  # very long, and repeated
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(docs.select("doc_id", "text")).withColumn("of", F.lit("clash")).withColumn("block", F.lit(1))
+    got = licenses.scan(df.repartition(4)).collect()
+    assert len(got) == df.count() and [[x["template"] for x in r["templates"]] for r in got if r["doc_id"] == 70] == [["gpl-grant"]] * 2
     texts = defaultdict(list)
     for r in df.collect():
         texts[r["doc_id"]].append(r["text"])
@@ -523,8 +525,9 @@ def test_probabilities_sum_to_one(order):
         assert abs(sum(p(w, context) for w in [*words, "nowhere"]) - 1) < 1e-9
 
 
-@pytest.mark.parametrize(("frequent", "order", "at_once", "filtered"), [(0, 2, 0, True), (1 << 20, 2, 1 << 18, True), (50, 3, 40, True), (1 << 20, 4, 1 << 18, False)])
-def test_quality_model(spark, docs, frequent, order, at_once, filtered, monkeypatch):
+@pytest.mark.parametrize(("frequent", "order", "at_once", "filtered", "one_round"), [(0, 2, 0, True, 100), (1 << 20, 2, 1 << 18, True, 1 << 22), (50, 3, 40, True, 2500), (1 << 20, 4, 1 << 18, False, 100)])
+def test_quality_model(spark, docs, frequent, order, at_once, filtered, one_round, monkeypatch):
+    monkeypatch.setattr(quality, "ONE_ROUND", one_round)
     if not filtered:
         monkeypatch.setattr(quality, "BLOOM_FOR", 0)
     train = [prose(80, 1000 + i) for i in range(25)] + ["", "a b a b a b"]
@@ -532,6 +535,7 @@ def test_quality_model(spark, docs, frequent, order, at_once, filtered, monkeypa
     with scratch(spark) as own:
         model = quality.fit(spark.createDataFrame([(t,) for t in train], "text string"), own, order, at_once)
         got = {r["of"]: r for r in quality.scores(rows, model, own, frequent).collect()}
+    assert model.rounds == {100: 4, 1 << 22: 1}.get(one_round, model.rounds)
     score = kneser_ney(train, order)[0]
     texts = {r["of"]: r["text"] for r in rows.collect()}
     for of, text in texts.items():
