@@ -26,6 +26,8 @@ from gristmill.llm.tokens import SPACED, blocks, grams, mix, scan, signed
 
 #: Ids of documents to be confirmed are broadcast up to so many (8 bytes each); beyond, texts are shuffled to them.
 IDS_AT_ONCE = 1_000_000
+#: Members of a star that are compared with its centre in one group.
+MEMBERS = 1000
 _SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -130,10 +132,44 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, of: Settings, sets: DataFrame
     if sets is None:
         ids = stored(pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
         sets = stored(_sets(docs, ids, of), "sets")
-    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
-    common = F.size(F.array_intersect("of_u", "of_v")).cast("long")
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", common.alias("common"), (F.size("of_u") + F.size("of_v")).cast("long").alias("sizes"))
-    return stored(both.where(100 * F.col("common") >= of.percent * (F.col("sizes") - F.col("common"))).select("u", "v").distinct(), "links")
+    # a star's centre goes once to each of the groups its members are dealt to, and every member's set once to its group
+    size = stored(pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("long").alias("groups")), "stars")
+    dealt = pairs.join(size, "u").select("u", F.pmod(F.xxhash64("v"), F.col("groups")).alias("part"), "v")
+    ends = size.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.lit(None).cast("long").alias("v"))
+    named = lambda x: sets.select(F.col("id").alias(x), "shingles")
+    rows = ends.join(named("u"), "u").unionByName(dealt.join(named("v"), "v")).select("u", "part", "v", "shingles")
+    rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    return stored(rows.mapInArrow(_alike(of.percent), "u long, v long").distinct(), "links")
+
+
+def _alike(percent: int):
+    """Takes stars' rows (u, part, v, shingles), the centre's own (v null) before its members', and gives the links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centres = None, []
+        for batch in batches:
+            u, part, v = (batch.column(i) for i in range(3))
+            lists = batch.column(3)
+            values, first = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
+            stars, parts, end = np.asarray(u), np.asarray(part), np.asarray(v.is_null())
+            links = []
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                own = values[a:b]
+                if end[i]:
+                    if now != (stars[i], parts[i]):
+                        now, centres = (stars[i], parts[i]), []
+                    if len(own):  # a row of the centre's id may be empty
+                        centres.append(own.copy())
+                    continue
+                for centre in centres if len(own) else ():
+                    at = np.searchsorted(centre, own)
+                    common = int((centre[np.minimum(at, len(centre) - 1)] == own).sum())
+                    if 100 * common >= percent * (len(own) + len(centre) - common):
+                        links.append(i)
+                        break
+            yield pa.record_batch([u.take(pa.array(links, pa.int32())), v.take(pa.array(links, pa.int32()))], ["u", "v"])
+
+    return run
 
 
 def linked(docs: DataFrame, classes: DataFrame, known: DataFrame, of: Settings) -> DataFrame:
