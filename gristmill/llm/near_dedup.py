@@ -114,14 +114,14 @@ def sketch(docs: DataFrame, of: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, of: Settings) -> DataFrame:
-    """(id, shingles): the full sets of some documents."""
+    """(id, shingles, set): the full sets of some documents, and a hash that tells those of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             hashes, first = shingle_sets(batch.column(1), of.shingle)
             yield pa.record_batch([batch.column(0), _longs(hashes, first)], ["id", "shingles"])
 
-    return docs.join(small(ids, IDS_AT_ONCE), "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return docs.join(small(ids, IDS_AT_ONCE), "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>").withColumn("set", F.xxhash64("shingles"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, of: Settings, sets: DataFrame | None = None) -> DataFrame:
@@ -194,7 +194,7 @@ def linked(docs: DataFrame, classes: DataFrame, known: DataFrame, of: Settings)
         return root
     sets = stored(_sets(docs, members.select(F.col("rep").alias("doc_id")).distinct(), of), "sets")
     if not sets.groupBy("id").count().where("count > 1").isEmpty():  # repeated rows
-        sets = stored(sets.dropDuplicates(["id", "shingles"]), "sets")
+        sets = stored(sets.dropDuplicates(["id", "set"]), "sets")
     more = _confirmed(docs, _left_open(sets, members.select("rep", "of").distinct(), of), of, sets)
     return root if more.isEmpty() else components(found.union(more))
 
@@ -207,8 +207,8 @@ def _left_open(sets: DataFrame, tied: DataFrame, of: Settings) -> DataFrame:
     has fewer than percent / (100 + percent) * (n + m) left. What sets of one origin share comes late in this order, after
     what each has of its own, so those too different to be linked share no shingle that counts.
     """
-    # rows of one id may have several sets
-    flat = sets.select(F.col("id").alias("rep"), F.xxhash64("shingles").alias("set"), F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    # rows of one id may have several sets; `set` must be stored, as Spark would hash anew for each shingle
+    flat = sets.select(F.col("id").alias("rep"), "set", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
     # counts are stored before they are joined, so that Spark can split the rows of a shingle that very many sets hold
     held = stored(flat.groupBy("g").agg(F.count("*").alias("held")).where("held > 1"), "held")
     placed = flat.join(held, "g", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("i", F.row_number().over(Window.partitionBy("rep", "set").orderBy("held", "g")) - 1)

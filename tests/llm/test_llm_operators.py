@@ -416,7 +416,7 @@ def test_left_open_pairs(spark):
     r = random.Random(2)
     base = list(range(100))
     sets = {i: sorted(set(base[: 100 - e]) | {1000 * (i + 1) + j for j in range(e)}) for i, e in enumerate([r.randrange(0, 24) for _ in range(30)])}
-    df = spark.createDataFrame(list(sets.items()), "id bigint, shingles array<bigint>")
+    df = spark.createDataFrame(list(sets.items()), "id bigint, shingles array<bigint>").withColumn("set", F.xxhash64("shingles"))
     tied = spark.createDataFrame([(i, i) for i in sets], "rep bigint, of bigint")
     got = {tuple(x) for x in near_dedup._left_open(df, tied, near_dedup.Settings()).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
