@@ -72,7 +72,7 @@ def predict(model: Model, rows: np.ndarray, at_once: int = 256) -> np.ndarray:
     return out
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 6, at_once: int = 64, rate: float = 0.004, seed: int = 7) -> Model:
+def train(texts: list[bytes], labels: list[str], epochs: int = 4, at_once: int = 64, rate: float = 0.004, seed: int = 7) -> Model:
     """Adam on the cross-entropy of windows. Ends with a model without languages if there are no labels."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)

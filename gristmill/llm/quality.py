@@ -151,21 +151,25 @@ def _sizes(grams: DataFrame) -> dict[int, int]:
     return {r["k"]: r["n"] for r in grams.groupBy(F.least("c", F.lit(5)).alias("k")).agg(F.count("*").alias("n")).collect()}
 
 
-def _least(table: DataFrame, by: str, most: int) -> int:
-    """The smallest value of `by` from which on there are no more than `most` rows."""
-    sizes = table.groupBy(F.least(by, F.lit(1 << 16)).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
-    least, n = 1 << 62, 0
-    for r in sizes:
-        if n + r["n"] > most:
+def _numbers(table: DataFrame, by: str) -> list[tuple[int, int]]:
+    """(value of `by`, rows that have it), from the largest value down; those above 2**16 count as that."""
+    return [tuple(r) for r in table.groupBy(F.least(by, F.lit(1 << 16)).alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()]
+
+
+def _least(numbers: list[tuple[int, int]], most: int) -> int:
+    """The smallest value from which on there are no more than `most` rows."""
+    least = 1 << 62
+    for k, n in numbers:
+        if n > most:
             break
-        least, n = r["k"], n + r["n"]
+        least, most = k, most - n
     return least
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str, uses: str, most: int) -> DataFrame:
     """rows with the columns of `table` (key, uses, ..), which has all their keys once. Its rows of most use are broadcast,
     no more than `most`; only what is left goes through a shuffle."""
-    least = _least(table, uses, most)
+    least = _least(_numbers(table, uses), most)
     head, rest = (F.broadcast(table.where(F.col(uses) >= least).drop(uses)), table.where(F.col(uses) < least).drop(uses))
     return rows.join(head, key).unionByName(rows.join(head, key, "left_anti").join(rest, key))
 
@@ -259,8 +263,9 @@ class Lookup:
 
 def _lookup(weights: DataFrame, frequent: int) -> tuple[Lookup, DataFrame]:
     """The broadcast part of a round's weights, and those left for the join."""
-    n = weights.count()
-    least = _least(weights, "seen", min(frequent, int(SHARE * n)))
+    numbers = _numbers(weights, "seen")
+    n = sum(x for _, x in numbers)
+    least = _least(numbers, min(frequent, int(SHARE * n)))
     head = weights.where(F.col("seen") >= least).select("key", "weight").toArrow()
     keys = head.column(0).to_numpy().view(np.uint64)
     by = np.argsort(keys)
@@ -328,27 +333,27 @@ def scores(docs: DataFrame, model: Model, own: Scratch, frequent: int = FREQUENT
 def quantiles(values: DataFrame, q: float) -> DataFrame:
     """(group, threshold): in each group the smallest x for which a part q of its values is no greater; exact to 1e-8.
 
-    values: group, x. Three times the values in the piece of the scale that has it are counted in pieces a thousandth as
-    wide, so no task gets more of a group than the counts of some thousand pieces.
+    values: group, x. Values are counted in pieces of the scale, and those of the piece that has the threshold once more in
+    finer ones: no task gets more of a group than the counts of its pieces, ten thousand for a unit of x.
     """
-    left = values.groupBy("group").agg(F.ceil(F.count("x") * F.lit(q)).cast("long").alias("rank"))
-    for digits in (2, 5, 8):
-        piece = F.floor(F.col("x") * 10**digits)
-        sizes = values.join(small(left, GROUPS_AT_ONCE), "group").groupBy("group", "rank", piece.alias("piece")).agg(F.count("*").alias("n"), F.max("x").alias("most"))
-        # the pieces of a group in order, and the first up to which there are `rank` values
-        start = F.expr("named_struct('before', 0L, 'piece', cast(null as long), 'most', cast(null as double))")
-
-        def step(s: Column, x: Column) -> Column:
-            after = s["before"] + x["n"]
-            here = F.struct(s["before"].alias("before"), x["piece"].alias("piece"), x["most"].alias("most"))
-            further = F.struct(after.alias("before"), s["piece"].alias("piece"), s["most"].alias("most"))
-            return F.when(s["piece"].isNotNull(), s).when(after >= F.col("rank"), here).otherwise(further)
-
-        found = sizes.groupBy("group", "rank").agg(F.sort_array(F.collect_list(F.struct("piece", "n", "most"))).alias("pieces")).select("group", "rank", F.aggregate("pieces", start, step).alias("at"))
-        left = stored(found.select("group", (F.col("rank") - F.col("at.before")).alias("rank"), F.col("at.piece").alias("in"), F.col("at.most").alias("threshold")), "quantiles")
-        values = values.join(small(left.select("group", "in"), GROUPS_AT_ONCE), "group").where(piece == F.col("in")).select("group", "x")
-        out, left = left.select("group", "threshold"), left.select("group", "rank")
-    return out
+    start = F.expr("named_struct('before', 0L, 'piece', cast(null as long), 'most', cast(null as double))")
+
+    def step(s: Column, x: Column) -> Column:
+        """The pieces of a group in order, up to the first with which there are `rank` values."""
+        after = s["before"] + x["n"]
+        here = F.struct(s["before"].alias("before"), x["piece"].alias("piece"), x["most"].alias("most"))
+        further = F.struct(after.alias("before"), s["piece"].alias("piece"), s["most"].alias("most"))
+        return F.when(s["piece"].isNotNull(), s).when(after >= F.col("rank"), here).otherwise(further)
+
+    def found(values: DataFrame, digits: int, rank: Column) -> DataFrame:
+        sizes = values.groupBy("group", F.floor(F.col("x") * 10**digits).alias("piece")).agg(F.count("*").alias("n"), F.max("x").alias("most"), F.max("rank").alias("rank"))
+        lists = sizes.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("piece", "n", "most"))).alias("pieces"), rank.alias("rank"))
+        at = lists.select("group", "rank", F.aggregate("pieces", start, step).alias("at"))
+        return stored(at.select("group", (F.col("rank") - F.col("at.before")).alias("rank"), F.col("at.piece").alias("in"), F.col("at.most").alias("threshold")), "quantiles")
+
+    first = found(values.withColumn("rank", F.lit(0).cast("long")), 4, F.ceil(F.sum("n") * F.lit(q)).cast("long"))
+    inside = values.join(small(first.select("group", "rank", "in"), GROUPS_AT_ONCE), "group").where(F.floor(F.col("x") * 10**4) == F.col("in"))
+    return found(inside, 8, F.max("rank")).select("group", "threshold")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = 2) -> DataFrame:
