@@ -27,7 +27,7 @@ from gristmill.llm.tokens import SPACED, blocks, grams, mix, scan, signed
 #: Ids of documents to be confirmed are broadcast up to so many (8 bytes each); beyond, texts are shuffled to them.
 IDS_AT_ONCE = 1_000_000
 #: Members of a star that are compared with its centre in one group.
-MEMBERS = 1000
+MEMBERS = 128
 _SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25))
 
 
