@@ -743,3 +743,34 @@ def test_decontamination_in_portions(spark, docs, monkeypatch):
     want = found()
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 4)
     assert found() == want and sum(n > 0 for _, n, _ in want) > 10
+
+
+def test_stored_tables_have_an_owner(spark):
+    """What a block stores is gone after it, even if it fails; settings are as they were."""
+    import os
+
+    from gristmill.llm.common import _SETTINGS, shared_dir, stored
+
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    found = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    kept = stored(spark.range(5), "kept")
+    at = found()
+    with pytest.raises(RuntimeError, match="on purpose"), scratch(spark) as own:
+        a, b = own.stored(spark.range(7), "a"), own.stored(spark.range(8), "b")
+        assert (a.count(), b.count()) == (7, 8) and len(found()) == len(at) + 2
+        own.drop(a)
+        assert len(found()) == len(at) + 1
+        raise RuntimeError("on purpose")
+    assert found() == at and kept.count() == 5 and {k: spark.conf.get(k, None) for k in _SETTINGS} == before
+
+
+def test_shared_folder_must_be_shared():
+    """Without spark.checkpoint.dir only a local master may go on."""
+    from types import SimpleNamespace
+
+    from gristmill.llm.common import shared_dir
+
+    unset = SimpleNamespace(get=lambda key, default="": default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master, applicationId="x")))
