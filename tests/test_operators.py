@@ -234,3 +234,16 @@ def test_snapshot(spark, tmp_path):
     assert snapshot.load(tmp_path / "s.toml") == ("files", 9, now) and snapshot.load(tmp_path / "none.toml") is None
     a, b = (spark.createDataFrame(list(x.items()), "metric string, value bigint") for x in (now, now | {"statements": 11}))
     assert {tuple(r) for r in snapshot.check(a, b, "files", 9).collect()} == {("files", 9, 10, True), ("statements", 10, 11, False)}
+
+
+def test_checkpoints_must_be_shared():
+    """Without spark.checkpoint.dir only a local master may go on."""
+    from types import SimpleNamespace
+
+    from gristmill.sources.tables import cut
+
+    unset = SimpleNamespace(get=lambda key: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: unset, master=master)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
