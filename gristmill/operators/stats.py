@@ -36,9 +36,9 @@ def top(values: DataFrame, n: int, key: str, by: tuple[str, ...] = ("metric",))
 
 
 def wide(functions: DataFrame) -> DataFrame:
-    """One row a function, in file order: what a table of functions shows."""
+    """One row a function, in the order of paths and lines: what a table of functions shows."""
     name = F.substring_index("file", "/", -1).alias("file")
-    return functions.orderBy("file_id", "line").select(name, F.col("name").alias("unit"), F.col("statements").alias("stmts"), F.col("arguments").alias("args"), F.col("max_indentation").alias("depth"), "branches", F.col("local_variables").alias("vars"), "calls")
+    return functions.orderBy("file", "line").select(name, F.col("name").alias("unit"), F.col("statements").alias("stmts"), F.col("arguments").alias("args"), F.col("max_indentation").alias("depth"), "branches", F.col("local_variables").alias("vars"), "calls")
 
 
 def mimic(values: DataFrame, percent: int = 95) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Source files: the walk on the driver, and the same rules as column expressions over a table of paths."""
+"""Source files: listing folders, and the rules of what is a source file as column expressions over a table of paths."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,33 +103,78 @@ def in_test_folder(path: Column) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, TEST_FOLDERS)))
 
 
-def walk(root: str | Path, prefixes: tuple[str, ...] = ()) -> list[str]:
-    """Relative paths below root, ignored folders not entered and links to folders not followed; hidden files stay."""
-    found = []
-    for folder, inner, names in os.walk(root):
-        inner[:] = [d for d in inner if not d.startswith((".", *prefixes)) and d not in IGNORED_FOLDERS]
-        found += [os.path.relpath(os.path.join(folder, n), root).replace(os.sep, "/") for n in names]
-    return found
+#: The driver lists folders level by level until so many wait; then tasks list all that is below them.
+FOLDERS = 256
 
 
-def files(spark: SparkSession, root: str | Path, prefixes: tuple[str, ...] = (), lang: str | None = None, ignore_file: str = ".gristmillignore", per_task: int = 64) -> DataFrame:
-    """files(file_id, path, lang, source, n_bytes) of a folder all executors see.
+class Store:
+    """A folder in any store pyarrow knows: a local path or a URI that driver and tasks both reach."""
 
-    Spark's own listing passes over names with a leading underscore, so the driver lists and tasks read. Bytes that are
-    not UTF-8 become replacement characters.
-    """
-    base = str(Path(root).resolve())
-    text = Path(base, ignore_file)
-    patterns = ignore_patterns(text.read_text("utf-8", "replace")) if text.is_file() else []
-    listed = walk(base, prefixes)
-    rows = spark.createDataFrame([(i, p) for i, p in enumerate(listed)], "file_id bigint, path string")
-    kept = source_paths(rows, "path", prefixes, patterns, lang).repartition(max(1, len(listed) // per_task), "file_id")
+    def __init__(self, root: str | Path):
+        root = str(root)
+        self.fs, base = FileSystem.from_uri(root if "://" in root else Path(root).resolve().as_uri())
+        self.base, self.local = base.rstrip("/"), isinstance(self.fs, LocalFileSystem)
+
+    def entries(self, folder: str, prefixes: tuple[str, ...]) -> tuple[list[str], list[str]]:
+        """(files, folders to be entered) in a folder, as paths below the root. Links to folders are files and not followed."""
+        files, folders = [], []
+        for found in self.fs.get_file_info(FileSelector(f"{self.base}/{folder}".rstrip("/") or "/")):
+            path = f"{folder}/{found.base_name}".lstrip("/")
+            if found.type != FileType.Directory:
+                files.append(path)
+            elif not found.base_name.startswith((".", *prefixes)) and found.base_name not in IGNORED_FOLDERS and not (self.local and os.path.islink(found.path)):
+                folders.append(path)
+        return files, folders
+
+    def below(self, folder: str, prefixes: tuple[str, ...]) -> Iterator[list[str]]:
+        """The files of a folder and of all below it, folder by folder."""
+        todo = [folder]
+        while todo:
+            files, inner = self.entries(todo.pop(), prefixes)
+            todo += inner
+            yield files
+
+    def read(self, path: str) -> bytes:
+        with self.fs.open_input_stream(f"{self.base}/{path}") as f:
+            return f.read()
+
+
+def listed(spark: SparkSession, store: Store, prefixes: tuple[str, ...] = (), most: int = FOLDERS) -> DataFrame:
+    """(path) of the files below a folder; ignored folders are not entered, hidden files stay."""
+    found, folders = [], [""]
+    while folders and len(folders) <= most:
+        files, inner = zip(*(store.entries(f, prefixes) for f in folders), strict=True)
+        found += [x for part in files for x in part]
+        folders = [x for part in inner for x in part]
 
-    def read(batches):
-        import pandas as pd
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                for files in store.below(folder, prefixes):
+                    yield pd.DataFrame({"path": pd.Series(files, dtype=object)})
+
+    near = spark.createDataFrame([(p,) for p in found], "path string")
+    if not folders:
+        return near
+    return near.unionByName(spark.createDataFrame([(p,) for p in folders], "path string").repartition(len(folders), "path").mapInPandas(walk, "path string"))
+
+
+def files(spark: SparkSession, root: str | Path, prefixes: tuple[str, ...] = (), lang: str | None = None, ignore_file: str = ".gristmillignore") -> DataFrame:
+    """files(file_id, path, lang, source, n_bytes) of a folder: a local path that all executors see, or a URI.
+
+    Spark's own listing passes over names with a leading underscore, so folders are listed here, and tasks read. Bytes that
+    are not UTF-8 become replacement characters. file_id is a hash of the path.
+    """
+    store = Store(root)
+    patterns = ignore_patterns(store.read(ignore_file).decode("utf-8", "replace")) if store.fs.get_file_info(f"{store.base}/{ignore_file}").type == FileType.File else []
+    rows = listed(spark, store, prefixes).withColumn("file_id", F.xxhash64("path"))
+    kept = source_paths(rows, "path", prefixes, patterns, lang).select("file_id", "path", "lang").repartition("file_id")
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = [Path(base, p).read_bytes() for p in batch["path"]]
-            yield pd.DataFrame({"file_id": batch["file_id"], "path": batch["path"], "lang": batch["lang"], "source": [x.decode("utf-8", "replace") for x in raw], "n_bytes": [len(x) for x in raw]})
+            for i in range(0, len(batch), 64):
+                part = batch[i : i + 64]
+                raw = [store.read(p) for p in part["path"]]
+                yield pd.DataFrame({"file_id": part["file_id"], "path": part["path"], "lang": part["lang"], "source": [x.decode("utf-8", "replace") for x in raw], "n_bytes": [len(x) for x in raw]})
 
     return kept.mapInPandas(read, "file_id bigint, path string, lang string, source string, n_bytes bigint")

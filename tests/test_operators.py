@@ -206,6 +206,22 @@ def test_paths(spark):
     assert [p for p, v in flags.items() if not v] == ["a.go", "x.txt"]
 
 
+def test_folders_are_listed(spark, tmp_path):
+    """By the driver or by tasks, hidden and ignored folders and links to folders not entered."""
+    names = ["a.py", "x/_b.py", "x/__init__.py", "x/y/c.go", "x/y/.hidden.ts", "x/y/z/d.php", ".git/e.py", "node_modules/f.js", "x/venv/g.py", "docs/h.py", "docs2/i.py", "gen/j.py", "x/notes.txt", "ü/k.py"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(f"# {n}\n")
+    (tmp_path / "loop").symlink_to(tmp_path / "x", target_is_directory=True)
+    (tmp_path / ".gristmillignore").write_text("gen/\n")
+    store = discovery.Store(tmp_path)
+    want = {"a.py", "x/_b.py", "x/__init__.py", "x/y/c.go", "x/y/.hidden.ts", "x/y/z/d.php", "gen/j.py", "x/notes.txt", "ü/k.py", ".gristmillignore"}
+    for most in (256, 2, 0):
+        assert {r["path"] for r in discovery.listed(spark, store, ("docs",), most).collect()} - {"loop"} == want, most
+    got = {r["path"]: (r["lang"], r["source"], r["n_bytes"]) for r in discovery.files(spark, tmp_path.as_uri(), ("docs",)).collect()}
+    assert set(got) == want - {"gen/j.py", "x/notes.txt", ".gristmillignore"} and got["ü/k.py"] == ("python", "# ü/k.py\n", 10)
+
+
 def test_reports(spark, small_graph, tmp_path):
     v = spark.createDataFrame([("a.py", 3, "f", "calls", "too many.", "Split.")], "file string, line int, unit_name string, metric string, message string, suggestion string")
     assert report.violation_lines(v).first()[0] == "VIOLATION:calls:a.py:3:f: too many. Split."
