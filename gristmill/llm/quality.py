@@ -372,7 +372,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order:
     trusted = stored(trusted.withColumn("last", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4), "trusted")
     with scratch(docs.sparkSession) as own:
         model = fit(docs.join(small(trusted.where("not last").select("doc_id"), TRUSTED_AT_ONCE), "doc_id", "left_semi"), own, order)
-        scored = scores(docs, model, own)
+        scored = own.stored(scores(docs, model, own), "scores")  # so that rows of a text with very many copies split
         rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "of", "doc_id", "lang").join(scored, "of", "left")
         rows = stored(rows.select("key", "doc_id", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "log_perplexity"), "scored")
     held = rows.join(small(trusted.where("last").select("doc_id"), TRUSTED_AT_ONCE), "doc_id", "left_semi").where("log_perplexity is not null")
