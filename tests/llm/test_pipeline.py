@@ -6,11 +6,10 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
+from test_llm_operators import brute_hits, kneser_ney, plain_pack, shingles
 
 import corpus_pipeline
-from gristmill.llm import quality
 from gristmill.llm.common import stored
-from tests.llm.test_llm_operators import brute_hits, kneser_ney, plain_pack, shingles
 
 R = random.Random(8)
 WORDS = ["".join(R.choice("abcdefgh") for _ in range(R.randint(2, 6))) for _ in range(300)]
