@@ -163,21 +163,32 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 class Kept:
-    """What a function gives for pieces, as arrays; those of short pieces are kept, up to a bound, between batches."""
-
-    def __init__(self, work: Callable[[list[bytes]], list[np.ndarray]]):
-        self.work, self.found = work, {}
-
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
-        out = [self.found.get(w) for w in words]
-        new = [i for i, x in enumerate(out) if x is None]
-        if new:
-            if len(self.found) + len(new) > KEPT:
-                self.found.clear()
-            for i, x in zip(new, self.work([words[i] for i in new]), strict=True):
+    """What a function gives for pieces, as 32-bit values; those of short pieces are kept between batches, up to a bound: half of
+    it for what was asked for lately, half for what was so before."""
+
+    def __init__(self, work: Callable[[list[bytes]], list[bytes]]):
+        self.work, self.new, self.old = work, {}, {}
+
+    def _keep(self, word: bytes, found: bytes) -> None:
+        if len(word) <= KEPT_BYTES:
+            if len(self.new) >= KEPT // 2:
+                self.new, self.old = {}, self.new
+            self.new[word] = found
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        out = list(map(self.new.get, words))
+        left = [i for i, x in enumerate(out) if x is None]
+        missing = []
+        for i in left:
+            out[i] = self.old.get(words[i])
+            if out[i] is None:
+                missing.append(i)
+            else:
+                self._keep(words[i], out[i])
+        if missing:
+            for i, x in zip(missing, self.work([words[i] for i in missing]), strict=True):
                 out[i] = x
-                if len(words[i]) <= KEPT_BYTES and len(self.found) < KEPT:
-                    self.found[words[i]] = x
+                self._keep(words[i], x)
         return out
 
 
@@ -188,8 +199,8 @@ def looked_up(kept: Kept, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
     _, at, which = np.unique(_hashes(data, starts, ends), return_index=True, return_inverse=True)
     raw = data.tobytes()
     found = kept.of([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.concatenate(found), (np.cumsum(sizes) - sizes)[which], sizes[which]
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    return np.frombuffer(b"".join(found), np.int32).astype(np.int64), (np.cumsum(sizes) - sizes)[which], sizes[which]
 
 
 def spread(begin: np.ndarray, number: np.ndarray) -> np.ndarray:

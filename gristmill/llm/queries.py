@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, oracles, packing, quality, secrets, substrings, warc
+from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, oracles, packing, quality, secrets, substrings, token_counts, warc
 from gristmill.llm.common import new_path, table
 
 
@@ -78,13 +78,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.prefix_counts(table(spark, sf_dir, "documents"))
+    most = 512
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > most).alias("over_limit"), token_counts.longest_prefix("steps", F.lit(most)).alias("n_chars_kept"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op4_packing, op5_near_duplicates, op6_warc, op7_quality, op8_decontamination, op9_substrings, op10_secrets, pipeline)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op4_packing, op5_near_duplicates, op6_warc, op7_quality, op8_decontamination, op9_substrings, op10_secrets, op12_token_counts, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

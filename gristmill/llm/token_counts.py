@@ -13,6 +13,7 @@ differences of the counts of neighbouring prefixes, one byte a character.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,7 +50,6 @@ class BytePairs:
         letters = byte_letters()
         vocab = {k: v for k, v in model["model"]["vocab"].items() if all(c in letters for c in k)}
         self.text = {v: bytes(letters[c] for c in k) for k, v in vocab.items()}
-        self.size = {k: len(v) for k, v in self.text.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["model"]["merges"]):
@@ -59,50 +59,60 @@ class BytePairs:
             if c in self.made:
                 raise ValueError("a token that two merges make is not supported")
             self.made[c] = a, b
-        if max(self.size.values()) > 128:
+        if max(map(len, self.text.values())) > 128:
             raise ValueError("tokens of more than 128 bytes are not supported")
         self.specials = [x["content"].encode() for x in model.get("added_tokens", ())]
-        self._goes: dict[tuple[int, int], bool] = {}
+        self._goes: dict[int, bool] = {}
+        self._edges: tuple[dict, dict] = {}, {}
         self.ends = ahocorasick.Automaton()
         for token, text in self.text.items():
             if token not in self.made or self._goes_together(*self.made[token], self.rank[self.made[token]]):
-                self.ends.add_word(text.decode("latin-1"), token)
+                self.ends.add_word(text.decode("latin-1"), token << 8 | len(text))
         self.ends.make_automaton()
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The pieces at one side of a token while it is merged, each with the rank of the merge that ends it."""
-        out, until = [], float("inf")
-        while True:
-            out.append((token, until))
-            if token not in self.made:
-                return out
-            until, token = self.rank[self.made[token]], self.made[token][side]
+        found = self._edges[side].get(token)
+        if found is None:
+            found, at, until = [], token, float("inf")
+            while at in self.made:
+                found.append((at, until))
+                until, at = self.rank[self.made[at]], self.made[at][side]
+            found.append((at, until))
+            self._edges[side][token] = found
+        return found
 
     def _goes_together(self, left: int, right: int, least: float = float("inf")) -> bool:
         """Whether no merge across the border of two tokens comes first; of equal ones the one further left comes first."""
+        rank = self.rank
         for a, before in self._edge(left, 1):
             for b, until in self._edge(right, 0):
-                rank = self.rank.get((a, b))
-                if rank is not None and rank < before and rank <= until and rank < least:
+                at = rank.get((a, b))
+                if at is not None and at < before and at <= until and at < least:
                     return False
         return True
 
-    def goes(self, left: int, right: int) -> bool:
-        found = self._goes.get((left, right))
-        if found is None:
-            if len(self._goes) >= _PAIRS:
-                self._goes.clear()
-            found = self._goes[left, right] = self._goes_together(left, right)
+    def _learned(self, pair: int) -> bool:
+        if len(self._goes) >= _PAIRS:
+            self._goes.clear()
+        found = self._goes[pair] = self._goes_together(pair >> 32, pair & 0xFFFFFFFF)
         return found
 
     def prefixes(self, word: bytes) -> tuple[list[int], list[int]]:
         """The number of tokens of each prefix of a pre-token by bytes, from the empty one, and each one's last token."""
-        count, last = [0] * (len(word) + 1), [-1] * (len(word) + 1)
-        for end, token in self.ends.iter(word.decode("latin-1")):
-            if not count[end + 1]:
-                begin = end + 1 - self.size[token]
-                if begin == 0 or self.goes(last[begin], token):
-                    count[end + 1], last[end + 1] = count[begin] + 1, token
+        count, last, goes, done = [0], [-1], self._goes, -1
+        for end, token in self.ends.iter(word.decode("latin-1")):  # at one end, the longest comes first
+            if end != done:
+                begin = end + 1 - (token & 0xFF)
+                token >>= 8
+                if begin:
+                    pair = last[begin] << 32 | token
+                    fits = goes.get(pair)
+                    if not (self._learned(pair) if fits is None else fits):
+                        continue
+                count.append(count[begin] + 1)
+                last.append(token)
+                done = end
         return count, last
 
     def tokens(self, word: bytes) -> list[int]:
@@ -111,15 +121,15 @@ class BytePairs:
         out, end = [], len(word)
         while end:
             out.append(last[end])
-            end -= self.size[last[end]]
+            end -= len(self.text[last[end]])
         return out[::-1]
 
-    def by_characters(self, words: list[bytes]) -> list[np.ndarray]:
-        """Counts of the prefixes of each word that end with a character."""
+    def by_characters(self, words: list[bytes]) -> list[bytes]:
+        """Counts of the prefixes of each word that end with a character, as 32-bit values."""
         out = []
         for word in words:
-            count = np.array(self.prefixes(word)[0][1:], np.int64)
-            out.append(count if word.isascii() else count[np.append(np.flatnonzero((np.frombuffer(word, np.uint8) & 0xC0) != 0x80)[1:], len(word)) - 1])
+            count = self.prefixes(word)[0]
+            out.append(array("i", count[1:] if word.isascii() else [c for c, after in zip(count[1:], word[1:] + b"a", strict=True) if after & 0xC0 != 0x80]).tobytes())
         return out
 
 
