@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, langid, licenses, media, near_dedup, oracles, packing, quality, secrets, substrings, token_counts, warc
+from gristmill.llm import alignment, decontaminate, langid, licenses, media, near_dedup, oracles, packing, quality, secrets, substrings, token_counts, warc
 from gristmill.llm.common import new_path, table
 
 
@@ -78,6 +78,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.agreement(alignment.align(table(spark, sf_dir, "documents"), digest=True))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.prefix_counts(table(spark, sf_dir, "documents"))
     most = 512
@@ -90,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op4_packing, op5_near_duplicates, op6_warc, op7_quality, op8_decontamination, op9_substrings, op10_secrets, op12_token_counts, pipeline)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op4_packing, op5_near_duplicates, op6_warc, op7_quality, op8_decontamination, op9_substrings, op10_secrets, op11_token_alignment, op12_token_counts, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
