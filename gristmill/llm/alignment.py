@@ -14,7 +14,7 @@ import hashlib
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from gristmill.llm.common import small, stored
-from gristmill.llm.pretokens import STRETCH, Kept, Pieces, by_spaces, byte_level, looked_up, spread, stretches, vocabulary
+from gristmill.llm.pretokens import STRETCH, Kept, Pieces, by_spaces, byte_level, distinct, spread, stretches, vocabulary
 from gristmill.llm.token_counts import byte_letters
 from gristmill.llm.tokens import blocks, column_bytes, release
 
@@ -42,14 +42,20 @@ _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 @dataclass
-class Tokenizers:
-    """Two tokenizers: pieces to ids, and the bytes of each id."""
+class Side:
+    """One tokenizer: how it cuts texts into pieces, the ids of pieces, and the bytes of ids as one buffer and each one's place."""
 
-    a: Kept
-    b: Kept
-    a_bytes: list[bytes]
-    b_bytes: list[bytes]
-    pieces_b: object
+    pieces: Callable[[np.ndarray, np.ndarray], Pieces]
+    kept: Kept
+    table: list[bytes]
+
+    def __post_init__(self) -> None:
+        self.sizes = np.fromiter(map(len, self.table), np.int64, len(self.table))
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.text = np.frombuffer(b"".join(self.table), np.uint8)
+
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        return self.text[spread(self.begin[ids], self.sizes[ids])]
 
 
 def _whole(data: np.ndarray, offsets: np.ndarray) -> Pieces:
@@ -58,7 +64,7 @@ def _whole(data: np.ndarray, offsets: np.ndarray) -> Pieces:
 
 
 @lru_cache(2)
-def _loaded(a_file: bytes, b_file: bytes) -> Tokenizers:
+def _loaded(a_file: bytes, b_file: bytes) -> tuple[Side, Side]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
     a = Tokenizer.from_str(a_file.decode())
     a.encode_special_tokens = True  # their strings in texts are plain text
@@ -69,51 +75,64 @@ def _loaded(a_file: bytes, b_file: bytes) -> Tokenizers:
     b_bytes = [bytes([int(m[1], 16)]) if b.is_byte(i) and (m := _BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
     # B adds the blank before a text itself; a stretch from one blank to the next is like a text of its own unless pieces cross blanks
     crossing = any(re.search("[^▁]▁", p) for p in pieces)
-    blank = [b.piece_to_id("▁")]
-
-    def marked(words: list[bytes], found: list[list[int]], table: list[bytes]) -> list[bytes]:
-        """Ids of each word; the first one is inverted where they don't spell the word."""
-        return [array("i", ids if b"".join(map(table.__getitem__, ids)) == w else [~ids[0], *ids[1:]] if ids else [~0]).tobytes() for w, ids in zip(words, found, strict=True)]
+    blank = array("i", [b.piece_to_id("▁")]).tobytes()
 
     def a_ids(words: list[bytes]) -> list[bytes]:
-        return marked(words, [x.ids for x in a.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)], a_bytes)
+        return [array("i", x.ids).tobytes() for x in a.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     def b_ids(words: list[bytes]) -> list[bytes]:
-        return marked(words, [ids if w != b" " else blank for w, ids in zip(words, b.encode([w[1:].decode() for w in words], num_threads=1), strict=True)], b_bytes)
-
-    return Tokenizers(Kept(a_ids), Kept(b_ids), a_bytes, b_bytes, _whole if crossing else by_spaces)
-
+        return [array("i", ids).tobytes() if w != b" " else blank for w, ids in zip(words, b.encode([w[1:].decode() for w in words], num_threads=1), strict=True)]
 
-def _sizes(table: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(len, table), np.int64, len(table))
+    return Side(byte_level, Kept(a_ids), a_bytes), Side(_whole if crossing else by_spaces, Kept(b_ids), b_bytes)
 
 
-def _encoded(kept: Kept, pieces: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, first, suspect): the tokens of all rows, each row's first one (and the end), and rows with a piece that its tokens
+def _encoded(side: Side, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first, odd): the tokens of all rows, each row's first one (and the end), and rows with a piece that its tokens
     don't spell."""
-    values, at, number = looked_up(kept, data, pieces.starts, pieces.ends)
-    ids = values[spread(at, number)]
-    odd = np.flatnonzero(ids < 0)
-    ids[odd] = ~ids[odd]
-    first = np.append(0, np.cumsum(number))[pieces.first]
-    return ids, first, np.unique(np.searchsorted(first, odd, "right") - 1)
-
-
-def _decimal(values: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, ends): each value in decimal and its mark after it, one after the other, and where each ends."""
-    digits = np.ones(len(values), np.int64)
-    most = 10
-    while len(values) and most <= values.max():
-        digits += values >= most
-        most *= 10
-    ends = np.cumsum(digits + 1)
+    pieces = side.pieces(data, offsets)
+    if not len(pieces.starts):
+        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
+    values, sizes, at, which = distinct(side.kept, data, pieces.starts, pieces.ends)
+    ends = np.cumsum(sizes)
+    long = (pieces.ends - pieces.starts)[at]
+    sums = np.append(0, np.cumsum(side.sizes[values]))
+    off = sums[ends] - sums[ends - sizes] != long
+    number = sizes[which]
+    ids = values[spread((ends - sizes)[which], number)]
+    same = ~off
+    if not off.any():
+        unlike = side.spelled(values) != data[spread(pieces.starts[at], long)]
+        off = np.add.reduceat(unlike, np.cumsum(long) - long) if len(long) else off
+    else:  # token by token only where lengths agree
+        part = values[np.repeat(same, sizes)]
+        unlike = side.spelled(part) != data[spread(pieces.starts[at][same], long[same])]
+        if same.any():
+            off[same] = np.add.reduceat(unlike, np.cumsum(long[same]) - long[same])
+    odd = np.flatnonzero(off[which])
+    return ids, np.append(0, np.cumsum(number))[pieces.first], np.unique(np.searchsorted(pieces.first, odd, "right") - 1)
+
+
+@lru_cache(8)
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(digits, number): the decimal digits of all values below n, a row for each place from the last one, and how many there are."""
+    values = np.arange(n)
+    rows, number = [(48 + values % 10).astype(np.uint8)], np.ones(n, np.int64)
+    while (values := values // 10).any():
+        rows.append((48 + values % 10).astype(np.uint8))
+        number += values > 0
+    return np.array(rows), number
+
+
+def _decimal(values: np.ndarray, marks: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends): each value, below `most`, in decimal and its mark after it, one after the other, and where each ends."""
+    digits, number = _digits(most)
+    number = number[values]
+    ends = np.cumsum(number + 1)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     out[ends - 1] = marks
-    left = values.copy()
-    for k in range(int(digits.max()) if len(digits) else 0):
-        has = digits > k
-        out[ends[has] - 2 - k] = 48 + left[has] % 10
-        left //= 10
+    for k in range(len(digits)):
+        has = np.flatnonzero(number > k)
+        out[ends[has] - (2 + k)] = digits[k][values[has]]
     return out, ends
 
 
@@ -131,23 +150,21 @@ class Aligned:
     links: np.ndarray
 
 
-def aligned(t: Tokenizers, data: np.ndarray, offsets: np.ndarray) -> tuple[Aligned, np.ndarray]:
+def aligned(sides: tuple[Side, Side], data: np.ndarray, offsets: np.ndarray) -> tuple[Aligned, np.ndarray]:
     """Groups and links of the rows' bytes, each with its blank in front, and whether each row's tokens spell its bytes:
     those that don't have no tokens."""
-    a_size, b_size = _sizes(t.a_bytes), _sizes(t.b_bytes)
     n = len(offsets) - 1
-    a_pieces, b_pieces = byte_level(data, offsets), t.pieces_b(data, offsets)
-    a, a_first, a_odd = _encoded(t.a, a_pieces, data)
-    b, b_first, b_odd = _encoded(t.b, b_pieces, data)
+    (a, a_first, a_odd), (b, b_first, b_odd) = (_encoded(side, data, offsets) for side in sides)
     raw, good = data.tobytes(), np.ones(n, bool)
-    for rows, ids, first, table in ((a_odd, a, a_first, t.a_bytes), (b_odd, b, b_first, t.b_bytes)):
+    for rows, ids, first, side in ((a_odd, a, a_first, sides[0]), (b_odd, b, b_first, sides[1])):
         for r in rows.tolist():
-            good[r] &= b"".join(table[i] for i in ids[first[r] : first[r + 1]].tolist()) == raw[offsets[r] : offsets[r + 1]]
+            good[r] &= side.spelled(ids[first[r] : first[r + 1]]).tobytes() == raw[offsets[r] : offsets[r + 1]]
     if not good.all():
         kept = np.repeat(good, np.diff(offsets))
-        found, _ = aligned(t, data[kept], np.append(0, np.cumsum(np.diff(offsets) * good)))
+        found, _ = aligned(sides, data[kept], np.append(0, np.cumsum(np.diff(offsets) * good)))
         return found, good
     end = len(data)
+    a_size, b_size = (side.sizes for side in sides)
     a_end, b_end = np.cumsum(a_size[a]), np.cumsum(b_size[b])
     at_a, at_b = np.bincount(a_end, minlength=end + 1), np.bincount(b_end, minlength=end + 1)
     until_a, until_b, until_both = np.cumsum(at_a), np.cumsum(at_b), np.cumsum(at_a & at_b)
@@ -166,7 +183,7 @@ def aligned(t: Tokenizers, data: np.ndarray, offsets: np.ndarray) -> tuple[Align
     values, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
     values[a_at], values[b_at] = a, b
     marks[a_at[at_b[a_end] == 1]], marks[b_at[at_a[b_end] == 1]] = ord("|"), ord(";")
-    text, ends = _decimal(values, marks)
+    text, ends = _decimal(values, marks, max(len(a_size), len(b_size)))
     ends, cut = np.append(0, ends), a_first + b_first
     spelled = text.tobytes()
     groups = [spelled[i : max(i, j - 1)] for i, j in zip(ends[cut[:-1]].tolist(), ends[cut[1:]].tolist(), strict=True)]
@@ -182,13 +199,13 @@ def _joined(parts: list[Aligned]) -> Aligned:
     return Aligned(total("n_a"), total("n_b"), total("n_groups"), total("n_links"), [b";".join(p.groups[0] for p in parts)], np.array([0, len(pairs)]), pairs, links)
 
 
-def _one(t: Tokenizers, text: np.ndarray) -> Aligned:
+def _one(sides: tuple[Side, Side], text: np.ndarray) -> Aligned:
     """One long text, in stretches at whose borders both tokenizers begin anew."""
     parts, none = [], np.zeros(0, np.uint8)
     for a, b in stretches(text, STRETCH):
-        part, good = aligned(t, text[a:b], np.array([0, b - a]))
+        part, good = aligned(sides, text[a:b], np.array([0, b - a]))
         if not good[0]:
-            return aligned(t, none, np.array([0, 0]))[0]
+            return aligned(sides, none, np.array([0, 0]))[0]
         parts.append(part)
     return _joined(parts)
 
@@ -209,7 +226,7 @@ def align(docs: DataFrame, a: str = A, b: str = B, digest: bool = False) -> Data
     files = sc.broadcast((vocabulary(a), vocabulary(b)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _loaded(*files.value)
+        sides = _loaded(*files.value)
         row = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text", STRETCH):
             data, offs = column_bytes(batch.column(1))
@@ -220,7 +237,7 @@ def align(docs: DataFrame, a: str = A, b: str = B, digest: bool = False) -> Data
             inside = np.ones(len(text), bool)
             inside[begin[:-1][has]] = False
             text[inside] = data
-            found = _one(t, text) if len(data) > STRETCH else aligned(t, text, begin)[0]
+            found = _one(sides, text) if len(data) > STRETCH else aligned(sides, text, begin)[0]
             groups = [x.decode() if not digest else hashlib.sha256(x).hexdigest() if x else "" for x in found.groups]
             first = pa.array(found.first, pa.int32())
             counts = (pa.array(x, pa.int64()) for x in (found.n_a, found.n_b, found.n_groups, found.n_links))

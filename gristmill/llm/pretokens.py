@@ -163,44 +163,49 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 class Kept:
-    """What a function gives for pieces, as 32-bit values; those of short pieces are kept between batches, up to a bound: half of
-    it for what was asked for lately, half for what was so before."""
+    """What a function gives for pieces, as 32-bit values. That of short pieces that stood more than once in a batch is kept for
+    the next ones, up to a bound: half of it for what came lately, half for what came before."""
 
     def __init__(self, work: Callable[[list[bytes]], list[bytes]]):
         self.work, self.new, self.old = work, {}, {}
 
-    def _keep(self, word: bytes, found: bytes) -> None:
-        if len(word) <= KEPT_BYTES:
-            if len(self.new) >= KEPT // 2:
-                self.new, self.old = {}, self.new
-            self.new[word] = found
-
-    def of(self, words: list[bytes]) -> list[bytes]:
+    def of(self, words: list[bytes], again: list[bool]) -> list[bytes]:
+        """The values of distinct words; `again` tells which ones to keep."""
         out = list(map(self.new.get, words))
-        left = [i for i, x in enumerate(out) if x is None]
-        missing = []
-        for i in left:
-            out[i] = self.old.get(words[i])
-            if out[i] is None:
-                missing.append(i)
-            else:
-                self._keep(words[i], out[i])
-        if missing:
-            for i, x in zip(missing, self.work([words[i] for i in missing]), strict=True):
-                out[i] = x
-                self._keep(words[i], x)
+        missing, back = [], {}
+        for i, x in enumerate(out):
+            if x is None:
+                x = out[i] = self.old.get(words[i])
+                if x is None:
+                    missing.append(i)
+                else:
+                    back[words[i]] = x
+        for i, x in zip(missing, self.work([words[i] for i in missing]) if missing else (), strict=True):
+            out[i] = x
+            if again[i] and len(words[i]) <= KEPT_BYTES:
+                back[words[i]] = x
+        if len(self.new) + len(back) > KEPT // 2:
+            self.new, self.old = {}, self.new
+        self.new |= back
         return out
 
 
+def distinct(kept: Kept, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(values, sizes, at, which): the values of all distinct pieces one after the other, how many each has, where each stands
+    first, and each piece's number among them."""
+    _, at, which, times = np.unique(_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    raw = data.tobytes()
+    found = kept.of([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], (times > 1).tolist())
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    return np.frombuffer(b"".join(found), np.int32).astype(np.int64), sizes, at, which
+
+
 def looked_up(kept: Kept, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, from, number): the values of all distinct pieces, and where each piece's are among them."""
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3
-    _, at, which = np.unique(_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    found = kept.of([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-    return np.frombuffer(b"".join(found), np.int32).astype(np.int64), (np.cumsum(sizes) - sizes)[which], sizes[which]
+    values, sizes, _, which = distinct(kept, data, starts, ends)
+    return values, (np.cumsum(sizes) - sizes)[which], sizes[which]
 
 
 def spread(begin: np.ndarray, number: np.ndarray) -> np.ndarray:
