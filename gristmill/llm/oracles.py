@@ -88,4 +88,16 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FRO
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
-ORACLES = {"op2_licenses": licenses_sql, "op5_near_duplicates": near_duplicates_sql, "op6_warc": warc_sql, "op8_decontamination": decontamination_sql, "op9_substrings": substrings_sql}
+def ranked_search_sql() -> str:
+    words = _words(_ALNUM, "coalesce(text, '')")
+    return f"""WITH said AS (SELECT doc_id, unnest({words}) AS t FROM documents),
+f AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM said GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id), c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+norm AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM n, c),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY t, docs),
+q AS (SELECT DISTINCT item_id, unnest({words}) AS t FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN f USING (t) JOIN w USING (t) JOIN norm USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+ORACLES = {"op2_licenses": licenses_sql, "op5_near_duplicates": near_duplicates_sql, "op6_warc": warc_sql, "op8_decontamination": decontamination_sql, "op9_substrings": substrings_sql, "op13_ranked_search": ranked_search_sql}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import alignment, decontaminate, langid, licenses, media, near_dedup, oracles, packing, quality, secrets, substrings, token_counts, warc
+from gristmill.llm import alignment, decontaminate, langid, licenses, media, near_dedup, oracles, packing, quality, ranked, secrets, substrings, token_counts, warc
 from gristmill.llm.common import new_path, table
 
 
@@ -89,13 +89,18 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > most).alias("over_limit"), token_counts.longest_prefix("steps", F.lit(most)).alias("n_chars_kept"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(*ranked.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op4_packing, op5_near_duplicates, op6_warc, op7_quality, op8_decontamination, op9_substrings, op10_secrets, op11_token_alignment, op12_token_counts, pipeline)}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_licenses, op3_media, op4_packing, op5_near_duplicates, op6_warc, op7_quality, op8_decontamination, op9_substrings, op10_secrets, op11_token_alignment, op12_token_counts, op13_ranked_search, pipeline)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
