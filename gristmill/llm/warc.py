@@ -31,7 +31,7 @@ from gristmill.llm.common import small, stored
 #: Up to so many revisits are broadcast to the pages (some 60 bytes each); beyond, the pages are shuffled to them.
 REVISITS_AT_ONCE = 200_000
 MAGIC = b"\x1f\x8b\x08"
-RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, error string, payload binary"
 _PIECE = RECORD + ", file string, block long, seq long, piece binary"
 #: The pieces of the member that is open at a range's end are numbered from here, the orphans at its start from 0.
 OPEN = 1 << 40
@@ -62,32 +62,92 @@ def build(record_id: str, kind: str, uri: str | None, payload: bytes, refers_to:
     return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + http + payload + b"\r\n\r\n"
 
 
-def parse(raw: bytes) -> tuple | None:
-    """A row of RECORD from a record's bytes; None if they aren't a whole record. Length and digest are of the payload as read, for a revisit as its headers have them."""
-    if raw[:5] != b"WARC/":
-        return None
-    end = raw.find(b"\r\n\r\n")
-    if end < 0:
-        return None
-    head = {}
-    for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+def _number(value: str | bytes | None) -> int | None:
+    """A header's number, if it is one."""
+    value = value.decode("latin-1") if isinstance(value, bytes) else value
+    return int(value) if value and value.strip().isascii() and value.strip().isdigit() else None
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header lines by name; of a name that comes twice the first one counts."""
+    out: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         key, _, value = line.partition(":")
-        head[key.strip().lower()] = value.strip()
-    size = int(head.get("content-length", -1))
-    block = raw[end + 4 : end + 4 + size]
-    if size < 0 or len(block) < size:
-        return None
+        out.setdefault(key.strip().lower(), value.strip())
+    return out
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """What a chunked HTTP body holds; None if it isn't one."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not size or not set(size) <= set(b"0123456789abcdefABCDEF"):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if len(body) < end + 2 + n + 2 or body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return None
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def _digest(data: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def _record(head: dict[str, str], block: bytes, error: str | None) -> tuple:
+    """A row of RECORD. Payload, length and digest are of the HTTP body with its chunks put together; what is odd goes to `error`."""
     kind, payload, full = head.get("warc-type"), block, None
+    said = head.get("warc-payload-digest", "").rpartition(":")[2] or None
+    raw = block
     if head.get("content-type", "").startswith("application/http"):
-        http, _, payload = block.partition(b"\r\n\r\n")
-        full = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"), None)
-    digest = head.get("warc-payload-digest", "").rpartition(":")[2] or None
+        http, _, raw = block.partition(b"\r\n\r\n")
+        fields = _fields(http)
+        payload, full = raw, _number(fields.get("content-length"))
+        if "chunked" in fields.get("transfer-encoding", "").lower() and kind != "revisit":
+            payload = _unchunked(raw)
+            if payload is None:
+                payload, error = raw, error or "the chunked body can't be decoded"
+    digest = said
     if kind != "revisit":
-        full, own = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if digest and len(digest) == 32 and digest != own:
-            raise ValueError(f"the payload of {head.get('warc-record-id')} is not what its digest says")
-        digest = own
-    return (head.get("warc-record-id", "").strip("<>"), kind, head.get("warc-target-uri"), (head.get("warc-refers-to") or "").strip("<>") or None, full, digest, payload)
+        full, digest = len(payload), _digest(payload)
+        if said and len(said) == 32 and said.upper() not in (digest, _digest(raw)):
+            error = error or "the payload is not what its digest says"
+    return (head.get("warc-record-id", "").strip("<>"), kind, head.get("warc-target-uri"), (head.get("warc-refers-to") or "").strip("<>") or None, full, digest, error, payload)
+
+
+def records(raw: bytes) -> Iterator[tuple]:
+    """Rows of RECORD from the bytes of a member, which holds one record or many.
+
+    A record without a length that is a number ends where the next one begins, and says so in `error`, as does one that is cut
+    off. Bytes that are no record give a row with nothing but their number and an error; blank lines between records, none.
+    """
+    at = 0
+    while True:
+        while raw[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        if at >= len(raw):
+            return
+        end = raw.find(b"\r\n\r\n", at)
+        if not raw.startswith(b"WARC/", at) or end < 0:
+            found = raw.find(b"\r\n\r\nWARC/", at)
+            to = len(raw) if found < 0 else found + 4
+            yield ("", None, None, None, to - at, None, "bytes that are no WARC record", raw[at:to])
+            at = to
+            continue
+        head = _fields(raw[at:end])
+        size, error = _number(head.get("content-length")), None
+        begin = end + 4
+        if size is None:
+            found = raw.find(b"\r\n\r\nWARC/", begin)
+            size, error = (len(raw.rstrip(b"\r\n")) if found < 0 else found) - begin, "the record's length is no number"
+        elif begin + size > len(raw):
+            error = "the record is cut off"
+        yield _record(head, raw[begin : begin + max(0, size)], error)
+        at = begin + max(0, size)
 
 
 def _inflate(member: bytes) -> bytes | None:
@@ -100,12 +160,6 @@ def _inflate(member: bytes) -> bytes | None:
     return out if z.eof else None
 
 
-def _whole(raw: bytes) -> tuple:
-    if (row := parse(raw)) is None:
-        raise ValueError("a gzip member holds no whole WARC record")
-    return row
-
-
 def _is_start(piece: bytes) -> bool:
     """Whether a piece looks like a member with a WARC record, or an empty one: decoded as far as its first bytes."""
     try:
@@ -164,23 +218,25 @@ def _raw(spark: SparkSession) -> dict[str, str]:
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives under `path`: id, type, target URI, refers_to, payload digest as written, payload.
+    """The records of all archives under `path`: id, type, target URI, refers_to, payload length and digest, error, payload.
 
-    Files may have any name, *.warc.gz among them, and other members than `write` makes. Bytes that belong to no member
-    are an error: an archive that is cut off is never read as if it were whole. Records are stored in the shared folder;
-    without `payloads` only their lengths and digests are, and payload is null.
+    Files may have any name, *.warc.gz among them, and other members than `write` makes, with one record each or many. Chunked
+    HTTP bodies are put together. Numbers that aren't any, digests that differ, records that are cut off and bytes that are no
+    record are named in `error`, which is null otherwise; they end no read. Bytes that belong to no gzip member do: an archive
+    that is cut off is never read as if it were whole. A member is in memory as a whole. Records are stored in the shared
+    folder; without `payloads` only their lengths and digests are, and payload is null.
     """
     lines = spark.read.options(**_raw(spark)).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     lines = lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     names = [x.split()[0] for x in _PIECE.split(", ")]
-    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names)
 
-    def record(raw: bytes) -> tuple:
-        found = _whole(raw)
-        return (*(found if payloads else (*found[:-1], None)), None, None, None, None)
+    def rows_of(raw: bytes) -> Iterator[tuple]:
+        for found in records(raw):
+            yield (*(found if payloads else (*found[:-1], None)), None, None, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records that lie whole in a range, and the pieces of those that don't."""
@@ -194,11 +250,11 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 return
             raw = _inflate(b"".join(MAGIC + x for x in state))
             if raw is None and at_end:
-                rows.extend((None,) * 7 + (*here, seq, x) for seq, x in enumerate(state, OPEN))
+                rows.extend((None,) * 8 + (*here, seq, x) for seq, x in enumerate(state, OPEN))
             elif raw is None:
                 raise ValueError("an archive holds bytes that are no whole gzip member")
             elif raw:
-                rows.append(record(raw))
+                rows.extend(rows_of(raw))
 
         for batch in batches:
             for piece, file, block in zip(*batch.columns, strict=True):
@@ -214,7 +270,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 elif state:
                     state.append(piece)
                 else:
-                    rows.append((None,) * 7 + (*here, orphans, piece))
+                    rows.append((None,) * 8 + (*here, orphans, piece))
                     orphans += 1
                 size += len(piece)
                 if rows and (len(rows) >= 500 or size > 4 << 20):
@@ -233,7 +289,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if raw is None:
                     raise ValueError("an archive holds bytes that are no whole gzip member")
                 if raw:
-                    rows.append(record(raw))
+                    rows.extend(rows_of(raw))
                 held.clear()
 
         for row in table.sort_by([("block", "ascending"), ("seq", "ascending")]).to_pylist():

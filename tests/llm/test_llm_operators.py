@@ -774,3 +774,75 @@ def test_shared_folder_must_be_shared():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_dir(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master, applicationId="x")))
+
+
+def member(raw, level=1):
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def http_record(i, headers, body, warc_headers=(), length=None):
+    http = ("HTTP/1.1 200 OK\r\n" + "".join(f"{h}\r\n" for h in headers) + "\r\n").encode() + body
+    head = [f"WARC-Record-ID: <r{i}>", "WARC-Type: response", "Content-Type: application/http; msgtype=response", *warc_headers, f"Content-Length: {len(http) if length is None else length}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + http + b"\r\n\r\n"
+
+
+def chunked(body, sizes):
+    out, at = b"", 0
+    for n in sizes:
+        part = body[at : at + n]
+        at += n
+        out += b"%x;x=y\r\n" % len(part) + part + b"\r\n" if part else b""
+    return out + (b"%X\r\n" % len(body[at:]) + body[at:] + b"\r\n" if body[at:] else b"") + b"0\r\n\r\n"
+
+
+@pytest.mark.parametrize("layout", ["one member", "a member each", "mixed"])
+def test_warc_of_others(spark, tmp_path, layout):
+    """Archives as other tools write them: every record, whatever the members and headers."""
+    r = random.Random(3)
+    bodies = [r.randbytes(r.randint(0, 900)) + b"\x1f\x8b\x08" * (i % 4) for i in range(30)]
+    sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    raw, want = [], []
+    for i, body in enumerate(bodies):
+        sent, error, headers, own, length = body, None, [f"Content-Length: {len(body)}"], [f"WARC-Payload-Digest: sha1:{sha(body)}"], None
+        if i % 6 == 1:
+            sent, headers = chunked(body, [1, 100, 7]), ["Transfer-Encoding: Chunked"]
+        elif i % 6 == 2:
+            headers = ["Content-Length: n/a", "X: y:z"]
+        elif i % 6 == 3:
+            own, error = [f"WARC-Payload-Digest: sha1:{sha(b'other')}"], "the payload is not what its digest says"
+        elif i % 6 == 4:
+            sent, headers, body, error = b"zz\r\n" + body, ["Transfer-Encoding: chunked"], b"zz\r\n" + body, "the chunked body can't be decoded"
+            own = [f"WARC-Payload-Digest: sha1:{sha(body)}"]
+        elif i % 6 == 5:
+            length, error = "unknown", "the record's length is no number"
+            sent = body = body.replace(b"\r", b"").replace(b"\n", b"") + b"."
+            own = []
+        raw.append(http_record(i, headers, sent, own, length))
+        want.append((f"r{i}", len(body), sha(body), error, body))
+    # a digest of the body as it was sent is one too
+    sent = chunked(b"sent in chunks", [3])
+    raw.append(http_record(90, ["Transfer-Encoding: chunked"], sent, [f"WARC-Payload-Digest: sha1:{sha(sent)}"]))
+    want.append(("r90", 14, sha(b"sent in chunks"), None, b"sent in chunks"))
+    raw.append(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <info>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    want.append(("info", 3, sha(b"abc"), None, b"abc"))
+    groups = {"one member": [raw], "a member each": [[x] for x in raw], "mixed": [raw[:10], *([x] for x in raw[10:15]), raw[15:]]}[layout]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(member(b"".join(g), 0) for g in groups))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "3k", "700"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [(x["record_id"], x["payload_bytes"], x["payload_digest"], x["error"], bytes(x["payload"])) for x in warc.read(spark, f"file://{tmp_path}").collect()]
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_warc_bytes_without_a_record():
+    good = http_record(1, [], b"x")
+    names = lambda raw: [(x[0], x[6]) for x in warc.records(raw)]
+    assert names(b"") == [] and names(b"\r\n\r\n") == []
+    assert names(b"WARC/1.0\r\nno end") == [("", "bytes that are no WARC record")]
+    assert names(good + b"junk\r\n\r\n" + good) == [("r1", None), ("", "bytes that are no WARC record"), ("r1", None)]
+    assert names(good[:-6]) == [("r1", "the record is cut off")]
+    assert names(http_record(2, [], b"x", length=-5) + good) == [("r2", "the record's length is no number"), ("r1", None)]
