@@ -84,12 +84,15 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
 
 
 def pieces(docs: DataFrame, longest: int) -> DataFrame:
-    """(uid, doc_id, piece, start, length): whole texts in words, cut where they are longer than `longest`."""
+    """(doc_id, text_hash, copy, piece, start, length): whole texts in words, cut where they are longer than `longest`. Equal rows
+    are counted and numbered, so that no piece is known by where its row lies."""
     n = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
-    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0).cast("long"), F.expr(f"(n - 1) div {longest}")).cast("int"))).alias("piece"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), n.alias("n"))
+    copies = sized.groupBy("doc_id", "text_hash", "n").agg(F.count("*").alias("copies"))
+    numbered = copies.select("doc_id", "text_hash", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    cut = numbered.select("doc_id", "text_hash", "copy", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0).cast("long"), F.expr(f"(n - 1) div {longest}")).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * longest
-    return cut.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("length"))
+    return cut.select("doc_id", "text_hash", "copy", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("length"))
 
 
 PACKED = "doc_id long, piece int, start long, length long, bin_id string, offset long, capacity long"
@@ -98,8 +101,9 @@ PACKED = "doc_id long, piece int, start long, length long, bin_id string, offset
 def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = step_cost, shard: int = SHARD) -> DataFrame:
     """(doc_id, piece, start, length, bin_id, offset, capacity): where each piece of each whole text stands.
 
-    Lengths are in words. Pieces are dealt to shards of about `shard` pieces by a hash of their row, so that repeated
-    ids spread too, and packed there; only their lengths are shuffled. A text without words, or null, has one piece of
+    Lengths are in words. Pieces are dealt to shards of about `shard` pieces by a hash of id, text, copy and piece, so that
+    repeated rows spread too, and packed there; only their lengths are shuffled. The result is the same however the rows are
+    laid out in files and partitions. A text without words, or null, has one piece of
     length 0 in no bin. Repeated rows are packed each for itself. Other columns of docs are not read.
     """
     longest = max(capacities)
@@ -108,10 +112,10 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Ca
     shards = max(1, -(-full.count() // shard))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "uid"], kind="stable")
+        group = group.sort_values(["doc_id", "piece", "text_hash", "copy"], kind="stable")
         bins, offsets, final = pack(group["length"].to_numpy(np.int64), capacities, cost)
         return pd.DataFrame({"doc_id": group["doc_id"].astype("Int64"), "piece": group["piece"], "start": group["start"], "length": group["length"], "bin_id": group["shard"].astype(str) + "-" + pd.Series(bins, index=group.index).astype(str), "offset": offsets, "capacity": final})
 
-    packed = full.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards))).groupBy("shard").applyInPandas(run, PACKED)
+    packed = full.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", "copy", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(run, PACKED)
     none = cut.where("length <= 0").select("doc_id", "piece", "start", F.lit(0).cast("long").alias("length"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("capacity"))
     return packed.unionByName(none)

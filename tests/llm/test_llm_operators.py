@@ -846,3 +846,11 @@ def test_warc_bytes_without_a_record():
     assert names(good + b"junk\r\n\r\n" + good) == [("r1", None), ("", "bytes that are no WARC record"), ("r1", None)]
     assert names(good[:-6]) == [("r1", "the record is cut off")]
     assert names(http_record(2, [], b"x", length=-5) + good) == [("r2", "the record's length is no number"), ("r1", None)]
+
+
+def test_packing_does_not_depend_on_layout(docs):
+    """Several shards, the same rows in other partitions and order: the same bins, copies of a row told apart by number alone."""
+    more = docs.select("doc_id", "text").union(docs.select("doc_id", "text").where("doc_id < 30")).union(docs.select(F.lit(None).cast("long"), "text"))
+    assert packing.best_fit(more, shard=40).where("bin_id is not null").select(F.split("bin_id", "-")[0]).distinct().count() >= 4
+    found = [sorted(map(repr, map(tuple, packing.best_fit(x, shard=40).collect()))) for x in (more.coalesce(1), more.repartition(3), more.repartitionByRange(7, F.desc(F.length("text"))))]
+    assert found[0] == found[1] == found[2] and len(found[0]) >= more.count()
