@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("duplication", "relational", "code", "trees", "streams")
+PLANS = ("duplication", "relational", "code", "trees", "streams", "ordering")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
