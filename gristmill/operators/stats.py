@@ -5,9 +5,13 @@ The input is long: metric_values(metric, value, ...), as unpivot() makes it of a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.ordered import running_sum
+
 PERCENTS = (50, 90, 95, 99)
 
 
@@ -19,12 +23,13 @@ def unpivot(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
 def percentiles(values: DataFrame, by: tuple[str, ...] = ("metric",)) -> DataFrame:
     """n, p50, p90, p95, p99 and max of each metric: the value at rank ceil(p / 100 * n).
 
-    From counts of distinct values and their running sum: exact, and what a task holds is one row for each distinct
-    value of a metric, however many rows have it.
+    From counts of distinct values and their running sums over partitions by range: exact, and a task holds no more than its
+    range of values, however many a metric has and however many rows have one.
     """
     counts = values.groupBy(*by, "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("total", F.sum("n").over(w))
+    ranked = running_sum(counts, list(by), [F.asc("value")], "n")
+    totals = ranked.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.max("upto").alias("total"))
+    ranked = ranked.join(totals, reduce(Column.__and__, (F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by)))
     at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * p / 100), F.col("value"))).alias(f"p{p}")
     return ranked.groupBy(*by).agg(F.max("total").alias("n"), *map(at, PERCENTS), F.max("value").alias("max"))
 
