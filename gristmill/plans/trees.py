@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators.patterns import below, child, match
+from gristmill.sources.table_functions import register
 from gristmill.sources.tables import cut, table
 from gristmill.sources.tags import RAW, TOKEN, VOID, tag_trees
 
@@ -32,6 +33,13 @@ def tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy(F.col("doc").alias("page_id")).agg(F.count("*").alias("elements"), F.max("depth").alias("deepest"), F.countDistinct("type").alias("types"), F.max(F.when(F.col("depth") > 0, F.col("last") - F.col("pre"))).alias("widest"))
 
 
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements and depths by type, by the table function for SQL."""
+    register(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return spark.sql("SELECT type, count(*) AS n, count(DISTINCT page_id) AS pages, max(depth) AS deepest FROM tag_nodes(TABLE({pages}) PARTITION BY page_id) GROUP BY type", pages=pages)
+
+
 _LIST = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]"
 # One step of the recursion takes one tag of every page: its stack has the open elements' numbers and names.
 _TREE = f"""WITH RECURSIVE tokens AS (SELECT page_id, list_filter(regexp_extract_all(coalesce(html, ''), '(?is){TOKEN.replace("'", "''")}'), lambda x: NOT starts_with(x, '<!--')) AS t FROM pages),
@@ -69,8 +77,9 @@ def _sql() -> str:
     return _TREE + " " + " UNION ALL ".join(parts)
 
 
-QUERIES = {"tree_pattern": tree_pattern, "tree_sizes": tree_sizes}
+QUERIES = {"tree_pattern": tree_pattern, "tree_sizes": tree_sizes, "tag_counts": tag_counts}
 ORACLES = {
     "tree_pattern": _sql(),
+    "tag_counts": _TREE + " SELECT type, count(*) AS n, count(DISTINCT page_id) AS pages, max(depth)::INTEGER AS deepest FROM n GROUP BY type",
     "tree_sizes": _TREE + " SELECT page_id, count(*) AS elements, max(depth)::INTEGER AS deepest, count(DISTINCT type) AS types, max(CASE WHEN depth > 0 THEN last - pre END)::INTEGER AS widest FROM n GROUP BY page_id",
 }
