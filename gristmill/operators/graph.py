@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.ordered import running_sum
 from gristmill.sources.tables import cut
 
 #: Last name segments that may have no edges.
@@ -76,14 +77,93 @@ def reach(edges: DataFrame) -> DataFrame:
     return found
 
 
-def indirect_dependencies(modules: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """(module, reach, indirect, eccentricity): how many can be reached, less the direct ones, and the longest of the shortest paths."""
-    far = reached.groupBy("src").agg(F.count("*").alias("reach"), F.max("level").cast("long").alias("eccentricity"))
+#: Sources that one row of a search stands for: a bit each.
+SOURCES = 64
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(src, reach, eccentricity): how many modules a path from src leads to, src left out, and the longest of the shortest paths.
+
+    As `reach` counts them, without a row for each pair: 64 sources are searched from at once, each a bit of a mask, so that a row
+    is a module and a group of sources, and there are V / 64 times V of them at most. A round hands the new bits on.
+    """
+    edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    number = running_sum(edges.select("src").distinct().withColumn("one", F.lit(1).cast("long")), [], [F.asc("src")], "one", "number")
+    own = cut(number.select("src", F.expr(f"(number - 1) div {SOURCES}").alias("part"), F.expr(f"cast((number - 1) % {SOURCES} as int)").alias("bit")))
+    seen = frontier = own.select(F.col("src").alias("node"), "part", F.expr("shiftleft(1L, bit)").alias("mask"))
+    levels, level = None, 0
+    while True:
+        level += 1
+        step = frontier.join(edges, F.col("node") == F.col("src")).groupBy("part", F.col("dst").alias("node")).agg(F.expr("bit_or(mask)").alias("mask"))
+        held = seen.select("part", "node", F.col("mask").alias("had"))
+        new = step.join(held, ["part", "node"], "left").select("part", "node", F.expr("mask & ~coalesce(had, 0L)").alias("mask")).where("mask <> 0")
+        frontier = cut(new)
+        still = cut(frontier.groupBy("part").agg(F.expr("bit_or(mask)").alias("mask")).withColumn("level", F.lit(level)))
+        if still.isEmpty():
+            break
+        levels = still if levels is None else levels.unionByName(still)
+        levels = cut(levels) if level % 8 == 0 else levels
+        seen = cut(seen.unionByName(frontier).groupBy("part", "node").agg(F.expr("bit_or(mask)").alias("mask")))
+    each = F.explode(F.sequence(F.lit(0), F.lit(SOURCES - 1))).alias("bit")
+    counts = seen.groupBy("part").agg(F.array(*(F.sum(F.expr(f"shiftrightunsigned(mask, {i}) & 1")) for i in range(SOURCES))).alias("counts"))
+    reach = counts.select("part", F.posexplode("counts").alias("bit", "n"))
+    far = still.select("part", "level", "mask") if levels is None else levels.select("part", "level", "mask")
+    far = far.select("part", "level", "mask", each).where("shiftrightunsigned(mask, bit) & 1 = 1").groupBy("part", "bit").agg(F.max("level").alias("eccentricity"))
+    out = own.join(reach, ["part", "bit"]).join(far, ["part", "bit"], "left")
+    return out.select("src", (F.col("n") - 1).cast("long").alias("reach"), F.coalesce("eccentricity", F.lit(0)).cast("long").alias("eccentricity"))
+
+
+def indirect_dependencies(modules: DataFrame, edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
+    """(module, reach, indirect, eccentricity): how many can be reached, less the direct ones, and the longest of the shortest paths.
+
+    reached: of `reach`, if there is one already; else counts are made without it."""
+    far = reach_counts(edges) if reached is None else reached.groupBy("src").agg(F.count("*").alias("reach"), F.max("level").cast("long").alias("eccentricity"))
     out = degrees(modules, edges).select("module", "fan_out").join(far, F.col("module") == F.col("src"), "left")
     n = F.coalesce("reach", F.lit(0))
     return out.select("module", n.cast("long").alias("reach"), (n - F.col("fan_out")).cast("long").alias("indirect"), F.coalesce("eccentricity", F.lit(0)).cast("long").alias("eccentricity"))
 
 
+#: Paths are contracted where more nodes than this have one edge in and one out; below, as many plain rounds cost less.
+LONG = 64
+
+
+def _paths(edges: DataFrame) -> bool:
+    """Whether there is much to contract: more than LONG inner nodes, and a quarter as many as edges."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.select("dst", F.lit(0), F.lit(1)))
+    inner = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 and i = 1").count()
+    return inner > LONG and 4 * inner >= edges.count()
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(short, inner, rings) of weighted edges(src, dst, w), without loops: paths through nodes with one edge in and one out as one edge.
+
+    short(src, dst, w) keeps the longest of several edges, loops among them. inner(node, head, tail) has each inner node's path's
+    ends. rings(node, component) has the rings of nothing but inner nodes, the smallest member as component. Each round doubles
+    what a pointer spans, so rounds are as the logarithm of the longest path.
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"), F.first("dst").alias("to"), F.first("w").alias("w"))
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.first("src").alias("from"))
+    inner = cut(out.join(into, "node").where("o = 1 and i = 1").select("node", "to", "from", F.col("w").cast("long").alias("w"), F.col("node").alias("least")))
+    whole = edges.select("src", "dst", F.col("w").cast("long").alias("w"))
+    span, at = 1, inner
+    n = inner.count()
+    while span < n:
+        ahead = at.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("w").alias("w2"), F.col("least").alias("least2"))
+        behind = at.select(F.col("node").alias("from"), F.col("from").alias("from2"))
+        at = at.join(ahead, "to", "left").join(behind, "from", "left")
+        at = cut(at.select("node", F.coalesce("to2", "to").alias("to"), F.coalesce("from2", "from").alias("from"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.least("least", F.coalesce("least2", "least")).alias("least")))
+        span *= 2
+    names = inner.select("node")
+    ended = at.join(names.withColumnRenamed("node", "to"), "to", "left_anti").select("node", F.col("from").alias("head"), F.col("to").alias("tail"), "w")
+    ended = cut(ended)
+    rings = at.join(names.withColumnRenamed("node", "to"), "to", "left_semi").select("node", F.col("least").alias("component"))
+    start = whole.join(names.withColumnRenamed("node", "src"), "src", "left_anti")
+    direct = start.join(names.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst", "w")
+    through = start.withColumnRenamed("w", "w0").join(ended.withColumnRenamed("node", "dst"), "dst").select("src", F.col("tail").alias("dst"), (F.col("w0") + F.col("w")).alias("w"))
+    short = cut(direct.unionByName(through).groupBy("src", "dst").agg(F.max("w").alias("w")))
+    return short, ended.select("node", "head", "tail"), cut(rings)
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Without edges that lead from a node nothing leads to, or to one that leads nowhere: they are in no cycle."""
     n = edges.count()
@@ -100,11 +180,48 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(module, component, size): modules of strongly connected components of two or more; the id is the smallest member.
 
+    Paths through nodes with one edge in and one out are contracted first, as long as that takes away a good part: such nodes
+    are in their ends' component, if both ends are in one. Neither a long chain nor a long ring costs more rounds than the
+    logarithm of its length.
+    """
+    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    paths, rings, loops = [], [], []
+    n = left.count()
+    while n and _paths(left):
+        left = _without_ends(left)
+        short, inner, ring = contracted(left.withColumn("w", F.lit(1)))
+        rings.append(ring)
+        loops.append(short.where("src = dst").select(F.col("src").alias("node")))
+        paths.append(inner)
+        left = cut(short.where("src <> dst").select("src", "dst"))
+        n = left.count()
+    members = _colored(left) if n else None
+    # nodes of no component are their own; inner nodes of paths, those contracted last first, take their ends' one
+    of = left.select(F.col("src").alias("node"), F.col("src").alias("color")).limit(0) if members is None else members
+    for inner, ring, loop in zip(reversed(paths), reversed(rings), reversed(loops), strict=True):
+        # a path from a node back to it: the node may be in no component yet
+        alone = loop.join(of, "node", "left_anti").select("node", F.col("node").alias("color"))
+        of = cut(of.unionByName(alone).unionByName(ring.select("node", F.col("component").alias("color"))))
+        a, b = of.select(F.col("node").alias("head"), F.col("color").alias("color")), of.select(F.col("node").alias("tail"), F.col("color").alias("of_tail"))
+        of = cut(of.unionByName(inner.join(a, "head").join(b, "tail").where("color = of_tail").select("node", "color")))
+    size = of.groupBy("color").agg(F.count("*").alias("size"), F.min("node").alias("component")).where("size > 1")
+    return of.join(size, "color").select(F.col("node").alias("module"), "component", "size")
+
+
+def _without_ends(edges: DataFrame) -> DataFrame:
+    """One round of `_trimmed`."""
+    src, dst = edges.select("src").distinct(), edges.select(F.col("dst").alias("src")).distinct()
+    return cut(edges.join(dst, "src", "left_semi").join(src.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+
+
+def _colored(edges: DataFrame) -> DataFrame | None:
+    """(node, color) of the strongly connected components of one or more, but of nodes that were trimmed away.
+
     No closure is made, so there never are more rows than edges. Each round trims what is in no cycle; every node takes the
     smallest of those that lead to it as its color; back from that node along edges of one color its component is found,
     and leaves. Every color gives one component a round.
     """
-    left = _trimmed(cut(edges.where("src <> dst").select("src", "dst").distinct()))
+    left = _trimmed(edges)
     found = []
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
@@ -126,28 +243,43 @@ def cycles(edges: DataFrame) -> DataFrame:
         gone = members.select("node")
         rest = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
         left = _trimmed(cut(rest.select("src", "dst")))
-    if not found:
-        return left.select(F.col("src").alias("module"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size"))
-    members = reduce(DataFrame.unionByName, found)
-    size = members.groupBy("color").agg(F.count("*").alias("size")).where("size > 1")
-    return members.join(size, "color").select(F.col("node").alias("module"), F.col("color").alias("component"), "size")
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def longest_path(edges: DataFrame) -> int | None:
     """Edges on the longest path; 0 without edges, None if there is a cycle.
 
-    Sources are peeled off round by round, a module when all that lead to it are gone: the number of rounds less one.
+    Sources are peeled off round by round, a module when all that lead to it are gone, each handing on the length up to it.
+    Before each round paths without branches are contracted, as long as there are many, so that a long chain is one round.
     """
-    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    rounds, n = 0, left.count()
+    left = cut(edges.where("src <> dst").select("src", "dst").distinct().withColumn("w", F.lit(1).cast("long")))
+    longest, n, real, stuck = 0, left.count(), None, 0
     while n:
-        targets = left.select(F.col("dst").alias("src")).distinct()
-        left = cut(left.join(targets, "src", "left_semi").select("src", "dst"))
-        new = left.count()
-        if new == n:
+        short = left
+        if _paths(left):
+            short, _, rings = contracted(left)
+            if not rings.isEmpty() or not short.where("src = dst").isEmpty():
+                return None
+        targets = short.select(F.col("dst").alias("src")).distinct()
+        first = cut(short.join(targets, "src", "left_anti").groupBy("dst").agg(F.max("w").alias("w")))
+        if first.isEmpty():
             return None
-        rounds, n = rounds + 1, new
-    return rounds
+        longest = max(longest, first.agg(F.max("w")).first()[0])
+        rest = cut(short.join(targets, "src", "left_semi"))
+        # what leads to a node from the peeled ones is kept as one edge from a node of its own, unless nothing leads on from it
+        on = first.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        waiting = on.join(rest.select("dst").distinct(), "dst", "left_semi")
+        free = on.join(rest.select("dst").distinct(), "dst", "left_anti").select(F.col("dst").alias("src"), F.col("w").alias("before"))
+        ahead = rest.join(free, "src", "left").select("src", "dst", (F.col("w") + F.coalesce("before", F.lit(0))).alias("w"))
+        m = rest.where(~F.col("src").cast("string").startswith("\0")).count()
+        stuck = stuck + 1 if real is not None and m >= real else 0
+        if stuck == 2:
+            return None  # nothing is peeled or freed any more: what is left is in cycles or behind them
+        real = m
+        held = waiting.select(F.concat(F.lit("\0"), F.col("dst").cast("string")).alias("src"), F.col("dst").cast("string").alias("dst"), "w")
+        left = cut(ahead.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "w").unionByName(held))
+        n = left.count()
+    return longest
 
 
 def orphans(modules: DataFrame, edges: DataFrame) -> DataFrame:

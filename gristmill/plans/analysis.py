@@ -111,7 +111,7 @@ class Analysis:
         """(metric, value) of functions, classes, files and the graph."""
         own = metrics.metric_values(self.function_rows, self.class_rows, self.file_rows)
         degree = graph.degrees(self.modules, self.edges).select(F.col("fan_in").cast("bigint"), F.col("fan_out").cast("bigint"))
-        far = graph.indirect_dependencies(self.modules, self.edges, graph.reach(self.edges)).select(F.col("indirect").alias("transitive_deps"), F.col("eccentricity").alias("dependency_depth"))
+        far = graph.indirect_dependencies(self.modules, self.edges).select(F.col("indirect").alias("transitive_deps"), F.col("eccentricity").alias("dependency_depth"))
         for df in (degree, far):
             own = own.unionByName(df.unpivot([], df.columns, "metric", "value"))
         return own

@@ -98,7 +98,7 @@ def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
     modules, edges = _trade(spark, sf_dir)
-    return graph.indirect_dependencies(modules, edges, graph.reach(edges))
+    return graph.indirect_dependencies(modules, edges)
 
 
 def graph_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
