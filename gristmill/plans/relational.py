@@ -149,14 +149,15 @@ def import_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts are definitions, a third of them methods of their brand's class; tests are the orders of status 'P' and priority
-    '1-URGENT' only, and name the parts of their line items. The queries' SQL has the same filter: with all orders every
-    part would be named and none left unreferenced. So all tests are in one file, and the other orders are not read
-    as tests."""
+    """Parts of a size are definitions, a third of them methods of a class that is the next part in the same size; tests are all
+    orders, in a file for each priority, and name the parts of their line items in the size of the quantity. So about half
+    of the definitions are named."""
     parts = table(spark, sf_dir, "part")
-    definitions = parts.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit("function").alias("kind"), F.concat(F.col("p_brand"), F.lit(".py")).alias("file"), F.col("p_size").alias("line"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("p"), (F.col("p_partkey") + 1).cast("string"))).alias("containing_class"))
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    refs = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select(F.col("o_orderpriority").alias("test_file"), F.concat(F.lit("test_"), F.col("l_orderkey").cast("string")).alias("test_name"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("ref"))
+    sized = lambda key, size: F.concat(F.lit("p"), key.cast("string"), F.lit("_"), size.cast("int").cast("string"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    definitions = parts.select(sized(key, size).alias("name"), F.lit("function").alias("kind"), F.concat(F.col("p_brand"), F.lit(".py")).alias("file"), size.alias("line"), F.when(key % 3 == 0, sized(key + 1, size)).alias("containing_class"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
+    refs = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select(F.col("o_orderpriority").alias("test_file"), F.concat(F.lit("test_"), F.col("l_orderkey").cast("string")).alias("test_name"), sized(F.col("l_partkey"), F.col("l_quantity")).alias("ref"))
     return definitions, refs
 
 
@@ -251,8 +252,8 @@ tried AS (SELECT src, name, 1 AS rank, array_to_string(list_concat(p[:greatest(l
   UNION ALL SELECT src, name, 99, module FROM parts JOIN (SELECT DISTINCT module FROM named) ON module LIKE '%.' || replace(name, '_', '\\_') ESCAPE '\\' WHERE dots = 0)
 SELECT src, name, arg_min(t, (rank, t)) AS dst FROM tried WHERE t IN (SELECT module FROM named) GROUP BY src, name"""
 )
-_TESTS = """WITH d AS (SELECT 'p' || p_partkey AS name, p_brand || '.py' AS file, p_size AS line, CASE WHEN p_partkey % 3 = 0 THEN 'p' || (p_partkey + 1) END AS cls FROM part),
-r AS (SELECT DISTINCT o_orderpriority AS test_file, 'test_' || l_orderkey AS test_name, 'p' || l_partkey AS ref FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'),
+_TESTS = """WITH d AS (SELECT 'p' || p_partkey || '_' || p_size AS name, p_brand || '.py' AS file, p_size AS line, CASE WHEN p_partkey % 3 = 0 THEN 'p' || (p_partkey + 1) || '_' || p_size END AS cls FROM part),
+r AS (SELECT DISTINCT o_orderpriority AS test_file, 'test_' || l_orderkey AS test_name, 'p' || l_partkey || '_' || l_quantity::INTEGER AS ref FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 m AS (SELECT DISTINCT file, name, line, test_file, test_name FROM d JOIN r ON ref = name OR ref = cls),
 u AS (SELECT file, name, line, name IN (SELECT ref FROM r) OR coalesce(cls IN (SELECT ref FROM r), false) AS covered FROM d)"""
 _PATHS = """p AS (SELECT p_partkey AS id, ['src', 'tests', 'node_modules/x', '.git', '__tests__/a', 'vendor/lib', 'docs.d', 'env'][p_partkey % 8 + 1] AS folder,
