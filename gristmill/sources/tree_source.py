@@ -75,6 +75,16 @@ class _Tree:
             todo = inner
         return entered + [Part(folder, True, 0, 1, after, until) for folder in todo]
 
+    def latest(self, until: int) -> int:
+        """The time of the latest change to a source file, up to `until`; -1 if there is none."""
+        found, todo = -1, [""]
+        while todo:
+            folder = todo.pop()
+            todo += _enter(self.root, folder, self.prefixes)[0]
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                found = max(found, max((t for e in entries if _language(e.name) and e.is_file() and (t := e.stat().st_mtime_ns) <= until), default=-1))
+        return found
+
     def rows(self, part: Part) -> Iterator[tuple]:
         todo = [part.folder]
         while todo:
@@ -109,7 +119,10 @@ class _Reader(DataSourceReader):
 
 class _StreamReader(DataSourceStreamReader):
     """A batch has the files changed after the last batch's time and no later than `settle` seconds ago, so that a file
-    that is just being written, or one more of the same moment, isn't passed over. Deleted files don't show."""
+    that is just being written, or one more of the same moment, isn't passed over. Deleted files don't show.
+
+    An offset is the latest change that there is, so that a tree without changes gives no batch: the driver looks at each
+    file's time for it, one folder's listing after the other, and keeps none of them."""
 
     def __init__(self, options: dict):
         self.tree, self.settle = _Tree(options), float(options.get("settle", 1))
@@ -118,7 +131,7 @@ class _StreamReader(DataSourceStreamReader):
         return {"until": -1}
 
     def latestOffset(self) -> dict:
-        return {"until": time.time_ns() - int(self.settle * 1e9)}
+        return {"until": self.tree.latest(time.time_ns() - int(self.settle * 1e9))}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         return self.tree.planned(start["until"], end["until"])
