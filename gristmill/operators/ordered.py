@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.spans import covers
 from gristmill.sources.tables import cut
 
 SLICE = "1 day"
@@ -104,6 +105,47 @@ def interval_join(left: DataFrame, right: DataFrame, key: list[str], base: int,
     return found.select(*key, *(c for c in left.columns if c not in key), *(c for c in right.columns if c not in key))
 
 
+def covered(points: DataFrame, spans: DataFrame, base: int, bin_rows: int = BIN_ROWS) -> DataFrame:
+    """points(at, own, ...) with `n`, the number of spans(r_from, r_to, other) with both ends that each lies in and whose `other` is not
+    its `own`, and `first`, the smallest of these; points without such a span are left out, and nulls and empty spans count for
+    nothing. at, r_from, r_to, own and other are bigints. interval_join() and two aggregates say the same, pair by pair.
+
+    A span lies in two bins at most of the first width above its length, a point in one of each width. Bins with many spans or
+    points are dealt to parts of both. A point's rows tell it apart and are added up in the end, one for each width and part.
+    """
+    spans = spans.where("r_from <= r_to and other is not null").withColumn("_level", _level(F.col("r_to") - F.col("r_from"), base))
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect()) or [0]  # some twenty at most, by the logarithm
+    width = (F.lit(base) * F.pow(F.lit(float(WIDER)), F.col("_level"))).cast("long")
+    bin_of = lambda c: F.floor(F.col(c) / F.col("_width")).cast("long")
+    names = [c for c in points.columns if c not in ("at", "own")]
+    a = points.where("at is not null and own is not null").select(*points.columns, F.explode(F.array(*map(F.lit, levels))).alias("_level")).withColumn("_width", width)
+    a = a.select("_level", bin_of("at").alias("_bin"), F.lit(True).alias("_point"), "at", F.col("at").alias("to"), F.col("own").alias("who"), F.struct(*names).alias("_row"))
+    b = spans.withColumn("_width", width).select("*", F.explode(F.sequence(bin_of("r_from"), bin_of("r_to"))).alias("_bin"))
+    b = b.select("_level", "_bin", F.lit(False).alias("_point"), F.col("r_from").alias("at"), F.col("r_to").alias("to"), F.col("other").alias("who"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    both = a.unionByName(b)
+    many = lambda c: F.ceil(F.count_if(c) / bin_rows).cast("int")
+    hot = both.groupBy("_level", "_bin").agg(many(F.col("_point")).alias("_x"), many(~F.col("_point")).alias("_y")).where("_x > 1 or _y > 1")
+    hot = cut(hot.select("_level", "_bin", F.greatest("_x", F.lit(1)).alias("_x"), F.greatest("_y", F.lit(1)).alias("_y")))
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    x, y = F.coalesce("_x", F.lit(1)), F.coalesce("_y", F.lit(1))
+    dealt = both.join(hot, ["_level", "_bin"], "left").withColumn("_hash", F.xxhash64("at", "to", "who", "_row"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("_point"), y).otherwise(x) - 1)).alias("_other"))
+    part = lambda own, n: F.when(own, F.pmod("_hash", n)).otherwise(F.col("_other")).cast("int")
+    dealt = dealt.select("_level", "_bin", part(F.col("_point"), x).alias("_px"), part(~F.col("_point"), y).alias("_py"), "_point", "at", "to", "who", "_row")
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("_point")
+        p, s = t.filter(side), t.filter(pa.compute.invert(side))
+        n, first = covers(*(p.column(c).to_numpy() for c in ("at", "who")), *(s.column(c).to_numpy() for c in ("at", "to", "who")))
+        out = pa.table([p.column("_row"), p.column("at"), p.column("who"), pa.array(n), pa.array(first)], names=["_row", "at", "own", "n", "first"])
+        return out.filter(pa.array(n > 0))
+
+    row_type = a.schema["_row"].dataType.simpleString()
+    found = dealt.groupBy("_level", "_bin", "_px", "_py").applyInArrow(run, f"_row {row_type}, at bigint, own bigint, n bigint, first bigint")
+    summed = found.groupBy("_row", "at", "own").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return summed.select("_row.*", "at", "own", "n", "first")
+
+
 def running_sum(rows: DataFrame, by: list[str], order: list[Column], n: str, name: str = "upto") -> DataFrame:
     """rows with `name`: the sum of column n over the rows of the same `by` up to each one, in `order`, without a window.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.operators.lattice import lattice, merged, shredded, sketches, snapshot_diff
 from gristmill.operators.ordered import asof_join as joined_as_of
+from gristmill.operators.ordered import covered
 from gristmill.operators.ordered import global_rank as ranked
 from gristmill.operators.ordered import interval_join as joined_by_interval
 from gristmill.operators.ordered import islands
@@ -29,10 +30,10 @@ def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each error, how many other users' islands of events it lies in."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", F.col("user_id").alias("own"), micros("ts").alias("l_from"), micros("ts").alias("l_to"))
-    runs = _islands(spark, sf_dir).select(F.col("user_id").alias("other"), micros("start").alias("r_from"), micros("end").alias("r_to"))
-    pairs = joined_by_interval(errors, cut(runs), [], 3_600_000_000).where("own <> other")
-    return pairs.groupBy("event_id").agg(F.count("*").alias("n"), F.min("other").alias("first_user"))
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", micros("ts").alias("at"), F.col("user_id").cast("long").alias("own"))
+    runs = _islands(spark, sf_dir).select(F.col("user_id").cast("long").alias("other"), micros("start").alias("r_from"), micros("end").alias("r_to"))
+    found = covered(errors, cut(runs), 3_600_000_000)
+    return found.groupBy("event_id").agg(F.sum("n").alias("n"), F.min("first").alias("first_user"))
 
 
 def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

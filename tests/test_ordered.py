@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import lattice as lat
-from gristmill.operators.ordered import asof_join, carry_last, global_rank, interval_join, islands, running_sum
+from gristmill.operators.ordered import asof_join, carry_last, covered, global_rank, interval_join, islands, running_sum
 from gristmill.operators.stats import percentiles
 
 T0 = datetime(2024, 1, 1)
@@ -93,6 +93,26 @@ def test_interval_join(spark, base, bin_rows):
     assert interval_join(a.where("l < 0"), b, ["k"], base).count() == 0
 
 
+@pytest.mark.parametrize(("base", "bin_rows"), [(1, 100_000), (7, 3), (1000, 20)])
+def test_covered(spark, base, bin_rows):
+    """Numbers of spans and the smallest owner are those of all pairs, without a join of points with spans."""
+    r = random.Random(9)
+    points = [(i, r.choice([50, None, *range(-200, 300)]), r.choice([None, 1, 2, 3, 4])) for i in range(150)]
+    points += points[:5]
+    spans = [(a := r.choice([50, r.randint(-200, 300)]), None if r.random() < 0.03 else a + r.choice([0, 0, 1, 5, 40, 3_000, -2]), r.choice([None, 1, 1, 2, 3, 4, 5])) for _ in range(150)]
+    got = covered(spark.createDataFrame(points, "i bigint, at bigint, own bigint").repartition(3), spark.createDataFrame(spans, "r_from bigint, r_to bigint, other bigint"), base, bin_rows)
+    want = Counter()
+    first = {}
+    for i, at, own in points:
+        for a, b, other in spans:
+            if None not in (at, own, b, other) and a <= at <= b and own != other:
+                want[i] += 1
+                first[i] = min(other, first.get(i, other))
+    assert {x["i"]: (x["n"], x["first"]) for x in got.collect()} == {i: (n, first[i]) for i, n in want.items()} and len(want) > 50
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "strategy=broadcast" in plan
+
+
 def test_running_sum(spark):
     r = random.Random(6)
     rows = [(r.choice(["a", "a", "a", "b", None, "c"]), i, r.randint(0, 9)) for i in range(500)]
